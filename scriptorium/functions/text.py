@@ -17,6 +17,11 @@ REMOVABLE = "“”‘’「」『』（）【】《》〈〉—…：；、·
 KEPT = {"light": "，。！？,.!?：:", "medium": "，。！？,.!?", "heavy": ",."}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{WS}+\z|\A{WS}+", "")
 
@@ -99,24 +104,29 @@ def mixed_tokens(c: Column) -> Column:
 
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of token arrays: tokens become code points of their place among all tokens."""
-    both = F.array_union(a, b)
 
-    def coded(x: Column) -> Column:
+    def coded(x: Column, both: Column) -> Column:
         place = lambda t: F.lpad(F.hex(F.lit(65536) + F.array_position(both, t)), 8, "0")
         return F.coalesce(F.decode(F.unhex(F.array_join(F.transform(x, place), "")), "UTF-32"), F.lit(""))
 
-    return F.levenshtein(coded(a), coded(b))
+    # the three arrays as one value, so that each is computed once
+    sides = F.struct(a.alias("a"), b.alias("b"), F.array_union(a, b).alias("both"))
+    return let(sides, lambda s: F.levenshtein(coded(s["a"], s["both"]), coded(s["b"], s["both"])))
 
 
 def text_metrics(reference: Column, hypothesis: Column, ascii_only: bool = False) -> Column:
     """Errors and reference units of words, characters and mixed tokens."""
-    r, h = metric_form(reference, ascii_only=ascii_only), metric_form(hypothesis, ascii_only=ascii_only)
-    rc, hc = F.replace(r, F.lit(" "), F.lit("")), F.replace(h, F.lit(" "), F.lit(""))
-    return F.struct(
-        token_distance(word_tokens(r), word_tokens(h)).alias("wer_errors"), F.size(word_tokens(r)).alias("wer_units"),
-        F.levenshtein(rc, hc).alias("cer_errors"), F.length(rc).alias("cer_units"),
-        token_distance(mixed_tokens(r), mixed_tokens(h)).alias("mer_errors"), F.size(mixed_tokens(r)).alias("mer_units"),
-    )
+    squeezed = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+
+    def counted(x: Column) -> Column:
+        r, h = x["r"], x["h"]
+        return F.struct(
+            token_distance(word_tokens(r), word_tokens(h)).alias("wer_errors"), F.size(word_tokens(r)).alias("wer_units"),
+            F.levenshtein(squeezed(r), squeezed(h)).alias("cer_errors"), F.length(squeezed(r)).alias("cer_units"),
+            token_distance(mixed_tokens(r), mixed_tokens(h)).alias("mer_errors"), F.size(mixed_tokens(r)).alias("mer_units"),
+        )
+
+    return let(F.struct(metric_form(reference, ascii_only=ascii_only).alias("r"), metric_form(hypothesis, ascii_only=ascii_only).alias("h")), counted)
 
 
 def sample_rate(errors: Column, units: Column) -> Column:
@@ -163,10 +173,13 @@ def parse_options(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """The set of character n-grams of a stripped text; a shorter text is its own only gram."""
-    chars = F.split(strip(c), "")
     size = F.length(strip(c))
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)]))
-    return F.when(size < n, F.array(strip(c))).otherwise(F.array_distinct(grams))
+
+    def grams(chars: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(chars) - n + 1)
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)])))
+
+    return F.when(size < n, F.array(strip(c))).otherwise(let(F.split(strip(c), ""), grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
