@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,17 @@ class Encoder:
         return self.many([text])[0]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process: tasks that follow each other share what it remembers."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document; a null text is empty."""
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
