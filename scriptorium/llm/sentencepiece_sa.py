@@ -16,6 +16,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker remembers, and pairs of pieces whose stability it remembers.
-REMEMBERED, PAIRS = 300_000, 1_000_000
+REMEMBERED, PAIRS = 800_000, 1_000_000
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -189,18 +190,24 @@ class Model:
         return out.replace(MARK, " ").removeprefix(" ")
 
 
+@lru_cache(maxsize=1)
+def model(path: str) -> Model:
+    """The model of this Python process: tasks that follow each other share what it remembers."""
+    return Model(path)
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and lossless (the decoded text is the
     text) of each row; a null or empty text has no pieces."""
 
     def run(batches):
-        model = Model(path)
+        held = model(path)
         for b in batches:
             keys, texts = b.columns
             for i in range(0, len(b), 2000):
                 part = [t or "" for t in texts[i : i + 2000].to_pylist()]
-                ids = model.encode(part)
-                back = [model.decode(x) for x in ids]
+                ids = held.encode(part)
+                back = [held.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys[i : i + 2000], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
