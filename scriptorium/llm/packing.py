@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 SHARD = 16_384
-#: Words and parts of words whose ids a worker remembers; later ones are encoded each time.
-REMEMBERED = 400_000
+#: Words and parts of words whose ids a worker remembers (about 200 bytes each); later ones are encoded each time.
+REMEMBERED = 900_000
 
 
 class Encoder:
@@ -49,38 +49,49 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         self.parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(x["content"]) for x in spec["added_tokens"])])).search
+        self.special = ("\x1c", "\x1d", "\x1e", "\x1f", *(x["content"] for x in spec["added_tokens"]))
         self.odd = re.compile("[^\x00-\u017f]").search
-        self.words: dict[str, bytes] = {}
+        suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; many go through the tokenizer as one text, whose tokens tell where a part ends."""
+        out = []
+        for i in range(0, len(parts), 2000):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts[i : i + 2000])], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            out += [raw[p:q] for p, q in zip(cut, cut[1:])]
+        return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of normalised words."""
+        plain = [w for w in words if w.isalpha()]
+        mixed = [(w, self.parts(w)) for w in words if not w.isalpha()]
         known = self.known
-        split = [(w, [w] if w.isalpha() else self.parts(w)) for w in words]
-        new = list({p for _, parts in split for p in parts if p not in known})
+        new = list(set(plain).union(*[parts for _, parts in mixed]).difference(known))
         found = dict(zip(new, self._encode(new)))
-        if len(known) < REMEMBERED:
-            known.update(found)
-        else:
-            known = ChainMap(known, found)
-        out = {w: b"".join(map(known.__getitem__, parts)) for w, parts in split if len(parts) != 1 or parts[0] is not w}
-        if len(self.words) < REMEMBERED:
-            self.words.update(out)
-        return found | out
+        either = ChainMap(found, known)
+        found |= {w: b"".join(map(either.__getitem__, parts)) for w, parts in mixed}
+        return found
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Letters up to U+017F need no composition, and lower() is enough for them."""
         normal = self.tokenizer.normalizer.normalize_str
-        split = [None if self.whole(t) else (normal(t) if self.odd(t) else t.lower()).split() for t in texts]
-        held, known = self.words, self.known
-        new = list({w for words in split if words for w in words if w not in known and w not in held})
-        found = ChainMap(known, held, self._learn(new) if new else {})
-        get = {w: found[w] for w in {w for words in split if words for w in words}}.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        split = [None if any(map(t.__contains__, self.special)) else (t.lower() if t.isascii() or not self.odd(t) else normal(t)).split() for t in texts]
+        wanted = set().union(*filter(None, split))
+        found = self._learn(list(wanted.difference(self.known)))
+        if len(self.known) < REMEMBERED:
+            self.known.update(found)
+            get = self.known.__getitem__
+        else:
+            known = self.known
+            get = lambda w: known.get(w) or found[w]
+        return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
