@@ -12,8 +12,8 @@ with probability (1 - 0.75**4)**32, about 5e-6.
    node, however large the group. Pairs whose collision-corrected estimate is in reach of the threshold
    are verified on their full sets; verified pairs are links.
 2. Links are joined to components.
-3. Rest pass: band groups that still hold several components are compared in blocks, sketch against
-   sketch, and only pairs of different components whose estimate is in reach are verified.
+3. Rest pass: band groups that still hold several components are compared in blocks, sketch against sketch;
+   what may be linked across components gets its text and is compared in full within its block.
 So no link between two components can be missing that a shared band would show, and a large group of
 near copies costs its size, not its square.
 """
@@ -165,46 +165,98 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): its smallest reachable node.
 
-    Alternates large-star and small-star steps; each is an aggregate and a join (which Spark splits where a
-    node is hot), and each round is written to the shared folder."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    Alternates small-star and large-star steps on edges from the larger to the smaller node, until each node
+    has one edge, to a node without. Only nodes with several edges take part in the join of a small-star
+    step; Spark splits hot nodes in the joins. Each round is written to the shared folder."""
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = written(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "small")
+        edges = written(edges, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            ends = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
         state = now
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
+        several = least.where("m != most").select(F.col("a").alias("node"), "m")
+        moved = edges.join(several, F.col("a") == F.col("node")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(least.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "small")
+        below = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
+        edges = edges.join(below, F.col("b") == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
-def _rest(groups: DataFrame, comp: DataFrame, sets: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Candidate pairs of different components within band groups. ``groups``: node, i, w (of shared bands)."""
+def _likely(t: dict[str, np.ndarray], x: int, band: int, apart: bool, least: float) -> np.ndarray:
+    """The rows y of a block pair that may be linked with row x: of another component, with an estimate in reach,
+    and with this band as the first that both share, so that each pair has its turn once."""
+    y = np.flatnonzero((t["own"] == t["q"]) & (t["component"] != t["component"][x]) & (apart | (t["node"] > t["node"][x])))
+    y = y[(t["bands"][y][:, :band] != t["bands"][x, :band]).all(1)]
+    return y[estimate(_equal(t["bands"][x], t["bands"][y]), t["n_shingles"][x], t["n_shingles"][y]) >= least]
+
+
+def _block(t: pa.Table) -> tuple[dict[str, np.ndarray], int, bool]:
+    t = t.combine_chunks()
+    own = {c: t.column(c).to_numpy() for c in ("own", "p", "q", "node", "component", "n_shingles")}
+    own["bands"] = np.asarray(pa.concat_arrays(t.column("bands").chunks).flatten()).reshape(-1, BANDS)
+    return own, t.column("i")[0].as_py(), own["p"][0] != own["q"][0]
+
+
+_ROW = "i int, w long, p long, q long, own long, node long, component long, n_shingles long, bands array<long>"
+
+
+def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between different components of band groups (``groups``: node, i, w of shared bands): enough
+    of them to join all that are linked.
+
+    Members are dealt to blocks, and each pair of blocks of a group is a task of at most about 2 * ``block``
+    rows. Sketches tell which rows may have a link at all; only these get their texts and are compared in full."""
+    least = percent / 100 - REACH
     rows = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("i", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("i", "w", F.ceil(F.col("size") / block).alias("parts"))
     rows = rows.join(mixed, ["i", "w"]).join(sets.select("node", "n_shingles", "bands"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("i", "w", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n_shingles", "bands")
 
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        node, comp_, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "own"))
-        bands = np.asarray(pa.concat_arrays(t.column("bands").chunks).flatten()).reshape(-1, BANDS)
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+    def hopeful(t: pa.Table) -> pa.Table:
+        own, band, apart = _block(t)
+        used = np.zeros(len(t), bool)
+        for x in np.flatnonzero(own["own"] == own["p"]):
+            y = _likely(own, x, band, apart, least)
+            used[y] = True
+            used[x] |= bool(len(y))
+        return t.filter(pa.array(used))
+
+    def linked(t: pa.Table) -> pa.Table:
+        own, band, apart = _block(t)
+        data, off = text_bytes(t.column("t").combine_chunks())
+        doc, h = shingles(data, off, width)
+        cut = np.searchsorted(doc, np.arange(len(off)))
+        parent = {c: c for c in own["component"].tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         out_a, out_b = [], []
-        for x in np.flatnonzero(own == p):
-            y = np.flatnonzero((own == q) & (comp_ != comp_[x]) & ((node > node[x]) if p == q else True))
-            y = y[estimate(_equal(bands[x], bands[y]), n[x], n[y]) >= least]
-            out_a += [max(node[x], v) for v in node[y]]
-            out_b += [min(node[x], v) for v in node[y]]
+        for x in np.flatnonzero(own["own"] == own["p"]):
+            y = _likely(own, x, band, apart, least)
+            if not len(y):
+                continue
+            mine = h[cut[x] : cut[x + 1]]
+            place = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
+            hits = np.concatenate(([0], np.cumsum(mine[place] == h)))
+            both = hits[cut[y + 1]] - hits[cut[y]]
+            size = len(mine) + cut[y + 1] - cut[y] - both
+            for z in y[100 * both >= percent * size]:
+                c, d = root(int(own["component"][x])), root(int(own["component"][z]))
+                if c != d:
+                    parent[max(c, d)] = min(c, d)
+                    out_a.append(max(own["node"][x], own["node"][z]))
+                    out_b.append(min(own["node"][x], own["node"][z]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.groupBy("i", "w", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    near = written(rows.groupBy("i", "w", "p", "q").applyInArrow(hopeful, _ROW), "near")
+    return near.join(texts, "node").select("i", "w", "p", "q", "own", "node", "component", "n_shingles", "bands", "t").groupBy("i", "w", "p", "q").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -228,8 +280,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = written(_matching(texts, width).unionByName(_matching(docs.where(F.col("_id").isNull()).select(F.lit(None).cast("long").alias("node"), F.col("_t").alias("t")), width)).groupBy("node").agg(F.min("t").alias("t")), "texts")
     links = written(verify(close, texts, width, percent), "verified")
     comp = components(links)
-    more = written(_rest(groups.drop("hub"), comp, sets, least), "rest")
-    found = written(verify(more.join(close, ["a", "b"], "left_anti"), texts, width, percent), "verified")
+    found = written(rest_links(groups.drop("hub"), comp, sets, texts, width, percent), "rest")
     if not found.isEmpty():
         comp = components(links.unionByName(found))
     own = sets.select("node", "_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
