@@ -28,18 +28,19 @@ MARK = "▁"
 REMEMBERED, PAIRS = 800_000, 1_000_000
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of a byte text in the order of their first ``depth`` bytes (at least), by prefix doubling."""
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes of a byte text in the order of their first ``depth`` bytes (at least), by prefix
+    doubling; and the first 8 bytes of each, as numbers."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     rank = np.zeros(n, np.uint64)
     for k in range(8):
         rank = rank << np.uint64(8) | padded[k : k + n]
-    width = 8
+    width, heads = 8, rank
     while True:
         order = np.argsort(rank, kind="stable")
         if width >= depth:
-            return order
+            return order, heads[order]
         new = np.zeros(n, np.uint64)
         new[order[1:]] = np.cumsum(rank[order[1:]] != rank[order[:-1]])
         ahead = np.zeros(n, np.uint64)
@@ -68,6 +69,11 @@ class Model:
         self.matrix = np.zeros((len(raw), self.depth), np.uint8)
         for i, x in enumerate(raw):
             self.matrix[i, : len(x)] = np.frombuffer(x, np.uint8)
+        key = np.zeros(len(raw), np.uint64)
+        for k in range(8):
+            key = key << np.uint64(8) | self.matrix[:, k]
+        spare = np.uint64(8) * np.maximum(0, 8 - self.sizes).astype(np.uint64)
+        self.heads = key, key | ((np.uint64(1) << spare) - np.uint64(1))
         self.stable: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -102,13 +108,17 @@ class Model:
 
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of every occurrence of every piece, by start and then length."""
-        order = suffix_array(data, self.depth)
+        order, sorted_keys = suffix_array(data, self.depth)
         padded = np.concatenate((data, np.zeros(self.depth, np.uint8)))
         columns = np.arange(self.depth)
         inside = columns < self.sizes[:, None]
 
         def bound(upper: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), len(data), np.int64)
+            # the first 8 bytes tell all of a short piece, and a narrow range of a long one
+            head = np.searchsorted(sorted_keys, self.heads[0], "left"), np.searchsorted(sorted_keys, self.heads[1], "right")
+            low, high = head[0].astype(np.int64), head[1].astype(np.int64)
+            short = self.sizes <= 8
+            low[short] = high[short] = head[int(upper)][short]
             while (open_ := np.flatnonzero(low < high)).size:
                 mid = (low[open_] + high[open_]) >> 1
                 diff = np.where(inside[open_], padded[order[mid][:, None] + columns].astype(np.int16) - self.matrix[open_], 0)
@@ -135,22 +145,28 @@ class Model:
         start, end, ids = self.edges(data)
         cut = np.searchsorted(start, np.arange(len(data) + 1)).tolist()
         end, ids = end.tolist(), ids.tolist()
-        fits, out, at = self.fits, {}, 0
+        fits, known, out, at = self.fits, self.stable, {}, 0
         for word, b in zip(words, raw):
             size = len(b)
             last: list = [None] * (size + 1)  # last piece of the path to here
             back = [0] * (size + 1)
-            stop, i = at + size, at
+            i = 0
             for ch in word:
-                if (wide := 1 if ch < "\x80" else len(ch.encode())) and (i == at or last[i - at] is not None):
-                    before, single = last[i - at], False
-                    for k in range(cut[i], cut[i + 1]):
-                        e = end[k]
-                        single |= e == i + wide
-                        if e <= stop and last[e - at] is None and (before is None or fits(before, ids[k])):
-                            last[e - at], back[e - at] = ids[k], i - at
-                    if not single and last[i + wide - at] is None:
-                        last[i + wide - at], back[i + wide - at] = -1, i - at
+                wide = 1 if ch < "\x80" else len(ch.encode())
+                before = last[i]
+                if before is not None or not i:
+                    first, until = cut[at + i], cut[at + i + 1]
+                    for e, piece in zip(end[first:until], ids[first:until]):
+                        e -= at
+                        if last[e] is None:
+                            if i and before >= 0:
+                                ok = known.get(before << 20 | piece)
+                                if not (fits(before, piece) if ok is None else ok):
+                                    continue
+                            last[e], back[e] = piece, i
+                    # a character without a piece; the shortest edge of a position comes first
+                    if (first == until or end[first] - at != i + wide) and last[i + wide] is None:
+                        last[i + wide], back[i + wide] = -1, i
                 i += wide
             path, e = [], size
             while e:
@@ -158,7 +174,7 @@ class Model:
                 path.append([last[e]] if last[e] >= 0 else [self.byte[x] for x in b[s:e]])
                 e = s
             out[word] = array("I", [x for p in reversed(path) for x in p]).tobytes()
-            at = stop + 1
+            at += size + 1
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
