@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import blank, strip
 
@@ -86,7 +87,7 @@ def _find(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def find_json(s: pd.Series) -> pd.Series:
     """The first JSON value in a text (fenced, plain, or an object or array within prose), in canonical form."""
     return s.map(_find)
@@ -101,7 +102,7 @@ def _leaves(value) -> list[str]:
     return [str(value)] if value not in (None, "") else []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def flatten_seeds(s: pd.Series) -> pd.Series:
     """All texts of nested seed JSON; an object counts by its term, name, keyword or entity."""
     return s.map(lambda x: [] if x is None else list(dict.fromkeys(_leaves(json.loads(x)))))

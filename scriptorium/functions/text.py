@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's str.strip and \s have it, for Java regular expressions.
 WS = r"(?U)[\s\x1c-\x1f]"
@@ -78,7 +79,7 @@ def clean_response(c: Column) -> Column:
     return strip(reduce(lambda t, s: F.regexp_replace(t, *s), steps, strip(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compat_fold(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC").str.casefold()
 

@@ -82,8 +82,10 @@ def verdict(response: Column) -> Column:
     """Passed or not, of a judge's answer: JSON ``pass`` (true if missing), else text that begins with true or
     false; null if neither. Only booleans count in JSON."""
     t = F.lower(strip(response))
-    raw = F.get_json_object(response, "$.pass")
-    return F.when(F.startswith(t, F.lit("{")), F.when(raw.isNull() & F.get_json_object(response, "$").isNotNull(), True).when(raw == "true", True).when(raw == "false", False)).when(F.startswith(t, F.lit("true")), True).when(F.startswith(t, F.lit("false")), False)
+    says = lambda v: response.rlike(rf'"pass"\s*:\s*{v}\b')  # noqa: E731 - a quoted "false" is no boolean
+    valid = F.get_json_object(response, "$").isNotNull()
+    in_json = F.when(says("true"), True).when(says("false"), False).when(valid & F.get_json_object(response, "$.pass").isNull(), True)
+    return F.when(F.startswith(t, F.lit("{")), in_json).when(F.startswith(t, F.lit("true")), True).when(F.startswith(t, F.lit("false")), False)
 
 
 def first_n(rows: DataFrame, n: Column, by: str = "scene", order: str = "ord", width: int = 65_536) -> DataFrame:
