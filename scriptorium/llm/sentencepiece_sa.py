@@ -12,6 +12,7 @@ path to its start; every position has one such path.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import zlib
@@ -55,11 +56,14 @@ class Model:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.normalizer = SentencePieceProcessor(model_file=path)
         sp = self.normalizer
         self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(self.text[i][3:5], 16): i for i in range(len(self.text)) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
+        self.is_byte = np.zeros(len(self.text), bool)
+        self.is_byte[list(self.of_byte)] = True
         usable = [i for i in range(len(self.text)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.score = {self.text[i]: sp.get_score(i) for i in usable}
         raw = [self.text[i].encode() for i in usable]
@@ -179,28 +183,32 @@ class Model:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        split = [re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", self.normalizer.normalize(t)) if t else [] for t in texts]
-        wanted = {w for words in split for w in words}
-        new = [w for w in wanted if w not in self.words]
-        found = {w: self.words[w] for w in wanted if w in self.words}
+        split = [self.cut(x) if x else [] for x in self.normalizer.normalize(texts)]
+        words = self.words
+        new = list(set().union(*split).difference(words))
+        found: dict[str, bytes] = {}
         group, size = [], 0
         for w in new:
             group.append(w)
             size += len(w) + 1
-            if size > 400_000:
+            if size > 500_000:
                 found.update(self.learn(group))
                 group, size = [], 0
         if group:
             found.update(self.learn(group))
-        if len(self.words) < REMEMBERED:
-            self.words.update((w, found[w]) for w in new)
-        return [b"".join(map(found.__getitem__, words)) for words in split]
+        if len(words) < REMEMBERED:
+            words.update(found)
+            get = words.__getitem__
+        else:
+            get = lambda w: words.get(w) or found[w]
+        return [b"".join(map(get, own)) for own in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: byte pieces as UTF-8 (U+FFFD where malformed), marks as spaces, without the first one."""
-        numbers, of_byte, text = np.frombuffer(ids, "<u4").tolist(), self.of_byte, self.text
-        if of_byte.keys().isdisjoint(numbers):
-            out = "".join([text[i] for i in numbers])
+        found, of_byte, text = np.frombuffer(ids, "<u4"), self.of_byte, self.text
+        numbers = found.tolist()
+        if not self.is_byte[found].any():
+            out = "".join(map(text.__getitem__, numbers))
         else:
             out = b"".join([bytes((of_byte[i],)) if i in of_byte else text[i].encode() for i in numbers]).decode(errors="replace")
         return out.replace(MARK, " ").removeprefix(" ")
@@ -218,6 +226,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         held = model(path)
+        gc.disable()  # nothing here is cyclic, and the many small objects would be scanned again and again
         for b in batches:
             keys, texts = b.columns
             for i in range(0, len(b), 2000):
