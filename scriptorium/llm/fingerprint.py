@@ -56,16 +56,17 @@ def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hasher = Hasher(data)
     doc = at = np.zeros(0, np.int64)
     if n >= WIDTH:
+        # by document first: a run that reaches into the next one finds nothing less there
         key = np.full(n, np.iinfo(np.int64).max)
         rank = _rarity(data)
-        key[: len(rank)] = (rank << 32) | np.arange(len(rank))
         owner = np.repeat(np.arange(len(sizes)), sizes)
+        key[: len(rank)] = (owner[: len(rank)] << 46) | (rank << 31) | np.arange(len(rank))
         inside = np.arange(n) + WIDTH <= off[1:][owner]
         key[~inside] = np.iinfo(np.int64).max
         least = np.concatenate((key, np.full(RUN, np.iinfo(np.int64).max)))
         for s in (1, 2, 4, 8, 16):
             least = np.minimum(least[:-s], least[s:])
-        best = least[:n][inside] & 0xFFFFFFFF
+        best = least[:n][inside] & 0x7FFFFFFF
         popular = np.bincount(best, minlength=n)[:n] >= POPULAR
         at = np.flatnonzero(popular | (inside & (sizes <= FILL + WIDTH - 1)[owner]))
         doc = owner[at]
