@@ -228,7 +228,8 @@ def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataF
     def linked(t: pa.Table) -> pa.Table:
         own, band, apart = _block(t)
         data, off = text_bytes(t.column("t").combine_chunks())
-        doc, h = shingles(data, off, width)
+        parts = [(i, *shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], width)) for i, j in spans(off)]
+        doc, h = np.concatenate([i + d for i, d, _ in parts]), np.concatenate([x for _, _, x in parts])
         cut = np.searchsorted(doc, np.arange(len(off)))
         parent = {c: c for c in own["component"].tolist()}
 
