@@ -159,7 +159,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep)) for c in "ab"], names=["a", "b"])
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataF
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     near = written(rows.groupBy("i", "w", "p", "q").applyInArrow(hopeful, _ROW), "near")
-    return near.join(texts, "node").select("i", "w", "p", "q", "own", "node", "component", "n_shingles", "bands", "t").groupBy("i", "w", "p", "q").applyInArrow(linked, "a long, b long")
+    return near.join(texts.hint("merge"), "node").select("i", "w", "p", "q", "own", "node", "component", "n_shingles", "bands", "t").groupBy("i", "w", "p", "q").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     close = written(near_pairs(stars, sets, least), "stars")
     # texts of the nodes that may need verifying: one document stands for each set
     wanted = groups.select("node").distinct().join(sets.select("node", "_id"), "node")
-    texts = docs.join(wanted.where(F.col("_id").isNotNull()), "_id").select("node", F.col("_t").alias("t"))
+    # all these sides grow with the input, so none is broadcast, however small it is now
+    texts = docs.join(wanted.where(F.col("_id").isNotNull()).hint("merge"), "_id").select("node", F.col("_t").alias("t"))
     texts = written(_matching(texts, width).unionByName(_matching(docs.where(F.col("_id").isNull()).select(F.lit(None).cast("long").alias("node"), F.col("_t").alias("t")), width)).groupBy("node").agg(F.min("t").alias("t")), "texts")
     links = written(verify(close, texts, width, percent), "verified")
     comp = components(links)
