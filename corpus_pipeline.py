@@ -27,7 +27,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     found = store.written(neardup.near_duplicates(docs), "classes")
-    rest = docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    rest = docs.join(found.where("NOT kept").select("doc_id").hint("merge"), "doc_id", "left_anti")  # grows with the input
     again = found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         return rest.select(*docs.columns)
