@@ -28,7 +28,7 @@ from .store import written
 
 SHARD = 16_384
 #: Words and parts of words whose ids a worker remembers (about 200 bytes each); later ones are encoded each time.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 
 
 class Encoder:
