@@ -1,7 +1,113 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others need fitted models, tokenizers or sketches of bytes."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from . import licenses
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+WARC = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), t AS (
+  SELECT hex, payload_bytes, max(page_id) AS top FROM p GROUP BY ALL
+)
+SELECT page_id, payload_bytes,
+  -- five hexadecimal digits are four digits of base 32
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + (CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN t USING (hex, payload_bytes)
+"""
+
+NEAR = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM w
+), n AS MATERIALIZED (
+  SELECT doc_id, count(x) AS n_shingles FROM documents LEFT JOIN d USING (doc_id) GROUP BY doc_id
+), joint AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS MATERIALIZED (
+  SELECT a, b FROM joint JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 75 * (m.n_shingles + o.n_shingles - c)
+), e AS MATERIALIZED (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.doc_id WHERE r.root < e.b
+), c AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+#: Sums restart with each span, so they need recursion; budget 512, two turns of history, 15 signs of markers a turn.
+CHAT = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), t AS MATERIALIZED (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0B\f\r ]')) AS n,
+    15 + length(replace(replace(role, '\', '\b'), '<', '\l')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars
+  FROM said
+), c AS MATERIALIZED (
+  SELECT conv_id, CAST(role = 'system' AS INT) AS sys, greatest(1, 512 - CASE WHEN role = 'system' THEN n ELSE 0 END) AS room, chars AS lead FROM t WHERE i = 1
+), s AS (
+  -- k: number of the span (0: before the first); s: tokens in it; a new span begins at turn i if first
+  SELECT conv_id, i, CASE WHEN role = 'system' THEN 0 ELSE n END AS s, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS k, role <> 'system' AS first FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN s.k = 0 OR s.s + t.n > room THEN t.n ELSE s.s + t.n END,
+    CASE WHEN s.k = 0 OR s.s + t.n > room THEN s.k + 1 ELSE s.k END, s.k = 0 OR s.s + t.n > room
+  FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i + 1 JOIN c ON c.conv_id IS NOT DISTINCT FROM t.conv_id
+), later AS (
+  SELECT conv_id, k, min(i) AS start, max(s) AS used FROM s WHERE k > 1 GROUP BY ALL
+), again AS (
+  SELECT l.conv_id, sum(CASE WHEN sys = 1 THEN lead ELSE 0 END
+    + CASE WHEN p.i >= sys + 1 AND used + p.n <= room THEN p.chars ELSE 0 END
+    + CASE WHEN q.i >= sys + 1 AND used + p.n + q.n <= room THEN q.chars ELSE 0 END) AS chars
+  FROM later l JOIN c ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+  LEFT JOIN t p ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.i = l.start - 1
+  LEFT JOIN t q ON q.conv_id IS NOT DISTINCT FROM l.conv_id AND q.i = l.start - 2
+  GROUP BY ALL
+), a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY conv_id
+)
+SELECT a.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(a.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars
+FROM a LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """The steps of ``licenses.canonical`` as a DuckDB expression."""
+    out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
+    out = reduce(lambda t, s: f"regexp_replace({t}, {_quoted(s[0])}, {_quoted(s[1])}, 'g')", licenses.STEPS, out)
+    out = reduce(lambda t, s: f"replace({t}, ' {s[0]} ', ' {s[1]} ')", licenses.SPELLINGS, f"(' ' || trim({out}) || ' ')")
+    return f"trim({out})"
+
+
+def _licenses() -> str:
+    known = ", ".join(f"({_quoted(name)}, {_quoted(t)})" for name, t in sorted(licenses.KNOWN.items()))
+    return f"""
+WITH k AS MATERIALIZED (SELECT name, {_canonical("t")} AS plain, contains(t, chr(10)) AS long FROM (VALUES {known}) v(name, t)),
+w AS (SELECT sha256(plain) AS digest, min(name) AS license FROM k GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+f AS (SELECT doc_id, {_canonical("line")} AS plain FROM l WHERE regexp_matches(line, '(?i)licen[cs]e')),
+g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM f JOIN (SELECT * FROM k WHERE NOT long) USING (plain) GROUP BY doc_id),
+d AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN w USING (digest) LEFT JOIN g USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC, "op6_near_duplicates": NEAR, "op7_licenses": _licenses(), "op9_chat": CHAT}
