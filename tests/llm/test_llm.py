@@ -286,3 +286,19 @@ def test_pipeline_equals_its_operators(spark):
     assert {r.doc_id for r in p.run(spark, SF).collect()} == {k for k, _ in rows}
     stats = [brute_statistics(t) for _, t in rows]
     assert all(n >= 20 and 100 * again <= 30 * n for n, _, _, _, again in stats)
+
+
+def test_oracles_agree(spark):
+    import duckdb
+
+    from scriptorium.llm import oracles, queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name, sql in oracles.oracle_sql().items():
+        got = queries.queries()[name](spark, folder)
+        columns = sorted(got.columns)
+        want = con.sql(sql)
+        assert sorted(want.columns) == columns, name
+        assert sorted(map(repr, want.select(*columns).fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect()), name
