@@ -169,14 +169,13 @@ def components(links: DataFrame) -> DataFrame:
     has one edge, to a node without. Only nodes with several edges take part in the join of a small-star
     step; Spark splits hot nodes in the joins. Each round is written to the shared folder."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = None
     while True:
         edges = written(edges, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            ends = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
-        state = now
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.max(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]:
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         least = edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
         several = least.where("m != most").select(F.col("a").alias("node"), "m")
         moved = edges.join(several, F.col("a") == F.col("node")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -283,10 +282,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     links = written(verify(close, texts, width, percent), "verified")
     comp = components(links)
     found = written(rest_links(groups.drop("hub"), comp, sets, texts, width, percent), "rest")
-    if not found.isEmpty():
-        comp = components(links.unionByName(found))
     own = sets.select("node", "_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = own.groupBy("component").agg(F.min("_id").alias("component_id"))
+    if not found.isEmpty():
+        # whole components are joined, so this pass has a node for each of them, not for each set
+        for c in "ab":
+            found = found.join(comp.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+        roots = components(found).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        first = first.join(roots, "component", "left").withColumn("root", F.coalesce("root", "component"))
+        first = first.select("component", "root").join(first.groupBy("root").agg(F.min("component_id").alias("component_id")), "root").drop("root")
     named = own.join(first, "component").select("node", "component_id")
     out = base.select("_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
