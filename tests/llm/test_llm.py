@@ -189,6 +189,27 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd):
     assert sorted((r.n_shingles, str(r.component_id)) for r in got) == sorted((n, str(c)) for n, c in want)
 
 
+def test_components_of_any_graph(spark):
+    rng = random.Random(5)
+    star = [(0, k) for k in range(1, 40)]
+    path = [(100 + k, 101 + k) for k in range(33)]
+    loose = [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)]
+    for pairs in ([], [(7, 7)], star, path, star + path + loose + loose[:9]):
+        parent = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            if a != b:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        got = neardup.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+        assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     errors = []
