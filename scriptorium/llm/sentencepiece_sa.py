@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words whose ids a worker remembers, and pairs of pieces whose stability it remembers.
 REMEMBERED, PAIRS = 800_000, 1_000_000
+#: Bytes of a word from which its edges are relaxed alone: few words are as long, so there is little to do together.
+SHORT = 64
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,8 @@ class Model:
         spare = np.uint64(8) * np.maximum(0, 8 - self.sizes).astype(np.uint64)
         self.heads = key, key | ((np.uint64(1) << spare) - np.uint64(1))
         self.stable: dict[int, bool] = {}
+        self.byte_ids = np.array([self.byte[x] for x in range(256)], np.int64)
+        self.pairs, self.pairs_fit = np.array([np.iinfo(np.int64).max]), np.zeros(1, bool)  # sorted, the last one is no pair
         self.words: dict[str, bytes] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -142,15 +146,88 @@ class Model:
         by = np.lexsort((end, start))
         return start[by], end[by], self.ids[which][by]
 
+    def all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs of pieces at once."""
+        keys = a << 20 | b
+        place = np.searchsorted(self.pairs, keys)
+        new = np.unique(keys[self.pairs[place] != keys])
+        if len(new):
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.pairs_fit = self.pairs[-1:], self.pairs_fit[-1:]
+                new = np.unique(keys)
+            found = [self.merge([*self.text[k >> 20], *self.text[k & 0xFFFFF]]) == [self.text[k >> 20], self.text[k & 0xFFFFF]] for k in new.tolist()]
+            at = np.searchsorted(self.pairs, new)
+            self.pairs, self.pairs_fit = np.insert(self.pairs, at, new), np.insert(self.pairs_fit, at, found)
+            place = np.searchsorted(self.pairs, keys)
+        return self.pairs_fit[place]
+
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word, as little-endian 32-bit integers."""
+        """The ids of each word, as little-endian 32-bit integers. Words of more than ``SHORT`` bytes are relaxed
+        one by one, all others together."""
         raw = [w.encode() for w in words]
         data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-        start, end, ids = self.edges(data)
-        cut = np.searchsorted(start, np.arange(len(data) + 1)).tolist()
+        edges = self.edges(data)
+        sizes = np.array(list(map(len, raw)), np.int64)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        short = sizes <= SHORT
+        out = self.relax_together([w for w, x in zip(words, short.tolist()) if x], data, first[short], sizes[short], *edges)
+        if not short.all():
+            long = np.flatnonzero(~short).tolist()
+            out |= self.relax_each([words[k] for k in long], [raw[k] for k in long], first[~short].tolist(), *edges)
+        return out
+
+    def relax_together(self, words: list[str], data: np.ndarray, first: np.ndarray, sizes: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+        """Relaxes the edges of words that begin at ``first``: those that leave the same position of any word at once."""
+        n = len(data)
+        offset = np.full(n, -1)  # of each byte in its word
+        byte = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        offset[byte] = byte - np.repeat(first, sizes)
+        # characters without a piece are edges too
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        chars, until = heads[:-1], heads[1:]
+        at = np.minimum(np.searchsorted(start, chars), max(0, len(start) - 1))
+        bare = (offset[chars] >= 0) & ((start[at] != chars) | (end[at] != until) if len(start) else True)
+        start, end = np.concatenate((start, chars[bare])), np.concatenate((end, until[bare]))
+        piece = np.concatenate((ids.astype(np.int64), np.full(bare.sum(), -1)))
+        order = np.argsort(offset[start], kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        cut = np.searchsorted(offset[start], np.arange(int(sizes.max(initial=0)) + 1))
+        last, back = np.full(n + 1, -2), np.zeros(n + 1, np.int64)  # last piece of the path to here (-2: none), and its start
+        for i, (p, q) in enumerate(zip(cut[:-1], cut[1:])):
+            s, e, x = start[p:q], end[p:q], piece[p:q]
+            if i:
+                before = last[s]
+                open_ = np.flatnonzero((before != -2) & (last[e] == -2))
+                s, e, x, before = s[open_], e[open_], x[open_], before[open_]
+                ok = np.ones(len(x), bool)
+                both = np.flatnonzero((before >= 0) & (x >= 0))
+                ok[both] = self.all_fit(before[both], x[both])
+                s, e, x = s[ok], e[ok], x[ok]
+            last[e], back[e] = x, s
+        used, now, begin = np.zeros(n + 1, bool), (first + sizes)[sizes > 0], first[sizes > 0]
+        while len(now):
+            used[now] = True
+            now = back[now]
+            more = now > begin
+            now, begin = now[more], begin[more]
+        path = np.flatnonzero(used)
+        found, source = last[path], back[path]
+        count = np.where(found < 0, path - source, 1)
+        total = np.concatenate(([0], np.cumsum(count)))
+        out = np.repeat(found, count)
+        fill = np.flatnonzero(out < 0)
+        byte = (np.repeat(source, count) + np.arange(len(out)) - np.repeat(total[:-1], count))[fill]
+        out[fill] = self.byte_ids[data[byte]]
+        blob = out.astype("<u4").tobytes()
+        low, high = (4 * total[np.searchsorted(path, x, "right")] for x in (first, first + sizes))
+        return {w: blob[p:q] for w, p, q in zip(words, low.tolist(), high.tolist())}
+
+    def relax_each(self, words: list[str], raw: list[bytes], starts: list[int], start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+        """Relaxes the edges of one word after the other."""
+        cut = np.searchsorted(start, np.arange(max(map(lambda at, b: at + len(b), starts, raw)) + 2)).tolist()
         end, ids = end.tolist(), ids.tolist()
-        fits, known, out, at = self.fits, self.stable, {}, 0
-        for word, b in zip(words, raw):
+        fits, known, out = self.fits, self.stable, {}
+        for word, b, at in zip(words, raw, starts):
             size = len(b)
             last: list = [None] * (size + 1)  # last piece of the path to here
             back = [0] * (size + 1)
@@ -178,7 +255,6 @@ class Model:
                 path.append([last[e]] if last[e] >= 0 else [self.byte[x] for x in b[s:e]])
                 e = s
             out[word] = array("I", [x for p in reversed(path) for x in p]).tobytes()
-            at += size + 1
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
