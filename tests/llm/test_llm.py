@@ -189,6 +189,16 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd):
     assert sorted((r.n_shingles, str(r.component_id)) for r in got) == sorted((n, str(c)) for n, c in want)
 
 
+def test_sentencepiece_of_words_around_the_short_limit():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    rng, plain = random.Random(8), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choice("abcdeé中😀ß01.!") for _ in range(n)) for n in (0, 1, 5, 20, 30, 59, 60, 61, 62, 90, 400)] + ["a" * n for n in range(55, 70)]
+    model = sentencepiece_sa.Model(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)] == [plain.encode(t) for t in texts]
+
+
 def test_components_of_any_graph(spark):
     rng = random.Random(5)
     star = [(0, k) for k in range(1, 40)]
