@@ -161,7 +161,7 @@ WITH {_PAIRS}, n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace({_
 trim(regexp_replace(regexp_replace({_ASCII.format("left(refined, 300)")}, '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), ' +', ' ', 'g')) AS h FROM pairs)
 SELECT conv_id, turn, levenshtein(replace(r, ' ', ''), replace(h, ' ', '')) AS cer_errors, length(replace(r, ' ', '')) AS cer_units, len(regexp_extract_all(r, '[a-z0-9]+')) AS wer_units FROM n""")
 def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = T.text_metrics(_ascii(F.col("source")), _ascii(F.left("refined", F.lit(300))), ascii_only=True)
+    m = T.text_metrics(_ascii(F.col("source")), _ascii(F.col("refined")), ascii_only=True)
     return _pairs(spark, sf_dir).select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", F.col("m.cer_errors").cast("long").alias("cer_errors"), F.col("m.cer_units").cast("long").alias("cer_units"), F.col("m.wer_units").cast("long").alias("wer_units"))
 
 

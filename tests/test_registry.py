@@ -14,3 +14,10 @@ def test_gram_counts_of_all_texts(spark, tmp_path):
     want = {k: len({t[i : i + 3] for i in range(len(t) - 2)} if len(t) >= 3 else {t}) for t, k in first.items()}
     got = registry.gram_counts(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.doc_id: r.n_grams for r in got} == want
+
+
+def test_character_errors_of_whole_replies(spark, tmp_path):
+    turns = [("a", 0, "user", "one two, three"), ("a", 1, "assistant", "One two three! " * 60), ("b", 0, "user", "x" * 400), ("b", 1, "assistant", "x" * 390 + "y" * 10)]
+    spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.cer_errors, r.cer_units, r.wer_units) for r in registry.character_errors(spark, str(tmp_path)).collect()}
+    assert got == {"a": (59 * 11, 11, 3), "b": (10, 400, 1)}
