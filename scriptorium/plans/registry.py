@@ -328,7 +328,7 @@ def stable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, w AS word, w IN ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'on', 'for', 'is', 'are', 'was', 'were', 'we', 'you', 'they', 'this', 'that', 'need', 'should', 'maybe') AS common
 FROM (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(left(text, 80), '[^A-Za-z ]', '', 'g'), ' '))) AS w FROM documents) WHERE w <> ''""")
 def keyword_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = K.dedupe(F.split(F.regexp_replace(F.left("text", F.lit(80)), "[^A-Za-z ]", ""), " "))
+    words = K.dedupe(F.split(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " "))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).withColumn("common", K.is_common(F.col("word")))
 
 

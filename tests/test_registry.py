@@ -21,3 +21,10 @@ def test_character_errors_of_whole_replies(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.cer_errors, r.cer_units, r.wer_units) for r in registry.character_errors(spark, str(tmp_path)).collect()}
     assert got == {"a": (59 * 11, 11, 3), "b": (10, 400, 1)}
+
+
+def test_keyword_common_of_whole_texts(spark, tmp_path):
+    texts = ["word " * 15 + "the extraordinary, the late don't", "a1b  c", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.word, r.common) for r in registry.keyword_common(spark, str(tmp_path)).collect())
+    assert got == [(0, "dont", False), (0, "extraordinary", False), (0, "late", False), (0, "the", True), (0, "word", False), (1, "ab", False), (1, "c", False)]
