@@ -42,16 +42,27 @@ Permission is granted to anyone to use this software for any purpose, including
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("\n\nTHIS", """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS""")
 #: Spellings that count as one (canonical text, so lower case and without punctuation).
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("favour", "favor"),
     ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"),
 )
+#: What follows "copyright" in the wording of licences, where a wrapped line may begin with it.
+WORDING = ("holders", "holder", "owners", "owner", "notices", "notice", "license", "licenses", "licence", "law", "laws", "statement", "interest", "and", "or", "in", "on", "to", "is")
 #: Steps (pattern, replacement) from text to canonical text; plain enough to mean the same in Java and RE2.
 STEPS = (
     (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*$", " "),
+    # lines of a holder without a year; wording is tied by a sign that goes away below; (c) alone also numbers items
+    *((rf"copyright[ \t]+{w}\b", f"copyright_{w}") for w in WORDING),
+    (r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©)|copyright[ \t]*:?[ \t]+[\p{L}\p{N}<\[{\"']|©|\(c\)[ \t]*copyright[ \t])[^\n]*", " "),
+    (r"(?m)^[^\p{L}\p{N}\n]*\(c\)[ \t]+[^\n]*\b(inc|llc|ltd|corp|corporation|gmbh|foundation|affiliates|contributors|authors)\b[^\p{L}\p{N}\n]*$", " "),
     (r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|zlib|bsd)( 2-clause)? licen[cs]e[^a-z0-9\n]*$", " "),
+    (r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|zlib|bsd)( [23]-clause)? licen[cs]e[^a-z0-9\n]*$", " "),
     (r"https?://", "http "),
     (r"[^\p{L}\p{N}]+", " "),
 )
