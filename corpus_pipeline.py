@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, neardup, packing, quality, store, toxicity
@@ -25,16 +24,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    found = store.written(neardup.near_duplicates(docs), "classes")
-    rest = docs.join(found.where("NOT kept").select("doc_id").hint("merge"), "doc_id", "left_anti")  # grows with the input
-    again = found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return rest.select(*docs.columns)
-    # repeated ids: the first row by text stays
-    order = W.partitionBy("doc_id").orderBy("text")
-    repeated = rest.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return rest.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest id. Documents are told apart by their
+    rows: repeated or null ids lose none, texts without words all stay, other columns pass unread."""
+    return neardup.deduplicated(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

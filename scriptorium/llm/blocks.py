@@ -6,7 +6,9 @@ so memory depends on the block and on the longest document, not on the Arrow bat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +34,6 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _PRIME + np.uint64(seed))
 
 
-_BYTE = stream(11, 256)
-_POWER = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
-_STEP = 0xD1342543DE82EF95
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWER, _INVERSE
-    if len(_POWER) <= n:
-        size = max(n + 1, 2 * len(_POWER))
-        for name, base in (("_POWER", _STEP), ("_INVERSE", pow(_STEP, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _POWER, _INVERSE
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,17 +65,32 @@ def per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: Longer ranges are hashed one by one by a library function, shorter ones together, 8 bytes a step.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Hasher:
-    """Hashes of any byte ranges of a block, from prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of any byte ranges of a block. Each 8 bytes are mixed into the hash of those before, so no
+    structure of the bytes (unlike with a polynomial) makes two ranges collide but chance."""
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=self.sums[1:])
+        self.data = data
+        self.padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.eight = np.ndarray((len(data) + 1,), "<u8", buffer=self.padded, strides=(1,))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(x + (end - start).astype(np.uint64) * _PRIME)
+        size = end - start
+        out = mix(size.astype(np.uint64) * _PRIME + np.uint64(11))
+        at = np.flatnonzero((size > 0) & (size <= _LONG))
+        place, left = start[at], size[at]
+        while len(at):
+            out[at] = mix(out[at] ^ ((self.eight[place] & _KEEP[np.minimum(left, 8)]) + _PRIME))
+            more = left > 8
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def ranges(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,3 +117,18 @@ def windows(hashes: np.ndarray, doc: np.ndarray, width: int, seed: int) -> tuple
     for k in range(width):
         out += hashes[k : k + n] * factor[k]
     return at, mix(out[at])
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function for mapInArrow, that gives its free memory back to the system when a task ends, as
+    Spark's Python workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole

@@ -4,18 +4,20 @@ A document's set holds its distinct runs of ``width`` words. The sketch has ``BU
 has its own hash function over the whole set and stores, of the smallest value, the count of leading zeros
 (6 bits) and the next 10 bits (mantissa). Four compressed registers fill a 64-bit band.
 
-Equal sets are collapsed first, so the rest works on *distinct* sets (nodes), whatever the number of
-copies. Documents whose bands agree are candidates. With 32 bands, a pair of similarity 0.75 shares none
-with probability (1 - 0.75**4)**32, about 5e-6.
+Equal sets (by a 128-bit digest) are collapsed first, so the rest works on *distinct* sets (nodes), whatever
+the number of copies. Documents whose bands agree are candidates. With 32 bands, a pair of similarity 0.75
+shares none with probability (1 - 0.75**4)**32, about 5e-6.
 
 1. Star pass: each node is paired with the smallest node of each of its band groups: at most 32 pairs a
    node, however large the group. Pairs whose collision-corrected estimate is in reach of the threshold
    are verified on their full sets; verified pairs are links.
 2. Links are joined to components.
-3. Rest pass: band groups that still hold several components are compared in blocks, sketch against sketch;
-   what may be linked across components gets its text and is compared in full within its block.
+3. Rest pass: in band groups that still hold several components, the nodes outside of the group's largest
+   component are compared, sketch against sketch and in blocks, with each other and with that component;
+   what may be linked gets its text and is compared in full.
 So no link between two components can be missing that a shared band would show, and a large group of
-near copies costs its size, not its square.
+near copies costs its size, not its square. Only nodes that share a band without being linked to the most
+of its group are compared with each other: each such pair has to be looked at once.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, Hasher, mix, ranges, spans, stream, text_bytes, windows
-from .store import written
+from .blocks import SPACE, Hasher, mix, ranges, spans, stream, text_bytes, tidy, windows
+from .store import keyed, written
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
@@ -86,13 +88,19 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (equal / BUCKETS - chance) / (1 - chance)
 
 
+def digest(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set of shingles."""
+    return tuple(int(mix(x * np.uint64(f) + np.uint64(k)).sum().view(np.int64)) for k, f in ((1, 1), (2, 0xD1342543DE82EF95)))
+
+
 def sketch(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """_id, n_shingles, node (64-bit digest of the set, null for an empty one) and bands of each document."""
+    """_file and _row (see ``keyed``), _id, n_shingles, d1 and d2 (digest of the set, null for an empty one) and bands
+    of each document."""
 
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column("_t"))
-            sizes, nodes, bands = [], [], []
+            sizes, first, second, bands = [], [], [], []
             for i, j in spans(off):
                 at = off[i : j + 1] - off[i]
                 d, x = shingles(data[off[i] : off[j]], at, width)
@@ -100,11 +108,16 @@ def sketch(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
                 for p, q in zip(cut[:-1], cut[1:]):
                     sizes.append(q - p)
                     own = x[p:q]
-                    nodes.append(int(mix(own + np.uint64(1)).sum().view(np.int64)) if q > p else None)
+                    u, v = digest(own) if q > p else (None, None)
+                    first.append(u)
+                    second.append(v)
                     bands.append(registers(own).view(np.int64) if q > p else None)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "n_shingles", "node", "bands"])
+            columns = [*(b.column(c) for c in ("_file", "_row", "_id")), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_file", "_row", "_id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>")
+    docs, file, row = keyed(docs)
+    rows = docs.select(file.alias("_file"), row.alias("_row"), F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_t"))
+    return rows.mapInArrow(tidy(run), "_file long, _row long, _id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,39 +140,39 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             keep = pa.array(near & (4 * np.minimum(n, m) >= 4 * least * np.maximum(n, m)))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in "ab"], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(run), "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union. ``texts``: node, t."""
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most: int = 512) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``texts``: node, t.
 
-    def whole(column) -> list[np.ndarray]:
-        data, off = text_bytes(column)
-        out = []
-        for i, j in spans(off):
-            d, x = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-            cut = np.searchsorted(d, np.arange(j - i + 1))
-            out += [x[p:q] for p, q in zip(cut[:-1], cut[1:])]
-        return out
+    The texts of all a of one b follow that of b, in parts of about ``most`` rows, so each text travels once for
+    each pair, or part, that it is in, and a b with many partners is spread over many tasks."""
 
     def run(batches):
-        hub, held = None, None
-        for b in batches:
-            for k in range(0, len(b), 256):
-                part = b.slice(k, 256)
-                ids = part.column("b").to_pylist()
-                new = [i for i, x in enumerate(ids) if x != (ids[i - 1] if i else hub)]
-                own, hubs = whole(part.column("t_a")), dict(zip(new, whole(part.column("t_b").take(pa.array(new, pa.int64())))))
-                keep = []
-                for i, x in enumerate(own):
-                    held = hubs.get(i, held)
-                    both = len(np.intersect1d(x, held, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(held) - both))
-                hub = ids[-1]
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep)) for c in "ab"], names=["a", "b"])
-
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}"))
-    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            data, off = text_bytes(batch.column("t"))
+            b, member, node = (np.asarray(batch.column(c)) for c in ("b", "member", "node"))
+            keep = np.zeros(len(batch), bool)
+            for i, j in spans(off):
+                d, x = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                cut = np.searchsorted(d, np.arange(j - i + 1))
+                for k, (p, q) in enumerate(zip(cut[:-1], cut[1:]), i):
+                    own = x[p:q]
+                    if not member[k]:
+                        held = own.copy()
+                        continue
+                    less, more = (own, held) if len(own) < len(held) else (held, own)
+                    both = int((more[np.minimum(np.searchsorted(more, less), len(more) - 1)] == less).sum()) if len(less) else 0
+                    keep[k] = 100 * both >= percent * (len(own) + len(held) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    members = pairs.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("p"), F.lit(1).alias("member"), F.col("a").alias("node"))
+    heads = hubs.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(0).alias("member"), F.col("b").alias("node"))
+    rows = members.unionByName(heads).join(texts.hint("merge"), "node").select("b", "p", "member", "node", "t")
+    return rows.repartition("b", "p").sortWithinPartitions("b", "p", "member").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,18 +215,30 @@ def _block(t: pa.Table) -> tuple[dict[str, np.ndarray], int, bool]:
 _ROW = "i int, w long, p long, q long, own long, node long, component long, n_shingles long, bands array<long>"
 
 
-def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 512) -> DataFrame:
+def _dealt(rows: DataFrame, block: int, weight: int) -> DataFrame:
+    """Rows (i, w, node, component, n_shingles) of band groups, dealt to the tasks (p, q) that compare them. Nodes of
+    the largest component of a group, and all others, are dealt to blocks of about ``block`` rows or ``weight``
+    shingles; each pair of blocks is a task, but for those of the largest component alone."""
+    parts = lambda n, s: F.ceil(F.greatest(F.col(n) / block, F.col(s) / weight))
+    held = rows.groupBy("i", "w", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = held.groupBy("i", "w").agg(F.max(F.struct("n", "s", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("i", "w", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("s") - F.col("top.s")).alias("s"), F.col("top.n").alias("tn"), F.col("top.s").alias("ts"))
+    mixed = mixed.select("i", "w", "top", parts("n", "s").alias("few"), parts("tn", "ts").alias("many"))
+    rows = rows.join(mixed, ["i", "w"])
+    in_top = F.col("component") == F.col("top")
+    own = F.when(in_top, F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(in_top, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return rows.select("i", "w", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n_shingles")
+
+
+def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 2048, weight: int = 1 << 20) -> DataFrame:
     """Links (a, b) between different components of band groups (``groups``: node, i, w of shared bands): enough
     of them to join all that are linked.
 
-    Members are dealt to blocks, and each pair of blocks of a group is a task of at most about 2 * ``block``
-    rows. Sketches tell which rows may have a link at all; only these get their texts and are compared in full."""
+    Sketches tell which rows may have a link at all; only these are dealt again, to smaller blocks, and get their
+    texts and are compared in full."""
     least = percent / 100 - REACH
-    rows = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("i", "w").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("i", "w", F.ceil(F.col("size") / block).alias("parts"))
-    rows = rows.join(mixed, ["i", "w"]).join(sets.select("node", "n_shingles", "bands"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("i", "w", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n_shingles", "bands")
 
     def hopeful(t: pa.Table) -> pa.Table:
         own, band, apart = _block(t)
@@ -222,7 +247,7 @@ def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataF
             y = _likely(own, x, band, apart, least)
             used[y] = True
             used[x] |= bool(len(y))
-        return t.filter(pa.array(used))
+        return t.filter(pa.array(used)).select(["i", "w", "node", "component", "n_shingles"])
 
     def linked(t: pa.Table) -> pa.Table:
         own, band, apart = _block(t)
@@ -239,80 +264,84 @@ def rest_links(groups: DataFrame, comp: DataFrame, sets: DataFrame, texts: DataF
 
         out_a, out_b = [], []
         for x in np.flatnonzero(own["own"] == own["p"]):
-            y = _likely(own, x, band, apart, least)
-            if not len(y):
-                continue
             mine = h[cut[x] : cut[x + 1]]
-            place = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
-            hits = np.concatenate(([0], np.cumsum(mine[place] == h)))
-            both = hits[cut[y + 1]] - hits[cut[y]]
-            size = len(mine) + cut[y + 1] - cut[y] - both
-            for z in y[100 * both >= percent * size]:
-                c, d = root(int(own["component"][x])), root(int(own["component"][z]))
-                if c != d:
+            for y in _likely(own, x, band, apart, least):
+                c, d = root(int(own["component"][x])), root(int(own["component"][y]))
+                if c == d:  # joined by others meanwhile
+                    continue
+                other = h[cut[y] : cut[y + 1]]
+                both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
+                if 100 * both >= percent * (len(mine) + len(other) - both):
                     parent[max(c, d)] = min(c, d)
-                    out_a.append(max(own["node"][x], own["node"][z]))
-                    out_b.append(min(own["node"][x], own["node"][z]))
+                    out_a.append(max(own["node"][x], own["node"][y]))
+                    out_b.append(min(own["node"][x], own["node"][y]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    near = written(rows.groupBy("i", "w", "p", "q").applyInArrow(hopeful, _ROW), "near")
-    return near.join(texts.hint("merge"), "node").select("i", "w", "p", "q", "own", "node", "component", "n_shingles", "bands", "t").groupBy("i", "w", "p", "q").applyInArrow(linked, "a long, b long")
+    sketches = sets.select("node", "n_shingles", "bands")
+    rows = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sketches.drop("bands"), "node")
+    rows = _dealt(rows.select("i", "w", "node", "component", "n_shingles"), block, 1 << 62)
+    near = rows.join(sketches.drop("n_shingles"), "node").select(*[x.split()[0] for x in _ROW.split(", ")])
+    near = written(near.groupBy("i", "w", "p", "q").applyInArrow(hopeful, "i int, w long, node long, component long, n_shingles long").distinct(), "near")
+    last = _dealt(near, 256, weight).join(sketches.drop("n_shingles"), "node").join(texts.hint("merge"), "node")
+    return last.select(*[x.split()[0] for x in _ROW.split(", ")], "t").groupBy("i", "w", "p", "q").applyInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """n_shingles, component_id and kept of every row: rows are linked if 100 * intersection >= percent *
-    union of their sets; component_id is the smallest key reachable; kept marks the rows with that key.
-
-    Null, empty and wordless texts have empty sets and stand alone. Null keys are allowed; a component of
-    only null keys has a null component_id and keeps them. Rows with one key and equal texts are equal."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """_file and _row (names of a row, see ``keyed``), _id, n_shingles, component_id (smallest id reachable) and only
+    (whether the row is the one that stands for its component: with the smallest id, of rows with that id the first
+    by place) of every row. An empty set is a component of its own; components are those of sets, not of ids."""
     least = percent / 100 - REACH
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_t"))
-    base = written(sketch(docs, "_id", "_t", width), "sketch")
-    sets = written(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
+    rows, file, row = keyed(docs)
+    base = written(sketch(rows, key, text, width), "sketch")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_file", "_row")).alias("first")
+    sets = base.where(F.col("d1").isNotNull()).groupBy("d1", "d2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     bands = sets.select("node", F.posexplode("bands").alias("i", "w"))
     shared = bands.groupBy("i", "w").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
     groups = written(bands.join(shared, ["i", "w"]), "groups")
     stars = groups.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     close = written(near_pairs(stars, sets, least), "stars")
-    # texts of the nodes that may need verifying: one document stands for each set
-    wanted = groups.select("node").distinct().join(sets.select("node", "_id"), "node")
-    # all these sides grow with the input, so none is broadcast, however small it is now
-    texts = docs.join(wanted.where(F.col("_id").isNotNull()).hint("merge"), "_id").select("node", F.col("_t").alias("t"))
-    texts = written(_matching(texts, width).unionByName(_matching(docs.where(F.col("_id").isNull()).select(F.lit(None).cast("long").alias("node"), F.col("_t").alias("t")), width)).groupBy("node").agg(F.min("t").alias("t")), "texts")
+    # texts of the nodes that may need verifying: one document stands for each set. All these sides grow with the
+    # input, so none is broadcast, however small it is now
+    wanted = groups.select("node").distinct().join(sets.select("node", "first._file", "first._row"), "node")
+    texts = rows.select(file.alias("_file"), row.alias("_row"), F.col(f"`{text}`").alias("t")).join(wanted.hint("merge"), ["_file", "_row"]).select("node", "t")
+    texts = written(texts, "texts")
     links = written(verify(close, texts, width, percent), "verified")
     comp = components(links)
     found = written(rest_links(groups.drop("hub"), comp, sets, texts, width, percent), "rest")
-    own = sets.select("node", "_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = own.groupBy("component").agg(F.min("_id").alias("component_id"))
+    own = sets.select("d1", "d2", "node", "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = own.groupBy("component").agg(F.min("first").alias("first"))
     if not found.isEmpty():
         # whole components are joined, so this pass has a node for each of them, not for each set
         for c in "ab":
             found = found.join(comp.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
         roots = components(found).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        first = first.join(roots, "component", "left").withColumn("root", F.coalesce("root", "component"))
-        first = first.select("component", "root").join(first.groupBy("root").agg(F.min("component_id").alias("component_id")), "root").drop("root")
-    named = own.join(first, "component").select("node", "component_id")
-    out = base.select("_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
-
+        tops = tops.join(roots, "component", "left").withColumn("root", F.coalesce("root", "component"))
+        tops = tops.select("component", "root").join(tops.groupBy("root").agg(F.min("first").alias("first")), "root").drop("root")
+    named = own.select("d1", "d2", "component").join(tops, "component").select("d1", "d2", "first")
+    out = base.drop("bands").join(named, ["d1", "d2"], "left")
+    alone = F.col("d1").isNull()
+    only = alone | ((F.col("_file") == F.col("first._file")) & (F.col("_row") == F.col("first._row")))
+    return out.select("_file", "_row", "_id", "n_shingles", F.when(alone, F.col("_id")).otherwise(F.col("first._id")).alias("component_id"), only.alias("only"))
 
-def _matching(texts: DataFrame, width: int) -> DataFrame:
-    """Rows (node, t) whose text has the set of that node (keys may repeat); a null node is filled in."""
 
-    def run(batches):
-        for b in batches:
-            data, off = text_bytes(b.column("t"))
-            found = []
-            for i, j in spans(off):
-                d, x = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                sums = np.zeros(len(x) + 1, np.uint64)
-                np.cumsum(mix(x + np.uint64(1)), out=sums[1:])
-                cut = np.searchsorted(d, np.arange(j - i + 1))
-                found.append(np.where(cut[1:] > cut[:-1], (sums[cut[1:]] - sums[cut[:-1]]).view(np.int64), 0))
-            own = np.concatenate(found) if found else np.zeros(0, np.int64)
-            node = b.column("node")
-            keep = pa.array(np.asarray(node.is_null()) | (np.asarray(node.fill_null(0)) == own))
-            yield pa.RecordBatch.from_arrays([pa.array(own).filter(keep), b.column("t").filter(keep)], names=["node", "t"])
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """n_shingles, component_id and kept of every row: rows are linked if 100 * intersection >= percent *
+    union of their sets; component_id is the smallest key reachable; kept marks the rows with that key.
 
-    return texts.mapInArrow(run, "node long, t string")
+    Null, empty and wordless texts have empty sets and stand alone. Null keys are allowed; a component of
+    only null keys has a null component_id and keeps them. Other columns, whatever their names, are not read;
+    repeated keys with different texts are separate documents."""
+    out = classes(docs, key, text, width, percent)
+    return out.select(F.col("_id").alias(key), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: one of each (see ``classes``). Rows are told
+    apart by their place, so repeated and null keys lose no document; rows with empty sets all stay."""
+    rows, file, row = keyed(docs)
+    rest = classes(rows, key, text, width, percent).where("NOT only").select("_file", "_row")
+    names = rows.columns
+    named = rows.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], file.alias("_file"), row.alias("_row"))
+    left = named.join(rest.hint("merge"), ["_file", "_row"], "left_anti")  # grows with the input
+    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])

@@ -9,7 +9,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -37,9 +38,27 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(``docs``, two columns that name each of its rows, the same in every reading). Rows of a table in files are
+    named by file and place; anything else is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(place["file_path"]), place["row_index"]
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, unless the session has a limit of its own: a batch is held several times over
+    by Spark and by Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):  # Spark's own value
+        spark.conf.set(name, "8m")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows, read from a Parquet table written now."""
     spark = df.sparkSession
+    lean(spark)
     path = new_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
