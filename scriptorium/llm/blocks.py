@@ -65,9 +65,10 @@ def per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: Masks of the first 0 to 8 bytes of eight.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Longer ranges are hashed one by one by a library function, shorter ones together, 8 bytes a step.
 _LONG = 256
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Hasher:
@@ -85,7 +86,7 @@ class Hasher:
         at = np.flatnonzero((size > 0) & (size <= _LONG))
         place, left = start[at], size[at]
         while len(at):
-            out[at] = mix(out[at] ^ ((self.eight[place] & _KEEP[np.minimum(left, 8)]) + _PRIME))
+            out[at] = mix(out[at] ^ ((self.eight[place] & KEEP[np.minimum(left, 8)]) + _PRIME))
             more = left > 8
             at, place, left = at[more], place[more] + 8, left[more] - 8
         for i in np.flatnonzero(size > _LONG):
