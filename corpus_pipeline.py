@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, neardup, packing, quality, store, toxicity
 from scriptorium.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality is at least 0.5 and that pass the base rules."""
-    measured = store.written(quality.measure(docs), "quality")
-    return quality.judge(measured).where("kept").select(*docs.columns)
+    """Documents whose posterior quality is at least 0.5 and that pass the base rules. Null and empty texts go;
+    columns, repeated rows and ids are as they were."""
+    return quality.accepted(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.7; the lexicon is fitted on the labelled ones among them that
-    are not held out."""
+    are not held out. Null texts score as empty ones and stay; columns, repeated rows and ids are as they were."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out("doc_id", 3, 1))
     lexicon = toxicity.train(toxicity.labelled(docs, labels))
-    return toxicity.score(docs, lexicon).where(F.col("_score") < 0.7).select(*docs.columns)
+    return toxicity.mild(docs, lexicon)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    """The pieces of all documents with their places in sequences of at most 4096 tokens. A null text is empty; repeated
+    rows are documents of their own; other columns are not read."""
     cut = store.written(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")), "pieces")
     return packing.packed(cut)
 

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, Hasher, per_doc, ranges, spans, text_bytes, windows
+from .blocks import SPACE, Hasher, per_doc, ranges, spans, text_bytes, tidy, windows
+from .store import written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_lines", "n_kinds", "n_shout")
-RULES = ("symbols", "repeats", "lines", "capitals", "bare_words", "word_length", "kinds", "shouts")
+RULES = ("symbols", "repeats", "capitals", "word_length", "kinds", "shouts")
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -69,23 +70,31 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
-    """One column a rule: 0 abstain, 1 keep, 2 reject. Texts under 20 words get only abstentions."""
+    """One column a rule: 0 abstain, 1 keep, 2 reject. Texts under 20 words get only abstentions.
+
+    The model takes rules to be independent given the quality, so traits that go together share a rule: signs and
+    words of signs alone, repeated words and repeated lines. The variety of words is the logarithm of the distinct
+    ones over that of all, which hardly depends on a text's length."""
     words = np.maximum(1, s["n_words"])
 
-    def vote(part, whole, keep, reject):
-        share = part / np.maximum(1, whole)
-        return np.where(share <= keep, 1, np.where(share >= reject, 2, 0))
+    def share(part, whole):
+        return part / np.maximum(1, whole)
+
+    def vote(keep, reject):
+        return np.where(reject, 2, np.where(keep, 1, 0))
 
     long = s["word_chars"] / words
+    signs, bare = share(s["n_symbols"], words), share(s["n_bare"], words)
+    again, lines = share(s["n_repeat_words"], words), share(s["n_dup_lines"], s["n_lines"])
+    upper, shout = share(s["n_upper"], s["n_upper"] + s["n_lower"]), share(s["n_shout"], words)
+    kinds = np.log(np.maximum(1, s["n_kinds"])) / np.log(np.maximum(2, words))
     out = np.stack([
-        vote(s["n_symbols"], words, 0.02, 0.2),
-        vote(s["n_repeat_words"], words, 0.02, 0.2),
-        vote(s["n_dup_lines"], s["n_lines"], 0.1, 0.3),
-        vote(s["n_upper"], s["n_upper"] + s["n_lower"], 0.15, 0.4),
-        vote(s["n_bare"], words, 0.02, 0.1),
-        np.where((long >= 3) & (long <= 10), 1, np.where((long < 2) | (long > 14), 2, 0)),
-        np.where(s["n_kinds"] >= 0.3 * words, 1, np.where((s["n_kinds"] <= 0.1 * words) & (words < 500), 2, 0)),
-        vote(s["n_shout"], words, 0.01, 0.1),
+        vote((signs <= 0.02) & (bare <= 0.02), (signs >= 0.2) | (bare >= 0.1)),
+        vote((again <= 0.02) & (lines <= 0.1), (again >= 0.3) | (lines >= 0.6)),
+        vote(upper <= 0.15, upper >= 0.4),
+        vote((long >= 3) & (long <= 10), (long < 2) | (long > 14)),
+        vote(kinds >= 0.75, kinds <= 0.6),
+        vote(shout <= 0.01, shout >= 0.1),
     ], axis=1)
     out[s["n_words"] < 20] = 0
     return out
@@ -95,22 +104,25 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, least_ratio: float = 60.0) -> dict:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, precision: float = 2 / 3) -> dict:
     """EM over distinct vote patterns. Starts from suspicion of every text that some rule rejects.
-    Every rule is taken to be informative: it rejects good texts at least ``least_ratio`` times less often than
-    bad ones. Without that bound the two classes are free to tell one kind of bad text from all the rest.
-    Vote frequencies are smoothed by half a count and rounded, so that results don't hang on summation order."""
+
+    As usual in weak supervision, a rule's votes are taken to be better than chance, without which the classes have
+    no meaning and one class may end up empty: of the texts that a rule rejects, at least the share ``precision`` is
+    taken to be bad. Vote frequencies are smoothed by a tenth of a count and rounded, so that results don't hang on
+    summation order."""
     patterns, counts = np.asarray(patterns, int).reshape(-1, len(RULES)), np.asarray(counts, float)
     good = np.where((patterns == 2).any(1), 0.1, 0.9)
     prior, table = 0.9, np.full((2, len(RULES), 3), 1 / 3)
     for _ in range(rounds if len(patterns) else 0):
-        for c, w in enumerate((counts * (1 - good), counts * good)):
-            for v in range(3):
-                table[c, :, v] = (w @ (patterns == v) + 0.5) / (w.sum() + 1.5)
-        rare = np.minimum(table[1, :, 2], table[0, :, 2] / least_ratio)
-        table[1, :, 1] += table[1, :, 2] - rare
-        table[1, :, 2] = rare
-        prior = (counts @ good + 0.5) / (counts.sum() + 1)
+        mass = np.array([counts @ (1 - good), counts @ good])
+        said = np.array([[w @ (patterns == v) for v in range(3)] for w in (counts * (1 - good), counts * good)])
+        moved = np.maximum(0, said[1, 2] - (1 - precision) * said[:, 2].sum(0))
+        said[0, 2] += moved
+        said[1, 2] -= moved
+        for c in (0, 1):
+            table[c] = ((said[c] + 0.1) / (said[c].sum(0) + 0.3)).T
+        prior = (mass[1] + 0.5) / (counts.sum() + 1)
         new = posterior(patterns, {"prior": prior, "table": table})
         if np.abs(new - good).max() < 1e-9:
             break
@@ -128,8 +140,8 @@ def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus _stats, a struct of the statistics and the vote pattern (base 3)."""
-    names = docs.columns
+    """The columns of ``docs`` as _0, _1 and so on, whatever their names, plus _stats, a struct of the statistics and the
+    vote pattern (base 3)."""
     scale = 3 ** np.arange(len(RULES))
 
     def run(batches):
@@ -141,19 +153,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 s = statistics(data[at[0] : at[-1]], at - at[0])
                 parts.append(s | {"pattern": votes(s) @ scale})
             cols = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.int64()) for k in (*STATS, "pattern")]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(cols, [*STATS, "pattern"])], names=[*(f"_{i}" for i in range(len(names))), "_stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(cols, [*STATS, "pattern"])], names=[*b.schema.names[:-1], "_stats"])
 
-    src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("_whole"))
-    schema = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", _stats struct<" + ",".join(f"{k}:bigint" for k in (*STATS, "pattern")) + ">"
-    out = src.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "_stats")
+    src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text}`").alias("_whole"))
+    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "_stats struct<" + ",".join(f"{k}:bigint" for k in (*STATS, "pattern")) + ">"])
+    return src.mapInArrow(tidy(run), schema)
 
 
 def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds base_failed, quality (posterior) and kept to the rows of ``measure``, which should be a written
-    table as it is read twice. The driver gets at most 3 ** len(RULES) = 6561 pattern counts.
+    """Adds _failed, _quality (posterior) and _kept to the rows of ``measure``, which should be a written
+    table as it is read twice. The driver gets at most 3 ** len(RULES) = 729 pattern counts.
 
-    Null and empty texts have no words and fail; repeated rows and ties get equal verdicts."""
+    Null and empty texts have no words and fail; repeated rows and ties get equal verdicts; long texts are read
+    whole."""
     spark = measured.sparkSession
     failed = base_failed(F.col("_stats.n_words"), F.col("_stats.n_repeat_words"))
     counted = sorted((r[0], r[1]) for r in measured.where(~failed).groupBy("_stats.pattern").count().collect())
@@ -161,6 +173,20 @@ def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns = codes[:, None] // 3 ** np.arange(len(RULES)) % 3
     model = fit(patterns, np.array([n for _, n in counted], float))
     probs = posterior(patterns.reshape(-1, len(RULES)), model)
-    table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, probs)], "_pattern long, _quality double")
-    joined = measured.join(F.broadcast(table), F.col("_stats.pattern") == F.col("_pattern"), "left").drop("_pattern")
-    return joined.withColumn("base_failed", failed).withColumn("quality", F.coalesce("_quality", F.lit(float(round(model["prior"], 6))))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("_quality")
+    table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, probs)], "_pattern long, _known double")
+    joined = measured.join(F.broadcast(table), F.col("_stats.pattern") == F.col("_pattern"), "left")
+    quality = F.coalesce("_known", F.lit(float(round(model["prior"], 6))))
+    return joined.withColumn("_failed", failed).withColumn("_quality", quality).withColumn("_kept", ~F.col("_failed") & (F.col("_quality") >= threshold)).drop("_pattern", "_known")
+
+
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key of each row with the statistics of its whole text, base_failed, kept and quality; other columns are not
+    read."""
+    measured = written(measure(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).drop("_1"), "quality")
+    return judge(measured).select(F.col("_0").alias(key), *[F.col(f"_stats.{k}").alias(k) for k in STATS[:5]], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_quality").alias("quality"))
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model and the base rules keep, with the columns as they are, whatever their names."""
+    kept = judge(written(measure(docs, text), "quality")).where("_kept")
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -59,8 +59,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = store.written(quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text"), "quality")
-    return quality.judge(measured).select("doc_id", *[F.col(f"_stats.{k}").alias(k) for k in quality.STATS[:5]], "base_failed", "kept", "quality")
+    return quality.report(_table(spark, sf_dir, "documents"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

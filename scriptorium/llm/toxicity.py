@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import tidy
+
 #: Characters written in place of a letter. Cyrillic and Greek look-alikes, digits, signs.
 LOOKS = {
     "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p",
@@ -118,7 +120,7 @@ def evidence(text: str) -> set[str]:
 def cover(toxic: list[set[str]], clean: Counter, n_clean: int, size: int) -> dict[str, float]:
     """A lexicon that explains the toxic texts, greedily: of the patterns whose log odds are over 2.5, take the
     one with most texts not yet explained less three times its clean texts, the longest of equal ones, until
-    one explains fewer than 3 new texts in 1000 or 3. A word that merely occurs in toxic texts adds nothing."""
+    one explains fewer than 3 new texts, or, if a clean text has it too, 3 in 1000. A word that merely occurs in toxic texts adds nothing."""
     counts = Counter(p for found in toxic for p in found)
     odds = {p: math.log((t + 0.2) / (len(toxic) + 1)) - math.log((clean[p] + 0.2) / (n_clean + 1)) for p, t in counts.items() if t >= 3}
     held = {p: set() for p, x in odds.items() if x > 2.5}
@@ -131,10 +133,11 @@ def cover(toxic: list[set[str]], clean: Counter, n_clean: int, size: int) -> dic
     done: set[int] = set()
     kept: dict[str, float] = {}
     least = max(3, math.ceil(len(toxic) * 0.003))
+    new_enough = lambda p, new: new >= (least if clean[p] else 3)
     while heap and len(kept) < size:
         top = heapq.heappop(heap)
         now = rank(top[2], len(held[top[2]] - done))
-        if -now[0] < least:
+        if not new_enough(top[2], -now[0]):
             continue
         if heap and now > heap[0]:
             heapq.heappush(heap, now)
@@ -172,13 +175,11 @@ def fit(rows: list[tuple[str, int]], kept: dict[str, float]) -> Lexicon:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 2500, max_chars: int = 12_000, size: int = 2000) -> Lexicon:
-    """Fit on a bounded sample of labelled rows without repeats: about ``per_class`` texts of each class, of at most
-    ``max_chars`` characters, picked by a hash of the text. Null texts and labels are left out."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= max_chars)).select(F.col(text).alias("t"), (F.col(label) > 0).cast("int").alias("y"))
-    counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, F.lit(per_class / max(1, counts.get(1, 1)))).otherwise(per_class / max(1, counts.get(0, 1)))
-    sample = sorted((r.t, r.y) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1e6).collect())
-    sample = sorted(set(sample))
+    """Fit on a bounded sample of labelled rows without repeats: at most ``per_class`` texts of each class, those with the
+    smallest hashes, each cut to ``max_chars`` characters. Null texts and labels are left out."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.left(text, F.lit(max_chars)).alias("t"), (F.col(label) > 0).cast("int").alias("y"))
+    rows = rows.distinct().withColumn("h", F.xxhash64("t"))
+    sample = sorted((r.t, r.y) for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "t").limit(per_class).collect())
     toxic = [evidence(t) for t, y in sample if y]
     known, clean = set().union(*toxic), Counter()
     for t, y in sample:
@@ -187,19 +188,29 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", per_cla
     return fit(sample, cover(toxic, clean, len(sample) - len(toxic), size))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus _score; read from the whole text alone."""
-    names = docs.columns
+def _scored(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
+    """The columns of ``docs`` as _0, _1 and so on, and _score."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         lex = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([lex.score(t) for t in b.column("_whole").to_pylist()], pa.float64())], names=[*(f"_{i}" for i in range(len(names))), "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([lex.score(t) for t in b.column("_whole").to_pylist()], pa.float64())], names=[*b.schema.names[:-1], "_score"])
+
+    src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text}`").alias("_whole"))
+    return src.mapInArrow(tidy(run), ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "_score double"]))
+
+
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` plus _score (in place of a column of that name), read from the whole text alone. Null and
+    empty texts score as texts without a match; equal texts, and so repeated rows, score alike."""
+    out = _scored(docs, lexicon, text)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c != "_score"], "_score")
+
 
-    src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("_whole"))
-    out = src.mapInArrow(run, ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", _score double")
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "_score")
+def mild(docs: DataFrame, lexicon: Lexicon, text: str = "text", most: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``most``, with all columns as they are, whatever their names."""
+    return _scored(docs, lexicon, text).where(F.col("_score") < most).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = 40_000) -> DataFrame:
