@@ -3,8 +3,9 @@
 Every window of ``WIDTH`` bytes is a feature. Its rarity rank comes from its entropy (in fixed point,
 exact at any block size): the further from the entropy usual in text, the rarer; almost constant windows
 come last. A feature is selected if it is the leftmost rarest one in at least ``POPULAR`` of the runs of
-``RUN`` neighbours that hold it; a text of at most ``FILL`` windows keeps them all. Selected features, without repeats and in text order, go into a chain of
-Bloom filters of 2048 bits, 5 bits a feature, ``FILL`` features a filter.
+``RUN`` neighbours that hold it, counting runs that reach over the ends of the text, so texts of any length
+are treated alike. Selected features, without repeats and in text order, go into a chain of Bloom filters of
+2048 bits, 5 bits a feature, ``FILL`` features a filter.
 
 Likeness averages, over the filters of the shorter chain, the best overlap with a filter of the other,
 normalised so that 0 is the overlap by chance and 1 the largest possible one.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Hasher, spans
+from .blocks import Hasher, spans, tidy
 
 WIDTH, RUN, POPULAR, FILL, BITS, PICKS = 16, 32, 8, 160, 2048, 5
 #: Entropy in bits usual in windows of running text, and the least of an informative window.
@@ -67,8 +68,13 @@ def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for s in (1, 2, 4, 8, 16):
             least = np.minimum(least[:-s], least[s:])
         best = least[:n][inside] & 0x7FFFFFFF
-        popular = np.bincount(best, minlength=n)[:n] >= POPULAR
-        at = np.flatnonzero(popular | (inside & (sizes <= FILL + WIDTH - 1)[owner]))
+        # runs that begin before the text: the rarest of its first windows
+        ahead = off[:-1, None] + np.arange(RUN - 1)
+        own = ahead + WIDTH <= off[1:, None]
+        lead = np.minimum.accumulate(np.where(own, key[np.minimum(ahead, n - 1)], np.iinfo(np.int64).max), axis=1)
+        lead = lead[(sizes >= WIDTH)] & 0x7FFFFFFF
+        popular = np.bincount(best, minlength=n)[:n] + np.bincount(lead.ravel(), minlength=n)[:n] >= POPULAR
+        at = np.flatnonzero(popular & inside)
         doc = owner[at]
     bare = np.setdiff1d(np.flatnonzero(sizes), doc)
     start = np.concatenate((at, off[bare]))
@@ -109,16 +115,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if (len(b), b.tobytes()) < (len(a), a.tobytes()):
         a, b = b, a
-    best = []
-    wide = np.unpackbits(b, axis=1).astype(np.float32)
-    size_b = wide.sum(1)
+    best = np.zeros(len(a), np.float32)
     for i in range(0, len(a), 64):
         x = np.unpackbits(a[i : i + 64], axis=1).astype(np.float32)
         size_a = x.sum(1)
-        most = np.minimum(size_a[:, None], size_b[None, :])
-        chance = size_a[:, None] * size_b[None, :] / BITS
-        best.append(np.clip((x @ wide.T - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(1))
-    return float(np.concatenate(best).mean(dtype=np.float64))
+        for j in range(0, len(b), 64):
+            y = np.unpackbits(b[j : j + 64], axis=1).astype(np.float32)
+            size_b = y.sum(1)
+            most = np.minimum(size_a[:, None], size_b[None, :])
+            chance = size_a[:, None] * size_b[None, :] / BITS
+            near = np.clip((x @ y.T - chance) / np.maximum(most - chance, 1e-6), 0, 1).max(1)
+            best[i : i + 64] = np.maximum(best[i : i + 64], near)
+    return float(best.mean(dtype=np.float64))
 
 
 def to_text(chain: np.ndarray) -> str:
@@ -136,42 +144,54 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut] if cut else text
 
 
-def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1024, most_buckets: int = 20_000) -> DataFrame:
+def _places(key: pa.Array, order: pa.Array) -> np.ndarray:
+    """Keys and hashes as 16 bytes that compare as pairs of integers do; a null key is the least."""
+    k = np.asarray(key.fill_null(0)).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    k = np.where(np.asarray(key.is_null()), np.uint64(0), k)
+    h = np.asarray(order).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.stack((k.astype(">u8"), h.astype(">u8")), axis=1).reshape(-1).view("S16")
+
+
+def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1024, most_buckets: int = 100_000, sample: int = 20) -> DataFrame:
     """The rows of ``docs`` (key and text) in buckets of the key, ready for a pass in descending order.
 
     Returns _bucket, _head (0, or 1 for a copy of the row that follows the bucket), key and text, sorted in
-    each partition. Buckets are ranges between quantiles of the key: the driver holds at most
-    ``most_buckets`` of these, whatever the input. The last row is followed by the first one. Rows with the
-    same key follow each other in the order of their texts."""
+    each partition. Buckets are ranges; where to cut is read from a sample of the rows' places, at most about
+    ``sample * most_buckets`` of 16 bytes, and changes no result. The last row is followed by the first one. Rows
+    with the same key follow each other by a hash of their texts, then by text, and may fill many buckets."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    ids = rows.select("_k")
-    total = ids.count()
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    places = rows.select("_k", "_h")
+    total = docs.count()
     n = max(1, min(most_buckets, -(-total // rows_per_bucket)))
-    cuts = sorted(set(ids.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 100_000)).first()[0] or [])) if n > 1 and total else []
-    bounds = np.array(cuts, np.int64)
+    share = min(1.0, sample * n / max(1, total))
+    picked = places.where(F.pmod(F.xxhash64("_k", "_h"), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow() if n > 1 else None
+    bounds = np.zeros(0, "S16")
+    if picked is not None and len(picked):
+        found = np.sort(_places(*(picked.column(c).combine_chunks() for c in ("_k", "_h"))))
+        bounds = np.unique(found[np.linspace(0, len(found) - 1, n + 1).astype(int)[1:-1]])
 
     def bucket(batches):
         for b in batches:
-            k = b.column("_k")
-            k = np.where(np.asarray(k.is_null()), np.iinfo(np.int64).min, np.asarray(k.fill_null(0)))
-            place = pa.array(len(bounds) - np.searchsorted(bounds, k, "left"), pa.int64())
-            yield pa.RecordBatch.from_arrays([place, *b.columns], names=["_bucket", *b.schema.names])
+            place = len(bounds) - np.searchsorted(bounds, _places(b.column("_k"), b.column("_h")), "left")
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *b.columns], names=["_bucket", *b.schema.names])
 
-    tops = {r[0]: r[1] for r in ids.mapInArrow(bucket, "_bucket long, _k long").groupBy("_bucket").agg(F.max("_k")).collect()}
-    placed = rows.mapInArrow(bucket, "_bucket long, _k long, _t string").select("_bucket", F.lit(0).alias("_head"), "_k", "_t")
+    top = F.max(F.struct(F.col("_k").isNotNull(), "_k", "_h")).alias("top")
+    tops = {r[0]: (r.top._k, r.top._h) for r in places.mapInArrow(bucket, "_bucket long, _k long, _h long").groupBy("_bucket").agg(top).collect()}
+    placed = rows.mapInArrow(bucket, "_bucket long, _k long, _t string, _h long").select("_bucket", F.lit(0).alias("_head"), "_k", "_t", "_h")
     order = sorted(tops)
-    follows = [(order[i], order[(i + 1) % len(order)], tops[order[(i + 1) % len(order)]]) for i in range(len(order))]
-    wanted = spark.createDataFrame(follows, "_bucket long, _of long, _k long")
-    heads = rows.join(F.broadcast(wanted), rows._k.eqNullSafe(wanted._k)).groupBy("_bucket").agg(F.min(F.struct(rows._k, "_t")).alias("x")).select("_bucket", F.lit(1).alias("_head"), "x._k", "x._t")
-    return placed.unionByName(heads).repartition("_bucket").sortWithinPartitions("_bucket", "_head", F.desc_nulls_last("_k"), "_t")
+    follows = [(order[i], *tops[order[(i + 1) % len(order)]]) for i in range(len(order))]
+    wanted = spark.createDataFrame(follows, "_bucket long, _wk long, _wh long")
+    heads = rows.join(F.broadcast(wanted), rows._k.eqNullSafe(wanted._wk) & (rows._h == wanted._wh)).groupBy("_bucket").agg(F.max(F.struct("_t", "_k", "_h")).alias("x")).select("_bucket", F.lit(1).alias("_head"), "x._k", "x._t", "x._h")
+    return placed.unionByName(heads).repartition("_bucket").sortWithinPartitions("_bucket", "_head", F.desc_nulls_last("_k"), F.desc("_h"), F.desc("_t")).drop("_h")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text (see ``edited``; the following text is that of the
     next smaller key), with the likeness of its fingerprint to the edited text's and to the next one's.
 
-    Null texts count as empty, null keys come last; a single row is followed by itself."""
+    Null texts count as empty, null keys come last; a single row is followed by itself; rows with equal keys follow each
+    other as ``with_next`` tells, repeated rows one after the other; other columns are not read."""
 
     def run(batches):
         held = None  # the row whose following row comes with the next batch
@@ -191,7 +211,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             if part:
                 yield _batch(part)
 
-    return with_next(docs, key, text).mapInArrow(run, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("_k", key)
+    return with_next(docs, key, text).mapInArrow(tidy(run), f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("_k", key)
 
 
 def _batch(pairs: list[tuple]) -> pa.RecordBatch:
