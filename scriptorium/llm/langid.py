@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import spans, text_bytes
+from .blocks import spans, text_bytes, tidy
 
 UNIT = 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -134,28 +134,33 @@ def held_out(doc_id: str, parts: int, remainder: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts == remainder
 
 
-def train(docs: DataFrame, text: str, lang: str, docs_per_language: int = 240, max_chars: int = 12_000, order: int = 4) -> PPM:
-    """Fit on a bounded sample: of each language about ``docs_per_language`` texts of at most ``max_chars``
-    characters, picked by a hash of the text, so alike at any partitioning."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.where(F.length(text) <= max_chars).groupBy(lang).count().collect()}
-    if not counts:
+def train(docs: DataFrame, text: str, lang: str, docs_per_language: int = 240, max_chars: int = 12_000, order: int = 4, languages: int = 64) -> PPM:
+    """Fit on a bounded sample: of each of the ``languages`` most frequent languages the ``docs_per_language`` different
+    texts with the smallest hashes, cut to ``max_chars`` characters. Alike at any partitioning, however often a text is
+    repeated. Null texts and languages are left out."""
+    rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("l"), F.left(F.col(f"`{text}`"), F.lit(max_chars)).alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    kinds = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("kinds")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    if not kinds:
         return PPM({}, order)
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, docs_per_language / v) * 1e6)])
-    picked = rows.where(F.length(text) <= max_chars).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share[F.col(lang)])
+    share = F.create_map(*[F.lit(x) for r in kinds for x in (r.l, min(1.0, 4 * docs_per_language / max(1, r.kinds)) * 1e6)])
+    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")]).distinct()
+    first = picked.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("i") <= docs_per_language)
     texts: dict[str, list[str]] = {}
-    for r in picked.select(F.col(lang).alias("l"), F.col(text).alias("t")).collect():
+    for r in first.select("l", "t").collect():
         texts.setdefault(r.l, []).append(r.t)
     return PPM({k: sorted(v) for k, v in texts.items()}, order)
 
 
 def identify(docs: DataFrame, model: PPM, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` plus lang_pred and score of each row, from its whole text alone.
+    """``keep`` plus lang_pred and score of each row, from its whole text alone, however long.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Ties go to the
-    first language by name. score is the posterior under equal priors."""
+    first language by name. score is the posterior under equal priors. Equal texts, and so repeated rows, get equal
+    results; other columns are not read, and a kept one named like a result is given as ``name_in``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.coalesce(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)), F.lit("")).alias("_text"))
+    names_in = [f"{k}_in" if k in ("lang_pred", "score") else k for k in keep]
+    src = docs.select(*[F.col(f"`{k}`").alias(f"_{i}") for i, k in enumerate(keep)], F.coalesce(F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`")), F.lit("")).alias("_text"))
 
     def run(batches):
         m = shared.value
@@ -173,7 +178,8 @@ def identify(docs: DataFrame, model: PPM, text: str = "text", keep: tuple[str, .
                     best = int(row.argmin())
                     names.append(m.languages[best])
                     scores.append(float(1 / np.exp2(np.maximum(-1000.0, (row[best] - row) / UNIT)).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"]
-    return src.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    out = src.mapInArrow(tidy(run), ", ".join([*fields, "lang_pred string", "score double"]))
+    return out.select(*[F.col(f"_{i}").alias(k) for i, k in enumerate(names_in)], "lang_pred", "score")
