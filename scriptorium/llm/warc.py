@@ -9,7 +9,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -20,13 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import tidy
 from .store import written
 
 #: Fixed values of the format: the magic number of the dictionary's skippable frame and of a Zstandard frame and dictionary.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes after which a new archive begins.
-ROLL = 8 << 20
+#: Bytes of records after which a new archive begins; a reader holds one archive, compressed, at a time.
+ROLL = 256 << 20
 
 
 def dictionary(samples: list[bytes], size: int = 32_768) -> bytes:
@@ -69,16 +69,20 @@ def sha1(data: bytes) -> str:
 
 
 class Archive:
-    """Writes one archive; ``data`` has it when closed."""
+    """Writes one archive, frame by frame, to ``out``, by default to memory (``data``)."""
 
-    def __init__(self, words: bytes):
-        self._out = io.BytesIO()
-        self._out.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
+    def __init__(self, words: bytes, out=None):
+        self._out = io.BytesIO() if out is None else out
+        self.size, self.stored = 0, 0
         self._zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words, _kind(words)), write_checksum=True, write_content_size=True)
-        self.size = 0
+        self._write(struct.pack("<II", SKIPPABLE, len(words)) + words)
+
+    def _write(self, data: bytes) -> None:
+        self._out.write(data)
+        self.stored += len(data)
 
     def add(self, data: bytes) -> None:
-        self._out.write(self._zstd.compress(data))
+        self._write(self._zstd.compress(data))
         self.size += len(data)
 
     @property
@@ -163,24 +167,36 @@ def page(fields: dict[str, str], block: bytes) -> dict:
     }
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    """Write a file under its name at once, to a local (shared) folder or any file system pyarrow knows."""
-    if folder.startswith("file:") or "://" not in folder:
-        base = "/" + folder.removeprefix("file:").lstrip("/")
-        os.makedirs(base, exist_ok=True)
-        temp = f"{base}/.{name}-{uuid.uuid4().hex}"
-        with open(temp, "wb") as f:
-            f.write(data)
-        os.replace(temp, f"{base}/{name}")
-    else:
+class _File:
+    """An archive in a folder that executors and driver share, local or of any file system pyarrow knows. It has its
+    name only when it is complete."""
+
+    def __init__(self, folder: str, name: str, words: bytes):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base)
-        temp = f"{base}/.{name}-{uuid.uuid4().hex}"
-        with system.open_output_stream(temp) as f:
-            f.write(data)
-        system.move(temp, f"{base}/{name}")
+        if folder.startswith("file:"):
+            self.system, base = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        else:
+            self.system, base = fs.FileSystem.from_uri(folder)
+        self.system.create_dir(base)
+        self.name, self.path, self.temp, self.records = name, f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}", 0
+        self.out = self.system.open_output_stream(self.temp)
+        self.archive = Archive(words, self.out)
+
+    def add(self, data: bytes) -> None:
+        self.archive.add(data)
+        self.records += 1
+
+    def done(self) -> pa.RecordBatch:
+        self.out.close()
+        self.system.move(self.temp, self.path)
+        return pa.RecordBatch.from_pydict({"archive": [self.name], "records": pa.array([self.records], pa.int64()), "bytes": pa.array([self.archive.stored], pa.int64())})
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark takes it to have, so that executors write where Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def write(pages: DataFrame, folder: str, words: bytes, least_revisit_bytes: int = 0) -> DataFrame:
@@ -189,34 +205,29 @@ def write(pages: DataFrame, folder: str, words: bytes, least_revisit_bytes: int
 
     Of rows with one payload of at least ``least_revisit_bytes``, that with the largest page_id is the response
     and the others are revisits of it; rows that share that page_id are all responses. A null html is empty;
-    a null page_id counts as smaller than any."""
+    a null page_id counts as smaller than any. Repeated rows are records of their own; other columns are not read."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
     top = rows.where(F.col("size") >= least_revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     joined = rows.join(top, ["digest", "size"], "left")
     joined = joined.withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
 
+    folder = qualified(pages.sparkSession, folder)
+
     def run(batches):
-        task, n, held, count = TaskContext.get().partitionId(), 0, None, 0
+        task, n, held = TaskContext.get().partitionId(), 0, None
         for b in batches:
             for i, h, u, top_, again, d in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "url", "top", "revisit", "digest"))):
-                held = held or Archive(words)
-                payload = h.encode()
-                held.add(record(i, u, payload, base64.b32encode(bytes.fromhex(d)).decode(), top_, again))
-                count += 1
-                if held.size >= ROLL:
-                    yield _done(folder, task, n, held, count)
-                    held, count, n = None, 0, n + 1
+                if held is None:
+                    held, n = _File(folder, f"part-{task:06d}-{n:05d}.warc.zst", words), n + 1
+                held.add(record(i, u, h.encode(), base64.b32encode(bytes.fromhex(d)).decode(), top_, again))
+                if held.archive.size >= ROLL:
+                    yield held.done()
+                    held = None
         if held:
-            yield _done(folder, task, n, held, count)
-
-    return joined.select("page_id", "html", "url", "top", "revisit", "digest").sortWithinPartitions("page_id", "url", "html").mapInArrow(run, "archive string, records long, bytes long")
-
+            yield held.done()
 
-def _done(folder: str, task: int, n: int, held: Archive, count: int) -> pa.RecordBatch:
-    name = f"part-{task:06d}-{n:05d}.warc.zst"
-    _store(folder, name, held.data)
-    return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([count], pa.int64()), "bytes": pa.array([len(held.data)], pa.int64())})
+    return joined.select("page_id", "html", "url", "top", "revisit", "digest").sortWithinPartitions("page_id", "url", "html").mapInArrow(tidy(run), "archive string, records long, bytes long")
 
 
 def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
@@ -243,15 +254,15 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return found.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payload)
+    return found.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payload)
 
 
-def sample_words(pages: DataFrame, most: int = 300) -> bytes:
-    """A dictionary from about ``most`` payloads of at most 16,384 characters, picked by a hash."""
-    short = pages.where(F.length("html") <= 16_384)
-    share = min(1.0, most / max(1, pages.count()))
-    texts = short.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share * 1e6).select("html").collect()
-    return dictionary(sorted(record(0, "http://example.com/", r[0].encode(), "A" * 32, None, False) for r in texts))
+def sample_words(pages: DataFrame, most: int = 300, max_chars: int = 16_384) -> bytes:
+    """A dictionary from the ``most`` different payloads with the smallest hashes, cut to ``max_chars`` characters."""
+    rows = pages.where(F.col("html").isNotNull()).select(F.left(F.col("html").cast("string"), F.lit(max_chars)).alias("t")).withColumn("h", F.xxhash64("t"))
+    kinds = rows.agg(F.approx_count_distinct("h")).first()[0]
+    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < min(1.0, 4 * most / max(1, kinds)) * 1e6).distinct().orderBy("h", "t").limit(most).collect()
+    return dictionary(sorted(record(0, "http://example.com/", r.t.encode(), "A" * 32, None, False) for r in picked))
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
