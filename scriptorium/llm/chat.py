@@ -1,7 +1,7 @@
 """Chat formatting with budgeted windows, in DataFrame functions alone.
 
-A turn is written ``<turn role>text</turn>``; in texts and roles ``\\`` becomes ``\\b`` and ``<`` becomes ``\\l``, so no
-text can hold a marker and reading back is exact. The prefix sums of the turns' tokens cut a conversation into
+A turn is written ``<turn role>text</turn>``; in texts and roles ``\\`` becomes ``\\b`` and ``<`` becomes ``\\l``, in roles
+also ``>`` becomes ``\\g``, so no text can hold a marker and reading back is exact. The prefix sums of the turns' tokens cut a conversation into
 spans of whole turns within the budget. Each window has the system turn (if the first turn is one), the last
 ``history`` turns before its span as context, and its span; only assistant texts of the span, not repeated
 ones, are under the loss mask. Tokens are counted as runs of letters or digits and other single signs.
@@ -19,8 +19,13 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    plain = F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<"))
+    return F.replace(plain, F.lit("\\b"), F.lit("\\"))
 
 
 def tokens(text: Column) -> Column:
@@ -29,7 +34,8 @@ def tokens(text: Column) -> Column:
 
 def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv and turns (array of role, text and tokens in order). Turns with one number follow the order of role
-    and text; null roles and texts count as empty; a null conversation id is a conversation of its own."""
+    and text; null roles and texts count as empty; a null conversation id is a conversation of its own; repeated rows are
+    turns of their own; other columns are not read. A conversation is a row, as its digest needs all of it."""
     one = F.struct(F.col(turn), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), tokens(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"))
     turns = F.array_sort(F.collect_list(one))
     return rows.groupBy(F.col(conv).alias(conv)).agg(turns.alias("turns"))
@@ -75,7 +81,7 @@ def windows(convs: DataFrame, conv: str = "conv_id", budget: int = 512, history:
         repeated = F.size(again) + F.size(past)
         shown = F.transform(F.concat(again, past), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.lit(False).alias("own")))
         own = F.transform(F.concat(lead, span), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), (t["role"] == "assistant").alias("own")))
-        parts = F.transform(F.concat(shown, own), lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(">")).alias("head"), escape(t["text"]).alias("body"), t["own"].alias("own")))
+        parts = F.transform(F.concat(shown, own), lambda t: F.struct(F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(">")).alias("head"), escape(t["text"]).alias("body"), t["own"].alias("own")))
         whole = F.array_join(F.transform(parts, lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
         sums = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
 

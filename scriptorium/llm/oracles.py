@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from . import licenses
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +51,7 @@ WITH RECURSIVE said AS (
 ), t AS MATERIALIZED (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
     len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0B\f\r ]')) AS n,
-    15 + length(replace(replace(role, '\', '\b'), '<', '\l')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars
+    15 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars
   FROM said
 ), c AS MATERIALIZED (
   SELECT conv_id, CAST(role = 'system' AS INT) AS sys, greatest(1, 512 - CASE WHEN role = 'system' THEN n ELSE 0 END) AS room, chars AS lead FROM t WHERE i = 1
@@ -88,25 +86,47 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(text: str) -> str:
-    """The steps of ``licenses.canonical`` as a DuckDB expression."""
-    out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    out = reduce(lambda t, s: f"regexp_replace({t}, {_quoted(s[0])}, {_quoted(s[1])}, 'g')", licenses.STEPS, out)
-    out = reduce(lambda t, s: f"replace({t}, ' {s[0]} ', ' {s[1]} ')", licenses.SPELLINGS, f"(' ' || trim({out}) || ' ')")
-    return f"trim({out})"
+#: Written from the rules, not from the code that it checks: case, copyright lines, usual notices, spellings, punctuation.
+LICENSES = r"""
+WITH src AS (
+  SELECT 'text' AS kind, doc_id, NULL AS name, coalesce(text, '') AS t FROM documents
+  UNION ALL
+  SELECT 'line', doc_id, NULL, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)licen[cs]e')
+  UNION ALL
+  SELECT CASE WHEN contains(t, chr(10)) THEN 'known' ELSE 'notice' END, NULL, name, t FROM (VALUES {known}) v(name, t)
+), a AS (
+  SELECT kind, doc_id, name, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM src
+), b AS (  -- lines of a holder with a year
+  SELECT kind, doc_id, name, regexp_replace(t, '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9]{{4}}[^\n]*$', ' ', 'g') AS t FROM a
+), c AS (  -- wording in which "copyright" may begin a wrapped line
+  SELECT kind, doc_id, name, regexp_replace(t, 'copyright[ \t]+(holders|holder|owners|owner|notices|notice|licenses|license|licence|laws|law|statement|interest|and|or|in|on|to|is)\b', 'copyright_\1', 'g') AS t FROM b
+), d AS (  -- lines of a holder without a year
+  SELECT kind, doc_id, name, regexp_replace(t, '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright[ \t]*(\(c\)|©)|copyright[ \t]*:?[ \t]+[\p{{L}}\p{{N}}<\[{{"'']|©|\(c\)[ \t]*copyright[ \t])[^\n]*', ' ', 'g') AS t FROM c
+), e AS (
+  SELECT kind, doc_id, name, regexp_replace(t, '(?m)^[^\p{{L}}\p{{N}}\n]*\(c\)[ \t]+[^\n]*\b(inc|llc|ltd|corp|corporation|gmbh|foundation|affiliates|contributors|authors)\b[^\p{{L}}\p{{N}}\n]*$', ' ', 'g') AS t FROM d
+), f AS (  -- usual lines before a licence
+  SELECT kind, doc_id, name, regexp_replace(t, '(?m)^[^a-z0-9\n]*(all rights reserved|(the )?(mit|isc|zlib|bsd)( [23]-clause)? licen[cs]e)[^a-z0-9\n]*$', ' ', 'g') AS t FROM e
+), g AS (  -- words between blanks of their own
+  SELECT kind, doc_id, name, ' ' || trim(regexp_replace(replace(t, 'https://', 'http '), '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' ' AS t FROM f
+), h AS (
+  SELECT kind, doc_id, name, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t,
+    ' licence ', ' license '), ' licenced ', ' licensed '), ' sublicence ', ' sublicense '), ' acknowledgement ', ' acknowledgment '), ' favour ', ' favor '),
+    ' organisation ', ' organization '), ' merchantibility ', ' merchantability '), ' non  infringement ', ' noninfringement '), ' copyright  owner ', ' copyright  holder '), '  ', ' ')) AS t FROM g
+), w AS (
+  SELECT digest, min(name) AS license FROM (
+    SELECT sha256(t) AS digest, name FROM h WHERE kind IN ('known', 'notice') UNION ALL SELECT digest, name FROM (VALUES {digests}) v(name, digest)
+  ) GROUP BY digest
+), n AS (
+  SELECT l.doc_id, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS notices FROM h l JOIN h k ON l.kind = 'line' AND k.kind = 'notice' AND l.t = k.t GROUP BY l.doc_id
+)
+SELECT doc_id, sha256(t) AS digest, license, coalesce(notices, '') AS notices FROM h LEFT JOIN w ON w.digest = sha256(t) LEFT JOIN n USING (doc_id) WHERE kind = 'text'
+"""
 
 
 def _licenses() -> str:
     known = ", ".join(f"({_quoted(name)}, {_quoted(t)})" for name, t in sorted(licenses.KNOWN.items()))
-    return f"""
-WITH k AS MATERIALIZED (SELECT name, {_canonical("t")} AS plain, contains(t, chr(10)) AS long FROM (VALUES {known}) v(name, t)),
-w AS (SELECT sha256(plain) AS digest, min(name) AS license FROM k GROUP BY 1),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-f AS (SELECT doc_id, {_canonical("line")} AS plain FROM l WHERE regexp_matches(line, '(?i)licen[cs]e')),
-g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM f JOIN (SELECT * FROM k WHERE NOT long) USING (plain) GROUP BY doc_id),
-d AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents)
-SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN w USING (digest) LEFT JOIN g USING (doc_id)
-"""
+    digests = ", ".join(f"({_quoted(name)}, '{d}')" for name, ds in sorted(licenses.DIGESTS.items()) for d in ds)
+    return LICENSES.format(known=known, digests=digests)
 
 
 def oracle_sql() -> dict[str, str]:
