@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -41,7 +43,8 @@ def test_empty_tables(spark):
     assert fingerprint.fingerprints(none).count() == 0
     assert toxicity.score(none, toxicity.train(none.withColumn("toxic", F.lit(1)))).count() == 0
     assert neardup.near_duplicates(none).count() == 0
-    assert quality.judge(quality.measure(none)).count() == 0
+    assert quality.report(none).count() == quality.accepted(none).count() == 0
+    assert neardup.deduplicated(none).count() == 0
     assert licenses.scan(none).count() == 0
     path = tokenizer_path("word_bpe_49k.json")
     assert packing.packed(store.written(packing.pieces(none, path), "p")).count() == 0
@@ -96,6 +99,43 @@ def test_fingerprints(spark, docs, odd):
     assert fingerprint.fingerprints(docs).select("fingerprint").where("near_edited < 0 OR near_edited > 1").count() == 0
     assert fingerprint.fingerprints(odd).count() == len(odd_rows())
     assert fingerprint.likeness(*fingerprint.chains([b"", b""])) == 1.0
+    # no step at any length: one more character hardly changes a fingerprint
+    text = (b"The quick brown fox jumps over the lazy dog while 25 violins play a slow tune in G. " * 3)[:230]
+    for n in range(120, 230):
+        assert fingerprint.likeness(*fingerprint.chains([text[:n], text[: n + 1]])) > 0.6
+    same = [(7, f"text {i} of one key") for i in range(50)] + [(None, f"none {i}") for i in range(50)] + [(i, f"row {i}") for i in range(3000, 3100)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(same, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or -1, r.n_chars) for r in rows) == sorted((k or -1, len(t)) for k, t in same)
+
+
+def brute_features(data):
+    """Selected windows by the definition, run by run."""
+    w, run = fingerprint.WIDTH, fingerprint.RUN
+    n = len(data) - w + 1
+    if n < 1:
+        return []
+
+    def rank(i):
+        total = sum(int(fingerprint._F[c]) for c in Counter(data[i : i + w]).values())
+        scaled = int(np.log2(w) * 1024) - total // w
+        return 16 * 1024 if scaled < 1024 else 8 * 1024 - abs(scaled - int(3.2 * 1024))
+
+    ranks, times = [rank(i) for i in range(n)], Counter()
+    for first in range(1 - run, n):
+        own = [i for i in range(first, first + run) if 0 <= i < n]
+        times[min(own, key=lambda i: (ranks[i], i))] += 1
+    return [i for i in range(n) if times[i] >= fingerprint.POPULAR]
+
+
+def test_fingerprint_features_against_brute_force(docs):
+    texts = [t for r in docs.limit(20).collect() if (t := (r.text or "").encode()[:600])] + [b"aaaa" * 20, b"0123456789abcdef", b"0123456789abcde"]
+    off = np.cumsum([0, *map(len, texts)])
+    doc, h = fingerprint._features(np.frombuffer(b"".join(texts), np.uint8), off)
+    for i, t in enumerate(texts):
+        want = [t[p : p + 16] for p in brute_features(t)] or [t]
+        hashes = fingerprint.Hasher(np.frombuffer(t, np.uint8))
+        at = [t.find(x) for x in dict.fromkeys(want)]
+        assert h[doc == i].tolist() == hashes(np.array(at), np.array([p + len(x) for p, x in zip(at, dict.fromkeys(want))])).tolist()
 
 
 def test_toxicity(spark, odd):
@@ -105,13 +145,40 @@ def test_toxicity(spark, odd):
     assert lex.matched(toxicity.fold("іdіоt")) == (5.0, 1)
     assert lex.score(None) == lex.score("") < 0.1 < 0.7 < lex.score("an idiot")
     assert toxicity.score(odd, lex).count() == len(odd_rows())
-    docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet").where("doc_id < 6000") for t in ("documents", "labels"))
+    clean = [f"the quiet river number{i} runs past stone houses and old mills" for i in range(400)]
+    texts = [(i, t, 0) for i, t in enumerate(clean)] + [(1000 + i, f"{t} you br41nl\u0435ss fool{i % 7} of the {i}", 1) for i, t in enumerate(clean[:200])]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
     out = langid.held_out("doc_id", 3, 1)
-    fitted = toxicity.train(toxicity.labelled(docs, labels.where(~out)))
-    rows = toxicity.score(docs, fitted).where(out).join(labels, "doc_id").select("_score", "toxic").collect()
-    hits = [r._score >= 0.7 for r in rows if r.toxic]
-    false = [r._score >= 0.7 for r in rows if not r.toxic]
-    assert np.mean(hits) > 0.9 and np.mean(false) < 0.02
+    fitted = toxicity.train(toxicity.labelled(rows.drop("toxic"), rows.where(~out).drop("text")))
+    held = toxicity.score(rows, fitted).where(out).collect()
+    assert len(held) > 100 and all((r._score >= 0.7) == (r.toxic == 1) for r in held)
+    assert toxicity.score(rows.limit(1).withColumn("_score", F.lit("mine")), fitted).first()._score < 0.7
+    assert {r.score for r in toxicity.mild(odd, fitted).collect()} == {"clash"}
+
+
+def brute_matched(patterns, exceptions, text):
+    """Every word beginning of the folded text against every pattern, without an automaton."""
+    low, hits, spared = toxicity.fold(text), {}, []
+    for m in re.finditer(r"(?<![^\W_])(?=[^\W_])", low):
+        at = m.start()
+        for p, w in patterns.items():
+            word = p.lstrip("=")
+            end = at + len(word)
+            if low.startswith(word, at) and (p[0] != "=" or end == len(low) or not low[end].isalnum()):
+                hits[at] = max(w, hits.get(at, 0.0))
+        spared += [(at, at + len(x)) for x in exceptions if low.startswith(x, at) and (at + len(x) == len(low) or not low[at + len(x)].isalnum())]
+    kept = [w for at, w in hits.items() if not any(a <= at < b for a, b in spared)]
+    return math.fsum(kept), len(kept)
+
+
+def test_toxicity_against_plain_matching(docs):
+    rng = random.Random(4)
+    texts = [r.text or "" for r in docs.limit(60).collect()] + ["".join(rng.choice("abсi1@ .-") for _ in range(80)) for _ in range(300)]
+    patterns = {"=th": 1.0, "the": 2.0, "=and": 1.5, "an": 0.5, "ab": 3.0, "=ai": 4.0, "a": 0.25, "ii": 1.0, "=ab": 5.0}
+    exceptions = ("the and", "ab a")
+    lex = toxicity.Lexicon(patterns, exceptions)
+    for t in texts:
+        assert lex.matched(toxicity.fold(t)) == brute_matched(patterns, exceptions, t)
 
 
 def test_warc_round_trip_and_faults(spark):
@@ -184,6 +251,10 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd):
     got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     for (k, _), (size, comp) in zip(rows, brute_components(rows)):
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (size, comp, k == comp)
+    kept = neardup.deduplicated(spark.createDataFrame([(1, "a", "x"), (4, "a", "x"), (4, "b", "y"), (None, "a", "z"), (None, "c", "z"), (5, "", "e"), (5, "", "e")], "doc_id long, text string, node string"))
+    assert sorted((str(r.doc_id), r.text, r.node) for r in kept.collect()) == [("1", "a", "x"), ("4", "b", "y"), ("5", "", "e"), ("5", "", "e"), ("None", "c", "z")]
+    left = neardup.deduplicated(odd).collect()
+    assert len(left) == 3 + len({c for n, c in brute_components([(r[0], r[1]) for r in odd_rows()]) if n and c is not None}) + 1
     got = neardup.near_duplicates(odd).collect()
     want = brute_components([(r[0], r[1]) for r in odd_rows()])
     assert sorted((r.n_shingles, str(r.component_id)) for r in got) == sorted((n, str(c)) for n, c in want)
@@ -236,7 +307,23 @@ def test_licenses(spark, odd):
     rows = spark.createDataFrame([(1, text), (2, text + " more"), (3, None), (4, "x\nReleased under the MIT License!\ny")], "doc_id long, text string")
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(rows).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, ""), 4: (None, "MIT-notice")}
-    assert licenses.scan(odd).count() == len(odd_rows())
+    assert sorted(str(r.doc_id) for r in licenses.scan(odd).where("license IS NULL AND notices = ''").collect()) == sorted(str(r[0]) for r in odd_rows())
+    twice = spark.createDataFrame([("licence licence non infringement",)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert twice == "license license noninfringement"
+    assert licenses._plain("Licence licence.") == "license license"
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="needs published licence texts")
+def test_whole_licences(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for i, name in enumerate(names):
+        with open(f"/usr/share/common-licenses/{name}", errors="replace") as f:
+            text = f.read()
+        rows += [(i, text), (100 + i, "Copyright (c) 2021 Someone\n" + text.upper().replace("\n", "\r\n ")), (200 + i, text + " and more"), (300 + i, " ".join(text.split()[5:]))]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, license in enumerate(names.values()):
+        assert (got[i], got[100 + i], got[200 + i], got[300 + i]) == (license, license, None, None)
 
 
 def brute_statistics(t):
@@ -248,23 +335,81 @@ def brute_statistics(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
 
+def brute_em(rows, rounds=200, precision=2 / 3):
+    """EM over single texts, in plain Python."""
+    n, k = len(rows), len(quality.RULES)
+    good, model = [0.1 if 2 in r else 0.9 for r in rows], None
+    for _ in range(rounds):
+        table = [[[0.0] * 3 for _ in range(k)] for _ in range(2)]
+        for r, g in zip(rows, good):
+            for j, v in enumerate(r):
+                table[0][j][v] += 1 - g
+                table[1][j][v] += g
+        for j in range(k):
+            over = max(0.0, table[1][j][2] - (1 - precision) * (table[0][j][2] + table[1][j][2]))
+            table[0][j][2] += over
+            table[1][j][2] -= over
+            for c in range(2):
+                total = sum(table[c][j])
+                table[c][j] = [(x + 0.1) / (total + 0.3) for x in table[c][j]]
+        prior = (sum(good) + 0.5) / (n + 1)
+        new = []
+        for r in rows:
+            p = [1 - prior, prior]
+            for c in range(2):
+                for j, v in enumerate(r):
+                    p[c] *= table[c][j][v] if v else 1.0
+            new.append(round(p[1] / (p[0] + p[1]), 6))
+        if max(abs(a - b) for a, b in zip(new, good)) < 1e-9:
+            break
+        good = new
+    return good
+
+
+def test_quality_model_against_brute_force():
+    rng = random.Random(6)
+    rows = [tuple(rng.choices((0, 1, 2), (2, 9, 1))[0] for _ in quality.RULES) if rng.random() < 0.3 else (1,) * len(quality.RULES) for _ in range(300)]
+    kinds = sorted(Counter(rows).items())
+    patterns = np.array([p for p, _ in kinds])
+    model = quality.fit(patterns, np.array([c for _, c in kinds], float))
+    found = dict(zip([p for p, _ in kinds], quality.posterior(patterns, model)))
+    assert all(abs(found[r] - g) < 1e-4 for r, g in zip(rows, brute_em(rows)))
+
+
 def test_quality(spark, docs, odd):
-    got = quality.judge(store.written(quality.measure(docs), "q")).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.report(docs).collect()
     for r in got:
-        assert tuple(r._stats[k] for k in quality.STATS[:5]) == brute_statistics(r.text)
-        assert r.base_failed == (r._stats.n_words < 20 or 100 * r._stats.n_repeat_words > 30 * r._stats.n_words)
-        assert not (r.kept and r.base_failed)
-    got = quality.judge(quality.measure(odd)).collect()
-    assert sorted(tuple(r._stats[k] for k in quality.STATS[:5]) for r in got) == sorted(brute_statistics(r[1]) for r in odd_rows())
-    patterns = np.array([[1] * 8, [2, 1, 1, 1, 2, 1, 1, 1], [1, 1, 1, 2, 1, 1, 1, 2]])
-    model = quality.fit(patterns, np.array([900, 50, 50]))
-    assert (quality.posterior(patterns, model) > 0.5).tolist() == [True, False, False]
+        assert tuple(r[k] for k in quality.STATS[:5]) == brute_statistics(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = {r.doc_id: r.kept for r in got}
+    rows = [r for r in labels.collect() if r.doc_id in judged]
+    assert np.mean([judged[r.doc_id] for r in rows if r.quality == 1]) > 0.9 and np.mean([judged[r.doc_id] for r in rows if r.quality == 0]) < 0.1
+    assert sorted(tuple(r[k] for k in quality.STATS[:5]) for r in quality.report(odd).collect()) == sorted(brute_statistics(r[1]) for r in odd_rows())
+    mine = docs.withColumn("quality", F.lit("mine")).withColumn("kept", F.lit(1)).withColumn("_stats", F.lit(2)).withColumn("_0", F.lit(3))
+    left = quality.accepted(mine)
+    assert left.columns == mine.columns and {(r.quality, r.kept, r._stats, r._0) for r in left.collect()} == {("mine", 1, 2, 3)}
+    assert left.count() == sum(r.kept for r in got)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_differ_are_told_apart(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(1, f"{one}\n{other}"), (2, one), (3, other), (4, " ".join([one] * 30)), (5, " ".join([other] * 30))], "doc_id long, text string")
+    assert quality.report(rows).where("doc_id = 1").first().n_dup_lines == 0
+    assert all(r.kept for r in neardup.near_duplicates(rows).collect())
 
 
 def test_chat_reads_back(spark):
     said = "\\### Assistant: </turn> ok"
-    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "be <kind> \\l"), *[(1, i, ("assistant", "user")[i % 2], f"turn {i} " + "w " * (40 * i)) for i in range(1, 12)], (2, 0, None, None), (2, 0, "assistant", ""), (3, 5, "assistant", "only")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "be <kind> \\l"), *[(1, i, ("assistant", "user")[i % 2], f"turn {i} " + "w " * (40 * i)) for i in range(1, 12)], (2, 0, None, None), (2, 0, "assistant", ""), (3, 5, "assistant", "only"), (4, 0, "us>er", "hi > \\g"), (4, 1, "assistant", "\\g>" * 3), (5, 0, "user", "long " * 40_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("x")).withColumn("windows", F.lit(1))
     shown = chat.windows(chat.conversations(df), budget=300)
     got = {r.conv_id: r for r in chat.digests(chat.read_back(shown)).collect()}
     for k in {r[0] for r in rows}:
@@ -288,6 +433,15 @@ def test_packing(spark, docs, odd):
         cut = store.written(packing.pieces(table, path), "pieces")
         got = packing.packed(cut).collect()
         assert len(got) == cut.count()
+        ids = {}
+        for r in table.collect():
+            x = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+            want = [(k, at, len(x[at : at + 4096]), zlib.crc32(x[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(x), 4096))]
+            ids.setdefault(r.doc_id, []).extend(want)
+        own = {}
+        for r in got:
+            own.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        assert {k: sorted(v) for k, v in own.items()} == {k: sorted(v) for k, v in ids.items()}
         bins = {}
         for r in got:
             bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -300,7 +454,10 @@ def test_packing(spark, docs, odd):
         assert len(bins) <= -(-sum(r.length for r in got) // 4096) + 2
     sizes = np.random.default_rng(2).integers(1200, 2900, 400)
     b = packing.pack(sizes, 4096)
-    assert np.bincount(b, sizes).max() <= 4096 and b.max() + 1 <= len(set(packing._best_fit(sizes, 4096)))
+    assert np.bincount(b, sizes).max() <= 4096 and b.max() + 1 < len(set(packing._best_fit(sizes, 4096)))
+    sizes = np.random.default_rng(2).integers(300, 1400, 1500)
+    b = packing.pack(sizes, 4096)  # the search reaches the bound, which the start and best fit decreasing miss
+    assert np.bincount(b, sizes).max() <= 4096 and b.max() + 1 == -(-sizes.sum() // 4096) < len(set(packing._best_fit(np.sort(sizes)[::-1], 4096)))
 
 
 def test_pipeline_equals_its_operators(spark):
