@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,10 +15,38 @@ from .text import blank, strip
 NO_OUTPUT = "ASR output is empty or unsuccessful"
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def valid_latency(c: Column) -> Column:
-    """A finite, non-negative number; else null."""
-    x = c.cast("double")
-    return F.when(~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
+    """A finite, non-negative number; else null. Booleans and texts are no numbers, whatever they say."""
+    x = c.try_cast("double")
+    number = F.typeof(c).isin(*_NUMBERS) | F.startswith(F.typeof(c), F.lit("decimal"))
+    return F.when(number & ~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
+
+
+def _field(doc: Column, path: str) -> tuple[Column, Column]:
+    """(the value at a path of a JSON text as variant, its type; null if there is none)."""
+    value = F.try_variant_get(F.try_parse_json(doc), path, "variant")
+    return value, F.schema_of_variant(value)
+
+
+def latency_at(doc: Column, path: str) -> Column:
+    """``valid_latency`` of a field of a JSON text."""
+    value, kind = _field(doc, path)
+    x = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    return F.when((x >= 0) & (x < float("inf")), x)
+
+
+def text_at(doc: Column, *path: str) -> Column:
+    """The text at a dotted path of a JSON text; null if there is none, or a step is no object."""
+    value, kind = _field(doc, "$." + ".".join(path))
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def json_fields(doc: Column, *names: str) -> list[Column]:
+    """Top-level fields of a JSON text as texts."""
+    return [F.get_json_object(doc, f"$.{n}").alias(n) for n in names]
 
 
 def latency(output: Column, total: Column, formal: Column, plain: Column) -> Column:
@@ -46,13 +75,43 @@ def result_output(raw: Column, clean: Column, ok: Column, error: Column, stt: Co
     )
 
 
+#: Control characters as JSON texts have them, in the form that most writers use.
+_CONTROL = {i: f"\\u{i:04x}" for i in range(32)} | {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+
+
+def json_text(c: Column) -> Column:
+    """A text as a JSON string, other than ASCII unescaped; null as null."""
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = reduce(lambda t, kv: F.replace(t, F.lit(chr(kv[0])), F.lit(kv[1])), _CONTROL.items(), plain)
+    return F.coalesce(F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"')), F.lit("null"))
+
+
+def json_object(**fields: Column) -> Column:
+    """An object of JSON values with sorted keys and blanks after colons and commas."""
+    parts = [F.concat(F.lit(f'"{k}": '), fields[k]) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
 def signature(**fields: Column) -> Column:
-    """SHA-256 of the fields as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of text fields as a JSON object with sorted keys."""
+    return F.sha2(json_object(**{k: json_text(c) for k, c in fields.items()}), 256)
+
+
+def question_signature(judge: Column | None = None, *, oral, clean, output, question, evidence, category, options) -> Column:
+    """SHA-256 of what a judgement hangs on, as sorted JSON: of its content, or with the judge's identity. ``options`` is
+    an array of (text, score); a missing output counts as empty."""
+    listed = F.transform(options, lambda o: json_object(text=json_text(o["text"]), score=F.coalesce(o["score"].cast("string"), F.lit("null"))))
+    texts = {"oral": oral, "clean": clean, "output": F.coalesce(output, F.lit("")), "question": question, "evidence": evidence, "category": category}
+    if judge is not None:
+        texts["judge_model"] = judge
+    fields = {k: json_text(c) for k, c in texts.items()}
+    return F.sha2(json_object(options=F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")), **fields), 256)
 
 
-def judge_identity(model: Column, prompt: Column, is_default: Column) -> Column:
-    return F.when(is_default, model).otherwise(F.concat(model, F.lit("@"), F.left(F.sha2(prompt, 256), F.lit(16))))
+def judge_identity(model: Column, url: Column, prompt: Column, temperature: Column, is_default: Column) -> Column:
+    """The model's name, and unless all settings are the usual ones a digest of them. ``temperature``: as JSON text."""
+    settings = json_object(api_url=json_text(url), model=json_text(model), system_prompt=json_text(prompt), temperature=temperature)
+    return F.when(is_default, model).otherwise(F.concat(model, F.lit("@"), F.left(F.sha2(settings, 256), F.lit(16))))
 
 
 def question_payload(questions: Column) -> Column:
@@ -70,26 +129,40 @@ def braced(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", ""), r"(?s)\{.*\}", 0)
 
 
+def _bracketed(text: str, opening: str, closing: str) -> str | None:
+    """What the last closing bracket closes."""
+    end, depth = text.rfind(closing), 0
+    for at in range(end, -1, -1):
+        depth += (text[at] == closing) - (text[at] == opening)
+        if text[at] == opening and depth == 0:
+            return text[at : end + 1]
+    return None
+
+
+def _readings(text: str):
+    """What may be the JSON value of a response: all of it, each tail that a bracket opens, the last list, the last object."""
+    yield text
+    yield from (text[i:] for i, c in enumerate(text) if c in "[{")
+    yield from filter(None, (_bracketed(text, "[", "]"), _bracketed(text, "{", "}")))
+
+
 def _find(text: str | None) -> str | None:
-    if text is None:
-        return None
-    text = text.strip()
-    if text.startswith("```"):
-        text = text.split("\n", 1)[-1].rsplit("```", 1)[0].strip()
-    decoder = json.JSONDecoder()
-    for start in [0, *(i for i, c in enumerate(text) if c in "[{")]:
+    body = (text or "").strip()
+    if body.startswith("```"):
+        body = body.partition("\n")[2] if "\n" in body else body[3:]
+        body = (body.rpartition("```")[0] if "```" in body else body).strip()
+    for reading in _readings(body):
         try:
-            value, end = decoder.raw_decode(text, start)
-        except ValueError:
+            return json.dumps(json.loads(reading), ensure_ascii=False, sort_keys=True)
+        except (ValueError, RecursionError):
             continue
-        if start or end == len(text):
-            return json.dumps(value, ensure_ascii=False, sort_keys=True)
     return None
 
 
 @F.pandas_udf(StringType())
 def find_json(s: pd.Series) -> pd.Series:
-    """The first JSON value in a text (fenced, plain, or an object or array within prose), in canonical form."""
+    """The JSON value of a model's answer, in canonical form: the whole text (without a code fence), else what stands
+    from the first bracket on that is JSON to the end, else the last list, else the last object; null if none."""
     return s.map(_find)
 
 

@@ -145,6 +145,12 @@ def language_name(c: Column, known: dict[str, str] | None = None, default: str =
     return reduce(lambda acc, kv: F.when(F.lower(c) == kv[0], kv[1]).otherwise(acc), known.items(), F.lit(default))
 
 
+def service_language(c: Column) -> Column:
+    """The name of a language that speech services expect; other languages as they are."""
+    low = F.lower(strip(c))
+    return F.when(low.isin("zh", "cn", "chinese"), "Chinese").when(low.isin("en", "eng", "english"), "English").otherwise(c)
+
+
 def endpoint_url(c: Column, suffix: str = "/chat/completions") -> Column:
     """Without trailing slashes, and ending in the suffix."""
     base = F.regexp_replace(strip(c), "/+$", "")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import best_score, question_signature
 from ..functions.text import blank
 
+#: The status of results that need no further judging.
+FINAL = ("success",)
 CATEGORIES = ("content", "format", "filter", "rephrase")
 
 
@@ -73,8 +76,9 @@ def with_results(questions: DataFrame, results: DataFrame, order: str = "ord") -
 
 
 def finished(matched: DataFrame) -> DataFrame:
-    """Samples all of whose questions have a final status."""
-    done = F.coalesce(F.col("status").isin("ok", "failed"), F.lit(False))
+    """Samples all of whose questions have a final result. ``matched``: a row for each question with the status of its
+    current result (see ``with_results``), null without one. Failed questions are judged again."""
+    done = F.coalesce(F.col("status").isin(*FINAL), F.lit(False))
     return matched.groupBy("sample_id").agg(F.every(done).alias("all_done")).where("all_done").select("sample_id")
 
 
@@ -91,22 +95,73 @@ def answer_errors(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return j.select("sample_id", "question_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def judge_rows(questions: DataFrame, answers: DataFrame, model: str, identity: str) -> DataFrame:
+    """Result rows of judged questions: what was asked, the chosen option, its score, signatures and time.
+
+    ``questions``: a row for each question, with sample_id, audio, scene, question_id, category, question, evidence,
+    oral, clean, output, options (text, score) and asr_error. Samples with a missing, repeated or impossible answer
+    have no rows at all, so no partial result is ever stored."""
+    wrong = answer_errors(questions, answers).select("sample_id").distinct()
+    rows = questions.join(wrong, "sample_id", "left_anti").join(answers, ["sample_id", "question_id"])
+    option, gone = F.element_at("options", F.col("option_index") + 1), F.col("asr_error").isNotNull()
+    parts = {k: F.col(k) for k in ("oral", "clean", "output", "question", "evidence", "category", "options")}
+    return rows.select(
+        "sample_id", "audio", "scene", "question_id", "category", "question", "evidence", "oral", "clean", F.coalesce("output", F.lit("")).alias("output"),
+        F.lit(model).alias("judge_model"), question_signature(**parts).alias("content_signature"), question_signature(F.lit(identity), **parts).alias("evaluation_signature"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("evaluated_at"), F.lit("success").alias("status"),
+        F.col("option_index").alias("selected_option_index"), option["text"].alias("selected_option"), option["score"].alias("score"), best_score(F.col("options")).alias("max_score"),
+        F.when(gone, True).alias("asr_retry_exhausted"), F.col("asr_error"),
+    )
+
+
+def outside(outputs: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row with the number of outputs, of matched ones, and of those outside of the benchmark (no rubric, or none
+    that can be judged)."""
+    a, b = outputs.agg(F.count(F.lit(1)).alias("outputs")), matched.agg(F.count(F.lit(1)).alias("matched"))
+    return a.join(b).withColumn("outside", F.col("outputs") - F.col("matched"))
+
+
+def allowed(samples: DataFrame, ids: DataFrame | None, key: str = "sample_id") -> DataFrame:
+    """The samples on the list; all without a list."""
+    return samples if ids is None else samples.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def _scores(rows: DataFrame, *by: str) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), total("score").alias("score"), total("best").alias("max_score"))
+    share = F.coalesce(F.try_divide(F.col("score"), F.col("max_score")), F.lit(0.0))
+    return out.withColumn("normalized", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+
 def summary(rows: DataFrame) -> DataFrame:
-    """Scores overall, by category and by scene: kind, value, n, score, max_score, normalized, and the failed and
-    retry-exhausted counts. Expects sample_id, category, scene, status, score, max_score, asr_retry_exhausted."""
+    """Scores overall (always a row), by category and by scene, in this order and sorted: kind, value, n, score, max_score
+    and normalized. Only successful rows with a score, category and scene count; a missing max_score is 2 for filter
+    and rephrase, else 1."""
     best = F.coalesce(F.col("max_score"), F.when(F.col("category").isin("filter", "rephrase"), 2).otherwise(1))
-    ok = F.col("status") == "ok"
-    kinds = F.array(F.struct(F.lit("overall").alias("kind"), F.lit("").alias("value")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")), F.struct(F.lit("scene").alias("kind"), F.col("scene").alias("value")))
-    long = rows.select("sample_id", "score", best.alias("best"), ok.alias("ok"), F.coalesce("asr_retry_exhausted", F.lit(False)).alias("gone"), F.explode(kinds).alias("k"))
-    out = long.groupBy("k.kind", "k.value").agg(
-        F.count_if("ok").alias("n"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("score"))), F.lit(0)).cast("double").alias("score"),
-        F.coalesce(F.sum(F.when(F.col("ok"), F.col("best"))), F.lit(0)).cast("double").alias("max_score"), F.count_if(~F.col("ok")).alias("failed"),
-        F.count_if("gone").alias("exhausted_questions"), F.count_distinct(F.when(F.col("gone"), F.col("sample_id"))).alias("exhausted_samples"),
-    )
-    return out.withColumn("normalized", F.when(F.col("max_score") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.col("max_score")))))
+    scored = rows.where((F.col("status") == "success") & F.col("score").isNotNull() & F.col("category").isNotNull() & F.col("scene").isNotNull()).select("category", "scene", "score", best.alias("best"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("category", "scene")])
+    groups = _scores(scored.select("score", "best", F.explode(kinds).alias("k")).select("score", "best", "k.*"), "kind", "value")
+    overall = _scores(scored).select(F.lit("overall").alias("kind"), F.lit("").alias("value"), "n", "score", "max_score", "normalized")
+    order = F.when(F.col("kind") == "overall", 0).when(F.col("kind") == "category", 1).otherwise(2)
+    return overall.unionByName(groups).orderBy(order, "value")
+
+
+def run_counts(rows: DataFrame) -> DataFrame:
+    """One row: failed questions, and questions and samples whose recognition was given up, whatever their status."""
+    gone = F.coalesce("asr_retry_exhausted", F.lit(False))
+    failed = ~F.coalesce(F.col("status") == "success", F.lit(False))
+    return rows.agg(F.count_if(failed).alias("failed_questions"), F.count_if(gone).alias("exhausted_questions"), F.count_distinct(F.when(gone, F.col("sample_id"))).alias("exhausted_samples"))
 
 
 def error_rates(measured: DataFrame, *by: str) -> DataFrame:
-    """Corpus rates, errors over reference units (0 without units), of a struct column m; and latency."""
-    rate = lambda k: F.coalesce(F.sum(f"m.{k}_errors") / F.nullif(F.sum(f"m.{k}_units"), F.lit(0)), F.lit(0.0)).alias(k)
-    return measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rate("wer"), rate("cer"), rate("mer"), F.avg("latency_ms").alias("mean_latency_ms"), F.count_if(F.col("latency_ms").isNull()).alias("missing_latency"))
+    """Corpus rates of a struct column m, errors over reference units (0 without units), with both; and the mean of the
+    latencies that are known (0 without any) and the number of those that are not. Of repeated samples, take the last
+    first (``latest``)."""
+    total = lambda c: F.coalesce(F.sum(f"m.{c}"), F.lit(0)).cast("long")
+    found = measured.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[total(f"{k}_{x}").alias(f"{k}_{x}") for k in ("wer", "cer", "mer") for x in ("errors", "units")],
+        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("mean_latency_ms"), F.count_if(F.col("latency_ms").isNull()).alias("missing_latency"),
+    )
+    for k in ("wer", "cer", "mer"):
+        found = found.withColumn(k, F.coalesce(F.try_divide(F.col(f"{k}_errors"), F.col(f"{k}_units")), F.lit(0.0)))
+    return found

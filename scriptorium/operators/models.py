@@ -96,18 +96,44 @@ def generate(rows: DataFrame, prompt: str, call: Callable[[str], str], workers:
     return rows.mapInPandas(run, f"{kinds}, response string, error string")
 
 
-def judge(samples: DataFrame, decide: Callable[[str, str], int]) -> DataFrame:
-    """(sample_id, question_id, option_index): a row for each question of (sample_id, output, questions). All or
-    none of a sample's questions are answered."""
+class JudgeError(ValueError):
+    """An answer that doesn't fit its questions."""
+
+
+def checked_answers(answers: list[tuple[str, int]], questions: list) -> list[tuple[str, int]]:
+    """The answers (question id, option index), in the order of the questions, if each question has just one, in range."""
+    sizes, found = {q["id"]: len(q["options"]) for q in questions}, {}
+    for name, index in answers:
+        if name not in sizes or name in found:
+            raise JudgeError(f"{'repeated' if name in found else 'unknown'} question {name!r}")
+        if isinstance(index, bool) or not isinstance(index, int) or not 0 <= index < sizes[name]:
+            raise JudgeError(f"option {index!r} of question {name!r}")
+        found[name] = index
+    if missing := [q for q in sizes if q not in found]:
+        raise JudgeError(f"no answer to {missing}")
+    return [(q, found[q]) for q in sizes]
+
+
+def judge(samples: DataFrame, ask: Callable[[str, list], list[tuple[str, int]]], attempts: int = 3, workers: int = 4, wait: Callable[[int], float] = lambda k: 2.0 ** (k - 1)) -> DataFrame:
+    """(sample_id, question_id, option_index, error): a row for each question of (sample_id, output, questions). ``ask``
+    gets a sample's output and questions and returns (question id, option index) pairs; answers that don't fit are asked
+    for again. A sample that fails in all attempts has one row, with its error; others go on."""
+    asked = retried(lambda text, questions: checked_answers(ask(text, questions), questions), attempts, wait)
+
+    def one(x) -> list[tuple]:
+        sample, text, questions = x
+        try:
+            return [(sample, q, i, None) for q, i in asked(text or "", list(questions))]
+        except Exception as e:  # noqa: BLE001 - reported with the sample
+            return [(sample, None, None, f"{type(e).__name__}: {e}")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for s, text, questions in zip(pdf.sample_id, pdf.output, pdf.questions):
-                out += [(s, q["id"], int(decide(text, q["question"]))) for q in questions]
-            yield pd.DataFrame(out, columns=["sample_id", "question_id", "option_index"])
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in frames:
+                out = [r for rows in pool.map(one, zip(pdf.sample_id, pdf.output, pdf.questions)) for r in rows]
+                yield pd.DataFrame(out, columns=["sample_id", "question_id", "option_index", "error"], dtype=object)
 
-    return samples.select("sample_id", "output", "questions").mapInPandas(run, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, question_id string, option_index int")
+    return samples.select("sample_id", "output", "questions").mapInPandas(run, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, question_id string, option_index int, error string")
 
 
 def simulated(rows: DataFrame, call: Callable[[DataFrame], DataFrame] | None, fallback: bool = True) -> DataFrame:
@@ -125,3 +151,66 @@ def simulated(rows: DataFrame, call: Callable[[DataFrame], DataFrame] | None, fa
 def consistent(response):
     """Verdict on meaning: false only if the answer says so; anything unreadable passes."""
     return F.coalesce(F.get_json_object(response, "$.consistent") != "false", F.lit(True))
+
+
+# --- plug-ins: each takes a callable, and has a stand-in that needs no service ---
+
+
+def local_refiner(load: Callable[[], Callable[[str, int], str]], template: str = "{text}", max_tokens: int = 512) -> Callable[[], Refiner]:
+    """A refiner that runs a model in the worker, for ``refine_udf`` or ``refine_batches``. ``load`` gives a function of
+    (prompt, max_tokens) to the answer; the stand-in ``echo`` answers with the prompt."""
+    from .markers import plain_answer
+
+    def made() -> Refiner:
+        model = load()
+        return lambda texts: [plain_answer(model(template.replace("{text}", t), max_tokens)) for t in texts]
+
+    return made
+
+
+def echo() -> Callable[[str, int], str]:
+    return lambda prompt, max_tokens: prompt
+
+
+def speech_round_trip(speak: Callable[[str, str], bytes], hear: Callable[[bytes, str], str], cache: DataFrame | None = None, settings: tuple[str, ...] = (), attempts: int = 3):
+    """A ``call`` for ``curate.simulate``: texts are spoken and recognised again. ``cache`` (key, value) holds what was
+    heard before, under the digest of settings, language and text; only new texts are spoken, each once. Failures give
+    a null."""
+    from ..functions.text import service_language
+    from ..sources.files import cached
+
+    def one(text: str, language: str) -> str | None:
+        try:
+            return retried(lambda: hear(speak(text, language), language), attempts)().strip() or None
+        except Exception:  # noqa: BLE001 - the caller falls back or fails
+            return None
+
+    def compute(rows: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                yield pd.DataFrame({"key": pdf.key, "value": [one(t, x) for t, x in zip(pdf.oral_text, pdf.spoken)]})
+
+        return rows.select("key", "oral_text", "spoken").mapInPandas(run, "key string, value string")
+
+    def call(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        known = cache if cache is not None else spark.createDataFrame([], "key string, value string")
+        language = F.when(F.startswith("scene", F.lit("english_")), "en").otherwise("zh")
+        if "language" in rows.columns:
+            language = F.coalesce("language", language)
+        named = rows.withColumn("spoken", service_language(language)).withColumn("settings", F.lit("\n".join(settings)))
+        heard, _ = cached(named, known, ["settings", "spoken", "oral_text"], compute)
+        return heard.withColumn("said", F.col("value")).withColumn("wanted", F.lit(None).cast("string")).drop("spoken", "settings", "key", "value")
+
+    return call
+
+
+def seed_round(pool: DataFrame, categories: DataFrame, ask: Callable[[str], str], prompt: str = "prompt", attempts: int = 3) -> DataFrame:
+    """One round of new seeds: ``categories`` (scene, category and the prompt, with what to leave out) are sent to ``ask``,
+    whose JSON answers are flattened and merged behind the pool (scene, category, pos, seed). Failed calls add nothing."""
+    from ..functions.records import find_json, flatten_seeds
+    from .dedup import merge_seeds
+
+    answers = generate(categories, prompt, ask, attempts=attempts)
+    found = answers.select("scene", "category", F.posexplode(flatten_seeds(find_json(F.col("response")))).alias("pos", "seed"))
+    return merge_seeds(pool.select("scene", "category", "pos", "seed"), found.withColumn("pos", F.col("pos").cast(pool.schema["pos"].dataType)))
