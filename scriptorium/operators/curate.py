@@ -33,36 +33,101 @@ def skip_reason(source: Column, target: Column, scene: Column) -> Column:
     return F.when(empty, "skipped_empty").when((F.length(strip(source)) < 2) | (F.length(strip(target)) < least_length(scene)), "skipped_short")
 
 
+#: Fields of meta, as written by simulation and assembly.
+META = {
+    "scene": "string", "language": "string", "speech_phenomena": "array<string>", "itn_types": "array<string>", "is_fragment": "boolean", "asr_mode": "string",
+    "asr_strength": "string", "keyword_mode": "string", "tts_provider": "string", "stt_provider": "string", "asr_fallback_text_sim": "boolean", "passthrough": "boolean",
+}
+KEYWORD_MODE = "review_targets"
+
+
+def _meta(rows: DataFrame, over: dict[str, Column], under: dict[str, Column]) -> Column:
+    """meta with ``over`` in place of its fields and ``under`` where it lacks them; other fields stay."""
+    own = {f.name: F.col("meta")[f.name] for f in rows.schema["meta"].dataType.fields} if "meta" in rows.columns else {}
+    fields = {k: F.lit(None).cast(t) for k, t in META.items() if k in over or k in under} | own
+    fields |= {k: F.coalesce(fields[k], c) for k, c in under.items()} | over
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+def _own(rows: DataFrame, name: str, kind: str) -> Column:
+    """A column of the record, or a typed null."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def _of_meta(rows: DataFrame, name: str) -> Column:
+    held = "meta" in rows.columns and name in rows.schema["meta"].dataType.fieldNames()
+    return F.col("meta")[name] if held else F.lit(None).cast(META[name])
+
+
 def assemble(rows: DataFrame, from_simulation: bool = True) -> DataFrame:
-    """Training records (input, oral_text, output, meta, id, reason) of simulated or clean records.
-
-    Expects id, scene, language, input, oral_text, clean_text, refined_text, keyword_list, meta (a map).
-    Of simulated records, meta keeps what it has; of clean ones, what is set here wins. reason is null for
-    records to keep."""
-    source = F.coalesce(F.col("input"), F.lit("")) if from_simulation else F.coalesce(F.col("oral_text"), F.lit(""))
-    target = first_full(F.col("refined_text"), F.coalesce(F.col("clean_text"), F.lit(""))) if from_simulation else F.coalesce(F.col("clean_text"), F.lit(""))
-    oral = first_full(F.col("oral_text"), source)
-    own = F.coalesce(F.col("meta"), F.create_map().cast("map<string,string>"))
-    made = F.create_map(
-        F.lit("scene"), F.col("scene"), F.lit("language"), language(F.col("scene"), F.col("language"), F.try_element_at(own, F.lit("language"))),
-        F.lit("is_fragment"), F.lit("false"), F.lit("keyword_mode"), F.lit("review_targets"), *([] if from_simulation else [F.lit("asr_mode"), F.lit("clean_fallback")]),
-    )
-    over, under = (own, made) if from_simulation else (made, own)
-    meta = F.map_concat(F.map_filter(under, lambda k, v: ~F.map_contains_key(over, k)), over)
-    words = K.review_targets(F.col("keyword_list"), oral, target)
+    """Training records (id, scene, input, oral_text, output, meta, reason) of simulated or clean records.
+
+    Expects id, scene, oral_text, clean_text and, where there are, language, input, refined_text, keyword_list,
+    speech_phenomena, itn_types and meta (a struct). Of simulated records, meta keeps what it has and gets what it
+    lacks; of clean ones, scene, language, phenomena and types are set, and the rest of meta stays. reason tells
+    why a record is left out, and is null for records to keep."""
+    none = F.array().cast("array<string>")
+    oral, clean = F.coalesce(F.col("oral_text"), F.lit("")), F.coalesce(F.col("clean_text"), F.lit(""))
+    own = language(F.col("scene"), _own(rows, "language", "string"), _of_meta(rows, "language"))
+    if from_simulation:
+        source = F.coalesce(_own(rows, "input", "string"), F.lit(""))
+        target, said = first_full(_own(rows, "refined_text", "string"), clean), first_full(oral, source)
+        made = {"scene": F.col("scene"), "language": own, "speech_phenomena": none, "itn_types": none, "is_fragment": F.lit(False), "keyword_mode": F.lit(KEYWORD_MODE)}
+        meta = _meta(rows, {}, made)
+    else:
+        source, target, said = oral, clean, oral
+        lists = {k: F.coalesce(_own(rows, k, "array<string>"), none) for k in ("speech_phenomena", "itn_types")}
+        kept = {"is_fragment": F.lit(False), "asr_mode": F.lit("clean_fallback"), "keyword_mode": F.lit(KEYWORD_MODE)}
+        meta = _meta(rows, {"scene": F.col("scene"), "language": own} | lists, kept)
+    words = K.review_targets(_own(rows, "keyword_list", "array<string>"), said, target)
     return rows.select(
-        "id", "scene", source.alias("input"), oral.alias("oral_text"), F.struct(target.alias("refined_text"), words.alias("keyword_list")).alias("output"),
+        "id", "scene", source.alias("input"), said.alias("oral_text"), F.struct(target.alias("refined_text"), words.alias("keyword_list")).alias("output"),
         meta.alias("meta"), skip_reason(source, target, F.col("scene")).alias("reason"),
     )
 
 
-def simulate(rows: DataFrame, mode: str = "text_sim", strength: str = "medium", share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Recognition-like inputs for (id, scene, oral_text, clean_text, passthrough). text_sim degrades every row;
-    ``drawn`` marks the share that a model would simulate. Passthrough rows keep their text."""
-    if mode not in ("text_sim", "llm_sim", "tts_asr"):
+MODES = ("text_sim", "llm_sim", "tts_asr")
+
+
+def simulate(rows: DataFrame, mode: str = "text_sim", strength: str = "medium", share: float = 0.2, seed: int = 42, call=None, fallback: bool = True, tts: str | None = None, stt: str | None = None) -> DataFrame:
+    """Recognition-like records (id, scene, input, oral_text, clean_text, output, meta) of (id, scene, oral_text, clean_text)
+    and, where there are, language, speech_phenomena, itn_types, keyword_list and meta. Rows without one text are left
+    out.
+
+    Clean passthrough rows have the clean text on both sides. Of the others, ``text_sim`` degrades every oral text;
+    ``llm_sim`` sends the seeded ``share`` to ``call`` and leaves the rest as they are; ``tts_asr`` sends all, and where
+    that failed degrades the text (``fallback``) or fails. ``call`` gets a DataFrame and adds said and wanted, its texts
+    for input and target (null: failed; a null wanted alone keeps the clean text)."""
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    text = F.when(F.col("passthrough"), F.col("oral_text")).otherwise(simulate_recognition(F.col("oral_text"), strength))
-    return rows.withColumn("input", text).withColumn("drawn", draw(F.col("id"), share, seed)).withColumn("asr_mode", F.lit(mode)).withColumn("asr_strength", F.lit(strength))
+    if mode != "text_sim" and call is None:
+        raise ValueError(f"{mode} needs a call")
+    none = F.array().cast("array<string>")
+    lists = {k: F.coalesce(_own(rows, k, "array<string>"), _of_meta(rows, k), none) for k in ("speech_phenomena", "itn_types")}
+    base = rows.where((F.coalesce("oral_text", F.lit("")) != "") & (F.coalesce("clean_text", F.lit("")) != ""))
+    base = base.withColumn("_pass", passthrough(lists["speech_phenomena"], exact=True))
+    sent = {"text_sim": F.lit(False), "llm_sim": draw(F.col("id"), share, seed), "tts_asr": F.lit(True)}[mode] & ~F.col("_pass")
+    base = base.withColumn("_sent", sent)
+    text = F.lit(None).cast("string")
+    if mode == "text_sim":
+        base = base.withColumn("said", text).withColumn("wanted", text)
+    else:
+        stay = base.where("NOT _sent").withColumn("said", text).withColumn("wanted", text)
+        base = stay.unionByName(call(base.where("_sent")).select(*stay.columns))
+    degraded, failed = simulate_recognition(F.col("oral_text"), strength), F.col("_sent") & F.col("said").isNull()
+    failure = F.raise_error(F.concat(F.lit(f"{mode} failed for id "), F.col("id").cast("string"))).cast("string")
+    instead = degraded if mode == "tts_asr" and fallback else failure
+    rest = degraded if mode == "text_sim" else F.col("oral_text")
+    source = F.when(F.col("_pass"), F.col("clean_text")).when(failed, instead).when(F.col("_sent"), F.col("said")).otherwise(rest)
+    target = F.when(F.col("_sent") & F.col("wanted").isNotNull(), F.col("wanted")).otherwise(F.col("clean_text"))
+    words = K.review_targets(_own(rows, "keyword_list", "array<string>"), F.col("oral_text"), target)
+    name = lambda x: F.lit(x if mode == "tts_asr" else None).cast("string")
+    meta = _meta(base, {
+        "scene": F.col("scene"), "language": first_full(_own(rows, "language", "string"), F.when(F.startswith("scene", F.lit("english_")), "en").otherwise("zh")), **lists,
+        "is_fragment": F.col("_sent") & F.lit(mode == "llm_sim"), "asr_mode": F.lit(mode), "asr_strength": F.lit(strength), "keyword_mode": F.lit(KEYWORD_MODE),
+        "tts_provider": name(tts), "stt_provider": name(stt), "asr_fallback_text_sim": failed & F.lit(mode == "tts_asr"), "passthrough": F.col("_pass"),
+    }, {})
+    return base.select("id", "scene", source.alias("input"), "oral_text", target.alias("clean_text"), F.struct(target.alias("refined_text"), words.alias("keyword_list")).alias("output"), meta.alias("meta"))
 
 
 def passthrough(phenomena: Column, exact: bool = False) -> Column:
@@ -79,18 +144,31 @@ def precheck(source: Column, refined: Column) -> Column:
 
 
 def verdict(response: Column) -> Column:
-    """Passed or not, of a judge's answer: JSON ``pass`` (true if missing), else text that begins with true or
-    false; null if neither. Only booleans count in JSON."""
-    t = F.lower(strip(response))
-    says = lambda v: response.rlike(rf'"pass"\s*:\s*{v}\b')  # noqa: E731 - a quoted "false" is no boolean
-    valid = F.get_json_object(response, "$").isNotNull()
-    in_json = F.when(says("true"), True).when(says("false"), False).when(valid & F.get_json_object(response, "$.pass").isNull(), True)
-    return F.when(F.startswith(t, F.lit("{")), in_json).when(F.startswith(t, F.lit("true")), True).when(F.startswith(t, F.lit("false")), False)
+    """(passed, reason) of a judge's answer. Of a JSON object, its own field ``pass`` counts: true if missing, else as any
+    value that is not false, null, zero or empty; of other answers, whether they begin with true or false."""
+    text = strip(response)
+    doc = F.try_parse_json(text)
+    said = F.try_variant_get(doc, "$.pass", "variant")
+    kind, plain = F.schema_of_variant(said), F.to_json(said)
+    false = (kind == "VOID") | plain.isin("false", '""', "[]", "{}") | (kind.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (F.try_variant_get(said, "$", "double") == 0))
+    told = F.coalesce(F.try_variant_get(doc, "$.reason", "string"), F.lit(""))
+    low, start = F.lower(text), F.left(response, F.lit(100))
+    result = lambda ok, why: F.struct(ok.alias("passed"), why.alias("reason"))
+    begins = lambda x: F.startswith(low, F.lit(x)) | F.startswith(low, F.lit(f'{{"pass": {x}'))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
+    return (
+        F.when(is_object, result(F.coalesce(~false, F.lit(True)), told))
+        .when(begins("true"), result(F.lit(True), start)).when(begins("false"), result(F.lit(False), start))
+        .otherwise(result(F.lit(False), F.lit("unparseable QC response")))
+    )
 
 
 def first_n(rows: DataFrame, n: Column, by: str = "scene", order: str = "ord", width: int = 65_536) -> DataFrame:
-    """The first n rows of each group, by an integer order."""
-    out = running_sum(rows, [by], F.floor(F.col(order) / width), [order], F.lit(1), "_n")
+    """The first n rows of each group, by an integer order. Each bucket of the order gives its first n, and the running
+    sum is taken of these alone."""
+    bucket = F.floor(F.col(order) / width)
+    near = rows.withColumn("_n", F.row_number().over(W.partitionBy(by, bucket).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+    out = running_sum(near, [by], bucket, [order], F.lit(1), "_n")
     return out.where(F.col("_n") <= n).drop("_n")
 
 
@@ -104,10 +182,20 @@ def quota(total: int | Column, share: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(share * total).cast("int"))
 
 
-def distribution(rows: DataFrame, *by: Column) -> DataFrame:
-    """Counts over all rows and by each column alone: (kind, value, n). Missing values count as unknown."""
-    named = [F.coalesce(c.cast("string"), F.lit("unknown")) for c in by]
-    parts = F.array(F.struct(F.lit("total").alias("kind"), F.lit("").alias("value")), *[F.struct(F.lit(f"by_{i}").alias("kind"), c.alias("value")) for i, c in enumerate(named)])
+def quotas(scenes: DataFrame, total: int, target: dict[str, float] = SCENES) -> DataFrame:
+    """Adds share and target, the number of records wanted, to rows with a scene; a scene without a share of its own
+    gets ``DEFAULT_SHARE``."""
+    dim = scenes.sparkSession.createDataFrame(sorted(target.items()), "scene string, share double")
+    share = F.coalesce("share", F.lit(DEFAULT_SHARE))
+    return scenes.join(F.broadcast(dim), "scene", "left").withColumn("share", share).withColumn("target", quota(total, F.col("share")))
+
+
+def distribution(rows: DataFrame, scene: Column, language: Column, is_fragment: Column) -> DataFrame:
+    """Counts over all rows and by each of the three alone: (kind, value, n). A missing scene or language counts as
+    unknown, a missing fragment mark as False; marks are written True and False."""
+    mark = F.when(F.coalesce(is_fragment, F.lit(False)), "True").otherwise("False")
+    named = {"scene": F.coalesce(scene, F.lit("unknown")), "language": F.coalesce(language, F.lit("unknown")), "is_fragment": mark}
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in {"total": F.lit(""), **named}.items()])
     return rows.select(F.explode(parts).alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,3 +275,24 @@ def strata(scene: Column, refined: Column) -> list[Column]:
 def seed_hint(words: Column, per: int = 5, width: int = 20) -> Column:
     """A short list of names not to repeat."""
     return F.array_join(F.transform(F.slice(words, 1, per), lambda w: F.left(w, F.lit(width))), ", ")
+
+
+def exclusion_hint(seeds: DataFrame, by: str = "scene", most: int = 30) -> DataFrame:
+    """(by, hint): a line with the first names of each of the first ``most`` categories that have any. Expects by,
+    category, place (of the category) and words."""
+    line = F.struct("place", F.concat("category", F.lit(": "), seed_hint(F.col("words")), F.lit("...")).alias("line"))
+    lines = F.slice(F.array_sort(F.collect_list(line)), 1, most)
+    return seeds.where(F.size("words") > 0).groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("hint"))
+
+
+def seed_list(words: Column, key: Column, most: int = 30, seed: int = 42, default: str = "Use appropriate scene-specific content.") -> Column:
+    """Up to ``most`` different words in a seeded order, as one text for a prompt."""
+    mixed = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct(seeded(F.concat_ws(":", key.cast("string"), w), seed).alias("h"), w.alias("w"))))
+    return F.when(F.size(words) > 0, F.array_join(F.transform(F.slice(mixed, 1, most), lambda x: x["w"]), ", ")).otherwise(F.lit(default))
+
+
+def seed_rounds(pool: DataFrame, target: int = 3000, per_round: int = 200, by: str = "scene") -> DataFrame:
+    """(by, have, rounds): how many different seeds (see ``dedup.dedup_seeds``) a pool holds in its list categories, and
+    the rounds still to run."""
+    have = pool.groupBy(by).agg(F.count(F.lit(1)).alias("have"))
+    return have.withColumn("rounds", rounds(F.col("have"), F.lit(target), per_round))
