@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
+import warnings
 import wave
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,6 +31,13 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(p)) if system.exists(p) else []
 
 
+def shared_system(path: str):
+    """(file system, path in it) of a qualified path, for use in tasks."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, a missing file has no rows, a malformed line fails."""
     if not exists(spark, path):
@@ -36,12 +46,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def check_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(rows, violations): rows have their file and byte-ordered line text; violations are lines that are no object."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    """(rows, violations): the rows of lines that hold an object, and (file, line, value) of those that don't; line counts
+    from 1. Each file is one task, as line numbers need; blank lines count but are skipped."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
+    lines = files.select("file", F.posexplode("l").alias("line", "value")).withColumn("line", F.col("line") + 1).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
     text = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
-    parsed = lines.select("file", "value", F.from_json("value", text).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
+    parsed = lines.select("file", "line", "value", F.from_json("value", text).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
     wrong = F.col("bad") | ~F.startswith(F.ltrim("value"), F.lit("{"))
-    return parsed.where(~wrong).select("r.*"), parsed.where(wrong).select("file", "value")
+    return parsed.where(~wrong).select("r.*"), parsed.where(wrong).select("file", "line", "value")
 
 
 def read_rubric(spark: SparkSession, path: str, item: str) -> DataFrame:
@@ -55,16 +67,38 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one text file. For exports that a trainer reads whole; otherwise ``write_jsonl``."""
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        for n, r in enumerate(rows):
-            out.write(bytearray(("[" if not n else ",\n").encode() + r.j.encode()))
-        out.write(bytearray(b"]" if "n" in locals() else b"[]"))
-    finally:
-        out.close()
+    """One JSON array, in one text file, in the rows' order. Rows are made and written by one task, which holds a row at
+    a time; for exports that a trainer reads whole, otherwise ``write_jsonl``."""
+    spark = df.sparkSession
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1)
+
+    def run(batches):
+        held = None  # the last row so far, which gets a comma only if another follows
+        for b in batches:
+            out = []
+            for x in b.column("value").to_pylist():
+                if held is not None:
+                    out.append(held + ",")
+                held = x if held is not None else "[" + x
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([(held or "[") + "]"])], names=["value"])
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(path + ".parts")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(folder.toString())
+    part = next(s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    _replace(spark, part, target)
+    system.delete(folder, True)
+
+
+def _replace(spark: SparkSession, source, target) -> None:
+    """Rename over what is there, in one step of the file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(source), context.makeQualified(target), options)
 
 
 def read_scenes(spark: SparkSession, folder: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -87,8 +121,11 @@ def preferred(spark: SparkSession, folder: str, wanted: str = "auto") -> str | N
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of all files that exist; an error if none does."""
+    """Rows of all files that exist, with a warning for each that doesn't; an error if none does."""
     found = [p for p in paths if exists(spark, p)]
+    for p in paths:
+        if p not in found:
+            warnings.warn(f"{p} is missing and skipped", stacklevel=2)
     if not found:
         raise FileNotFoundError(f"none of {paths}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(found)
@@ -110,10 +147,15 @@ def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
+def content_key(*fields: Column) -> Column:
+    """The cache key of a record: SHA-256 of its fields, a line each; missing ones are empty."""
+    return F.sha2(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields]), 256)
+
+
 def cached(rows: DataFrame, cache: DataFrame, fields: list[str], compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(rows with value, new cache rows): values by content key, computed only for keys that the cache (key, value)
     lacks. ``compute`` gets one row (key and fields) a key and returns key and value."""
-    keyed = rows.withColumn("key", F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256))
+    keyed = rows.withColumn("key", content_key(*map(F.col, fields)))
     new = compute(keyed.select("key", *fields).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"))
     return keyed.join(cache.select("key", "value").unionByName(new.select("key", "value")), "key", "left"), new
 
@@ -143,13 +185,16 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "session string, seq long, window array<float>")
 
 
-def write_json(spark: SparkSession, value: dict, path: str) -> None:
-    """A small document, replaced at once."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    target, temp = fs.Path(path), fs.Path(path + ".tmp")
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = system.create(temp, True)
-    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode()))
+def read_json(spark: SparkSession, path: str):
+    """The value of one small document; None if it is missing."""
+    return json.loads(spark.read.text(path, wholetext=True).first().value) if exists(spark, path) else None
+
+
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """A small document, replaced at once: whoever reads meanwhile gets the old or the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, temp = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(temp, True)
+    out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode()))
     out.close()
-    system.delete(target, False)
-    system.rename(temp, target)
+    _replace(spark, temp, target)
