@@ -174,8 +174,10 @@ def preroll(rows: DataFrame, key: str, order: str, size: int = 22) -> DataFrame:
     return rows.where(F.col("in_speech") & ~F.col("_was")).drop("_was")
 
 
-def windows(rows: DataFrame, text: str, key: str, order: str, size: int = 3) -> DataFrame:
-    """Adds the sliding window's start and texts, and the texts before it."""
+def windows(rows: DataFrame, text: str, key: str, order: str, size: int = 3, committed: bool = False) -> DataFrame:
+    """Adds the sliding window's start and texts, and (``committed``) the texts before it, whose length grows with the
+    session, so they are only for short ones."""
     w = W.partitionBy(key).orderBy(order)
     place = F.row_number().over(w)
-    return rows.withColumn("start_index", F.greatest(F.lit(0), place - size).cast("long")).withColumn("window", F.collect_list(text).over(w.rowsBetween(-(size - 1), 0))).withColumn("committed", F.collect_list(text).over(w.rowsBetween(W.unboundedPreceding, -size)))
+    out = rows.withColumn("start_index", F.greatest(F.lit(0), place - size).cast("long")).withColumn("window", F.collect_list(text).over(w.rowsBetween(-(size - 1), 0)))
+    return out.withColumn("committed", F.collect_list(text).over(w.rowsBetween(W.unboundedPreceding, -size))) if committed else out
