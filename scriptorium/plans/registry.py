@@ -12,32 +12,20 @@ from ..functions import keywords as K
 from ..functions import records as R
 from ..functions import text as T
 from ..operators import curate, dedup, evaluate, models
+from ..sources import files
 from ..streaming import speech
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from .catalog import QUERIES, SQL, query, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from . import records, runs  # noqa: F401 - their queries join the catalogue
 
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(QUERIES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +41,13 @@ _BUCKET = "CASE WHEN length(text) <= 20 THEN 'short' WHEN length(text) <= 50 THE
 
 
 @query("""
+WITH r AS (SELECT source AS scene, lang AS language, CASE doc_id % 3 WHEN 0 THEN 'True' ELSE 'False' END AS mark FROM documents)
 SELECT kind, value, count(*) AS n FROM (
-  SELECT 'total' AS kind, '' AS value FROM documents UNION ALL
-  SELECT 'by_0', coalesce(lang, 'unknown') FROM documents UNION ALL
-  SELECT 'by_1', coalesce(source, 'unknown') FROM documents) GROUP BY kind, value""")
+  SELECT 'total' AS kind, '' AS value FROM r UNION ALL SELECT 'scene', coalesce(scene, 'unknown') FROM r UNION ALL
+  SELECT 'language', coalesce(language, 'unknown') FROM r UNION ALL SELECT 'is_fragment', mark FROM r) GROUP BY kind, value""")
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.distribution(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
+    mark = F.when(F.col("doc_id") % 3 == 0, True).when(F.col("doc_id") % 3 == 1, False)
+    return curate.distribution(table(spark, sf_dir, "documents"), F.col("source"), F.col("lang"), mark)
 
 
 @query(f"""
@@ -158,7 +147,7 @@ def _ascii(c: Column) -> Column:
 
 @query(f"""
 WITH {_PAIRS}, n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace({_ASCII.format("source")}, '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), ' +', ' ', 'g')) AS r,
-trim(regexp_replace(regexp_replace({_ASCII.format("left(refined, 300)")}, '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), ' +', ' ', 'g')) AS h FROM pairs)
+trim(regexp_replace(regexp_replace({_ASCII.format("refined")}, '[\\p{{P}}\\p{{S}}\\p{{Z}}]', ' ', 'g'), ' +', ' ', 'g')) AS h FROM pairs)
 SELECT conv_id, turn, levenshtein(replace(r, ' ', ''), replace(h, ' ', '')) AS cer_errors, length(replace(r, ' ', '')) AS cer_units, len(regexp_extract_all(r, '[a-z0-9]+')) AS wer_units FROM n""")
 def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = T.text_metrics(_ascii(F.col("source")), _ascii(F.col("refined")), ascii_only=True)
@@ -173,7 +162,7 @@ def corpus_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT min(doc_id) AS doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE text <> '' GROUP BY 2),
-g AS MATERIALIZED (SELECT doc_id, list_distinct([t[i:i+2] FOR i IN range(1, greatest(2, length(t) - 1))]) AS g FROM c WHERE doc_id % 10 = 0)
+g AS MATERIALIZED (SELECT doc_id, list_distinct([t[i:i+2] FOR i IN range(1, greatest(2, length(t) - 1))]) AS g FROM c)
 SELECT doc_id, len(g)::BIGINT AS n_grams FROM g""")
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text") != "")
@@ -202,20 +191,28 @@ def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id")
 
 
-@query("""
-SELECT doc_id, seed FROM (SELECT doc_id, seed, row_number() OVER (PARTITION BY lang, lower(seed) ORDER BY doc_id) AS n FROM (SELECT doc_id, lang, regexp_extract(text, '[a-zA-Z]+') AS seed FROM documents) WHERE seed <> '') WHERE n = 1""")
+@query(f"""
+WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS seed, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, lower({_SQUEEZE.format("seed")}) AS key FROM l)
+SELECT doc_id, i::BIGINT AS line, seed FROM (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id, i) AS n FROM k WHERE key <> '') WHERE n = 1""")
 def seed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("scene"), F.lit("c").alias("category"), F.col("doc_id").alias("pos"), F.regexp_extract("text", "[a-zA-Z]+", 0).alias("seed"))
-    return dedup.dedup_seeds(seeds).select("doc_id", "seed")
+    """The lines of all texts, by language, as seeds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("scene"), F.lit("c").alias("category"), F.posexplode(F.split("text", "\n")).alias("i", "seed"))
+    seeds = docs.withColumn("line", (F.col("i") + 1).cast("long")).withColumn("pos", F.struct("doc_id", "i"))
+    return dedup.dedup_seeds(seeds).select("doc_id", "line", "seed")
 
 
 @query("""
-WITH r AS (SELECT doc_id AS k, source FROM documents), l AS (SELECT doc_id AS k, quality FROM labels)
-SELECT r.k, coalesce(l.quality, -1) AS quality FROM l JOIN r USING (k)""")
+WITH r AS (SELECT doc_id AS k, lang FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0)
+SELECT k, CASE WHEN quality = 1 THEN 'text ' || k ELSE '' END AS output, CASE WHEN quality = 1 THEN NULL ELSE 'failed ' || k END AS asr_error, lang
+FROM (SELECT doc_id AS k, coalesce(quality, 0) AS quality FROM labels) JOIN r USING (k)""")
 def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.lit("success").alias("status"), F.array(F.lit(1)).alias("qa"))
-    out = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.col("quality"), F.lit(None).cast("string").alias("text"), F.lit("e").alias("error"))
-    return evaluate.match(out, docs, "k").select("k", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    """Outputs of the labelled documents, some failed, with rubrics, some failed or without questions."""
+    k = F.col("doc_id")
+    rubric = table(spark, sf_dir, "documents").select(k.alias("k"), "lang", F.when(k % 5 == 0, "failed").otherwise("success").alias("status"), F.when(k % 7 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("qa"))
+    text = F.when(F.col("quality") == 1, F.concat(F.lit("text "), k.cast("string")))
+    out = table(spark, sf_dir, "labels").select(k.alias("k"), text.alias("text"), F.concat(F.lit("failed "), k.cast("string")).alias("error"))
+    return evaluate.match(out, rubric, "k").select("k", "output", "asr_error", "lang")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -230,39 +227,65 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.latest(rows, ["user_id", "event_type"], "ord").select("user_id", "event_type", "event_id", "value")
 
 
-@query("""
-WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL)
-SELECT user_id AS sample_id FROM l GROUP BY user_id HAVING bool_and(value > 5)""")
+_RESULTS = """q AS (SELECT DISTINCT user_id AS sample_id, event_type AS question_id FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+l AS (SELECT user_id AS sample_id, event_type AS question_id, arg_max(value, event_id) AS value, max(event_id) AS ord FROM events GROUP BY ALL),
+m AS (SELECT sample_id, question_id, CASE WHEN ord % 10 <> 0 AND value > 2 THEN 'success' WHEN ord % 10 <> 0 THEN 'failed' END AS status FROM q LEFT JOIN l USING (sample_id, question_id))"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of users, with their last events as results; one in ten has an old signature."""
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    now = R.signature(sample=F.col("user_id").cast("string"), question=F.col("event_type"))
+    questions = events.select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("question_id"), now.alias("signature")).distinct()
+    old = F.when(F.col("event_id") % 10 == 0, F.sha2(now, 256)).otherwise(now)
+    results = events.select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("question_id"), F.when(F.col("value") > 2, "success").otherwise("failed").alias("status"), old.alias("signature"), F.col("event_id").alias("ord"))
+    return evaluate.with_results(questions, results)
+
+
+@query(f"WITH {_RESULTS} SELECT sample_id, question_id, status FROM m")
+def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select("sample_id", "question_id", "status")
+
+
+@query(f"WITH {_RESULTS} SELECT sample_id FROM m GROUP BY sample_id HAVING bool_and(coalesce(status = 'success', false))")
 def completed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = evaluate.latest(table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), "event_type", "value", "event_id"), ["sample_id", "event_type"], "event_id")
-    return evaluate.finished(last.withColumn("status", F.when(F.col("value") > 5, "ok")))
+    return evaluate.finished(_results(spark, sf_dir))
 
 
-_SCORED = """r AS (SELECT l.doc_id AS sample_id, CASE WHEN d.lang = 'en' THEN 'filter' ELSE 'content' END AS category, d.source AS scene, l.quality AS score, l.toxic = 1 AS gone,
-CASE WHEN l.doc_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM labels l JOIN documents d USING (doc_id)),
-k AS (SELECT *, 'overall' AS kind, '' AS value FROM r UNION ALL SELECT *, 'category', category FROM r UNION ALL SELECT *, 'scene', scene FROM r),
-s AS (SELECT kind, value, count(*) FILTER (status = 'ok') AS n, coalesce(sum(score) FILTER (status = 'ok'), 0)::DOUBLE AS score, coalesce(sum(CASE category WHEN 'filter' THEN 2 ELSE 1 END) FILTER (status = 'ok'), 0)::DOUBLE AS max_score,
-count(*) FILTER (status <> 'ok') AS failed, count(*) FILTER (gone) AS exhausted_questions, count(DISTINCT sample_id) FILTER (gone) AS exhausted_samples FROM k GROUP BY kind, value)"""
+_SCORED = """r AS (SELECT l.doc_id AS sample_id, CASE WHEN l.doc_id % 11 = 0 THEN NULL WHEN d.lang = 'en' THEN 'filter' ELSE 'content' END AS category, d.source AS scene,
+CASE WHEN l.doc_id % 13 = 0 THEN NULL ELSE l.quality END AS score, l.toxic = 1 AS gone, CASE WHEN l.doc_id % 7 = 0 THEN 'failed' ELSE 'success' END AS status,
+CASE WHEN l.doc_id % 2 = 0 THEN 3 END AS max_score FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT *, coalesce(max_score, CASE category WHEN 'filter' THEN 2 ELSE 1 END) AS best FROM r WHERE status = 'success' AND score IS NOT NULL AND category IS NOT NULL AND scene IS NOT NULL),
+k AS (SELECT 'overall' AS kind, '' AS value, score, best FROM g UNION ALL SELECT 'category', category, score, best FROM g UNION ALL SELECT 'scene', scene, score, best FROM g)"""
 
 
-@query(f"WITH {_SCORED} SELECT *, CASE WHEN max_score = 0 THEN 0.0::DOUBLE ELSE greatest(0, least(1, score / max_score))::DOUBLE END AS normalized FROM s")
-def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select(
-        F.col("doc_id").alias("sample_id"), F.when(F.col("lang") == "en", "filter").otherwise("content").alias("category"), F.col("source").alias("scene"), F.col("quality").alias("score"),
-        F.lit(None).cast("int").alias("max_score"), (F.col("toxic") == 1).alias("asr_retry_exhausted"), F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("ok").alias("status"),
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), F.col("doc_id")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        k.alias("sample_id"), F.when(k % 11 == 0, None).when(F.col("lang") == "en", "filter").otherwise("content").alias("category"), F.col("source").alias("scene"),
+        F.when(k % 13 != 0, F.col("quality")).alias("score"), F.when(k % 2 == 0, 3).alias("max_score"), (F.col("toxic") == 1).alias("asr_retry_exhausted"), F.when(k % 7 == 0, "failed").otherwise("success").alias("status"),
     )
-    return evaluate.summary(rows)
 
 
-@query("SELECT doc_id, sha256(concat_ws(chr(10), lang, source, text)) AS key FROM documents")
+@query(f"""WITH {_SCORED} SELECT kind, value, count(*) AS n, sum(score)::BIGINT AS score, sum(best)::BIGINT AS max_score,
+CASE WHEN sum(best) = 0 THEN 0.0::DOUBLE ELSE greatest(0, least(1, sum(score)::DOUBLE / sum(best)))::DOUBLE END AS normalized FROM k GROUP BY kind, value""")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.summary(_scored(spark, sf_dir))
+
+
+@query(f"""WITH {_SCORED} SELECT count(*) FILTER (status <> 'success') AS failed_questions, count(*) FILTER (gone) AS exhausted_questions, count(DISTINCT sample_id) FILTER (gone) AS exhausted_samples FROM r""")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.run_counts(_scored(spark, sf_dir))
+
+
+@query("""SELECT doc_id, sha256('{"lang": ' || coalesce(to_json(lang)::VARCHAR, 'null') || ', "source": ' || coalesce(to_json(source)::VARCHAR, 'null') || ', "text": ' || coalesce(to_json(text)::VARCHAR, 'null') || '}') AS key FROM documents""")
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("\n", "lang", "source", "text"), 256).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.signature(lang=F.col("lang"), text=F.col("text"), source=F.col("source")).alias("key"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", *R.json_fields(F.col("props"), "page", "k"))
 
 
 @query(f"""WITH {_PAIRS} SELECT conv_id, turn, pos, who, what FROM (SELECT conv_id, turn, unnest([0, 1]) AS pos, unnest(['human', 'gpt']) AS who, unnest([source, refined]) AS what FROM pairs WHERE source <> '' AND refined <> '')""")
@@ -302,22 +325,37 @@ def preroll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "user_id", F.size("preroll").cast("long").alias("n"), F.coalesce(F.try_element_at("preroll", F.lit(1)), F.lit(-1)).alias("first_id"))
 
 
-_WINDOWS = """w AS (SELECT conv_id, turn, greatest(0, row_number() OVER o - 3) AS start_index, list(lang_id) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a
-FROM (SELECT conv_id, turn, role || turn AS lang_id FROM conversations) WINDOW o AS (PARTITION BY conv_id ORDER BY turn))"""
+_STRIPPED = _STRIP.format("text")
+_GAP = "CASE WHEN ascii(right({0}, 1)) < 128 AND ascii({1}) < 128 THEN ' ' ELSE '' END"
+_WINDOWS = f"""s AS (SELECT conv_id, turn, {_STRIPPED} AS t FROM conversations),
+w AS (SELECT conv_id, turn, greatest(0, row_number() OVER o - 3) AS start_index, lag(t, 2) OVER o AS a, lag(t) OVER o AS b, t AS c FROM s WHERE t <> '' WINDOW o AS (PARTITION BY conv_id ORDER BY turn))"""
+_REFINED = f"coalesce(a || {_GAP.format('a', 'b')}, '') || coalesce(b || {_GAP.format('b', 'c')}, '') || c"
 
 
-@query(f"WITH {_WINDOWS} SELECT conv_id, turn, start_index, array_to_string(a, ' ') AS refined FROM w")
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(~T.blank(F.col("text"))).select("conv_id", "turn", "text")
+
+
+@query(f"WITH {_WINDOWS} SELECT conv_id, turn, start_index, {_REFINED} AS refined FROM w")
 def sliding_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("t"))
-    return speech.windows(rows, "t", "conv_id", "turn").select("conv_id", "turn", "start_index", T.join_chunks(F.col("window")).alias("refined"))
+    return speech.windows(_chunks(spark, sf_dir), "text", "conv_id", "turn").select("conv_id", "turn", "start_index", T.join_chunks(F.col("window")).alias("refined"))
 
 
-@query(f"WITH {_WINDOWS} SELECT conv_id, turn, start_index, array_to_string(a, ' ') AS refined FROM w")
+@query(f"WITH {_WINDOWS} SELECT conv_id, turn, start_index, {_REFINED} AS refined FROM w")
 def sliding_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.concat("role", F.col("turn").cast("string")).alias("text"))
+    rows = _chunks(spark, sf_dir).withColumnRenamed("turn", "seq")
     return speech.fold(rows, speech.sliding(), speech.REFINED, "conv_id").select("conv_id", F.col("seq").alias("turn"), "start_index", F.col("refined_text").alias("refined"))
 
 
+@query(f"""WITH {_WINDOWS} SELECT x.conv_id, x.turn, count(y.c) AS n, coalesce(string_agg(y.c, chr(10) ORDER BY y.turn), '') AS texts
+FROM w x LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM w) y ON y.conv_id = x.conv_id AND y.i <= x.start_index GROUP BY ALL""")
+def committed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has left the window by each turn."""
+    rows = speech.windows(_chunks(spark, sf_dir), "text", "conv_id", "turn", committed=True)
+    texts = F.array_join(F.transform("committed", T.strip), "\n")
+    return rows.select("conv_id", "turn", F.size("committed").cast("long").alias("n"), texts.alias("texts"))
+
+
 @query()
 def stable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("hypothesis"), F.lit(True).alias("vad_boundary"))
@@ -326,7 +364,7 @@ def stable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, w AS word, w IN ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'on', 'for', 'is', 'are', 'was', 'were', 'we', 'you', 'they', 'this', 'that', 'need', 'should', 'maybe') AS common
-FROM (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(left(text, 80), '[^A-Za-z ]', '', 'g'), ' '))) AS w FROM documents) WHERE w <> ''""")
+FROM (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '))) AS w FROM documents) WHERE w <> ''""")
 def keyword_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = K.dedupe(F.split(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " "))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).withColumn("common", K.is_common(F.col("word")))
@@ -350,27 +388,61 @@ def window_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(speech.rms(F.col("embedding")), 6).alias("rms"))
 
 
-@query("SELECT item_id AS sample_id, 'q' AS question_id, length(text) % 3 AS option_index FROM benchmark")
+@query("""SELECT item_id AS sample_id, 'q' || i AS question_id, (length(text) + i) % (2 + i) AS option_index FROM benchmark, range(3) r(i) WHERE item_id % 5 <> 0
+UNION ALL SELECT item_id, NULL, NULL FROM benchmark WHERE item_id % 5 = 0""")
 def judge_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.array(F.struct(F.lit("q").alias("id"), F.lit("?").alias("question")))
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("output"), q.alias("questions"))
-    return models.judge(rows, lambda text, question: len(text) % 3)
+    """Three questions a sample; a fifth of the samples get an answer that doesn't fit and so fail as a whole."""
+    option = lambda o: F.struct(F.concat(F.lit("option "), o.cast("string")).alias("text"), o.alias("score"))
+    questions = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("q"), i.cast("string")).alias("id"), F.concat(F.col("item_id").cast("string"), F.lit("?")).alias("question"), F.transform(F.sequence(F.lit(0), i + 1), option).alias("options")))
 
+    def ask(text: str, questions: list) -> list[tuple[str, int]]:
+        wrong = int(questions[0]["question"][:-1]) % 5 == 0
+        return [(q["id"], 99 if wrong and i else (len(text) + i) % len(q["options"])) for i, q in enumerate(questions)]
 
-@query("SELECT doc_id, trim(text) = '' AS blank, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("output"), questions.alias("questions"))
+    return models.judge(rows, ask, wait=lambda k: 0.0).select("sample_id", "question_id", F.col("option_index").cast("long").alias("option_index"))
+
+
+@query(f"SELECT doc_id, {_STRIP.format('text')} <> '' AS ok, nullif({_STRIP.format('text')}, '') AS clean_text FROM documents")
 def refine_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = models.refine_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", models.identity)
-    return rows.select("doc_id", (~F.col("ok")).alias("blank"), F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n"))
+    return rows.select("doc_id", "ok", "clean_text")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '[一二三四五六七八九十百千万亿]+[年月日号]|百分之[零一二三四五六七八九十百千万]+')")
+@query("""
+WITH t AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' 三月' WHEN 1 THEN ' 百分之五' WHEN 2 THEN ' 丁年' ELSE '' END AS t FROM conversations)
+SELECT conv_id, turn, regexp_matches(t, '[一-三四五六七八九十百千万亿]+[年月日号]') AS dates, regexp_matches(t, '百分之[零一二三四五六七八九十百千万]+') AS shares FROM t
+WHERE regexp_matches(t, '[一-三四五六七八九十百千万亿]+[年月日号]|百分之[零一二三四五六七八九十百千万]+')""")
 def spoken_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(F.size(K.spoken_numbers(F.col("text"))) > 0).select("conv_id", "turn")
+    turn = F.col("turn") % 4
+    text = F.concat("text", F.when(turn == 0, " 三月").when(turn == 1, " 百分之五").when(turn == 2, " 丁年").otherwise(""))
+    found = table(spark, sf_dir, "conversations").withColumn("p", K.spoken_numbers(text)).where(F.size("p") > 0)
+    return found.select("conv_id", "turn", *[F.array_contains("p", p).alias(n) for n, p in zip(("dates", "shares"), K.SPOKEN_NUMBERS)])
 
 
-@query("SELECT conv_id, turn, sha256('text' || chr(10) || text) AS signature FROM conversations")
+@query("SELECT conv_id, turn, sha256('text' || chr(10) || coalesce(role, '') || chr(10) || coalesce(text, '')) AS key FROM conversations")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("\n", F.lit("text"), "text"), 256).alias("signature"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", files.content_key(F.lit("text"), F.col("role"), F.col("text")).alias("key"))
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY sha256('x' || chr(10) || coalesce(text, '')) ORDER BY conv_id, turn) AS n, length(text) AS size FROM conversations)
+SELECT conv_id, turn, CASE WHEN size % 2 = 0 THEN 'held ' ELSE 'made ' END || size AS value FROM t""")
+def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by content: half of them are in the cache, the others are made once for each text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("x").alias("kind"))
+    size = F.length("text")
+    cache = rows.where(size % 2 == 0).select(files.content_key(F.col("kind"), F.col("text")).alias("key"), F.concat(F.lit("held "), size.cast("string")).alias("value")).distinct()
+    found, _ = files.cached(rows, cache, ["kind", "text"], lambda new: new.withColumn("value", F.concat(F.lit("made "), size.cast("string"))))
+    return found.select("conv_id", "turn", "value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) AND isfinite(value) AND value >= 0 THEN value END AS latency FROM events""")
+def json_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies in JSON: numbers, negative ones, texts and booleans."""
+    k, value = F.col("event_id") % 5, F.col("value")
+    as_json = lambda c: F.to_json(F.struct(c.alias("ms")))
+    doc = F.when(k <= 1, as_json(value)).when(k == 2, as_json(-1 - F.abs(value))).when(k == 3, as_json(value.cast("string"))).otherwise(as_json(F.lit(True)))
+    return table(spark, sf_dir, "events").select("event_id", R.latency_at(doc, "$.ms").alias("latency"))
 
 
 @query("SELECT event_id, CASE WHEN isfinite(value) AND value >= 0 THEN value END AS latency FROM events")
