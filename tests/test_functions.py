@@ -1,5 +1,8 @@
 """Expected values are derived by hand; each case is one row."""
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from scriptorium.functions import keywords as K
@@ -63,7 +66,20 @@ def test_keywords(spark):
 def test_records(spark):
     for value, want in ((-1.0, None), (float("nan"), None), (float("inf"), None), (5.0, 5.0)):
         assert one(spark, R.valid_latency(F.lit(value))) == want
-    assert one(spark, R.find_json(F.lit('said: {"a": [1]} ok'))) == '{"a": [1]}'
+    assert one(spark, R.find_json(F.lit('said: {"a": [1]} ok'))) == "[1]"  # the last list goes before the last object
     assert one(spark, R.find_json(F.lit("none"))) is None
+    assert one(spark, R.find_json(F.lit('x [1] y {"a":1}'))) == '{"a": 1}' and one(spark, R.find_json(F.lit('{"a":1} and [2] so'))) == "[2]"
+    for c in (F.lit(True), F.lit("5"), F.lit(None).cast("double")):
+        assert one(spark, R.valid_latency(c)) is None
+    assert one(spark, R.valid_latency(F.lit(5))) == 5.0 and one(spark, R.valid_latency(F.lit(1.5).cast("decimal(4,2)"))) == 1.5
+    for doc, want in (('{"t": 5}', 5.0), ('{"t": "5"}', None), ('{"t": true}', None), ('{"t": -1}', None), ("{", None), ('{"t": 1.25}', 1.25)):
+        assert one(spark, R.latency_at(F.lit(doc), "$.t")) == want
+    odd = 'a"b\\c\n\x01\x1f/é'
+    assert one(spark, R.json_text(F.lit(odd))) == json.dumps(odd, ensure_ascii=False) and one(spark, R.json_text(F.lit(None).cast("string"))) == "null"
+    assert one(spark, R.signature(b=F.lit(odd), a=F.lit(None).cast("string"))) == hashlib.sha256(json.dumps({"a": None, "b": odd}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    settings = json.dumps({"api_url": "u", "model": "m", "system_prompt": "p", "temperature": 0.5}, sort_keys=True)
+    same = R.judge_identity(F.lit("m"), F.lit("u"), F.lit("p"), F.lit("0.5"), F.lit(False))
+    assert one(spark, same) == "m@" + hashlib.sha256(settings.encode()).hexdigest()[:16]
+    assert [one(spark, T.service_language(F.lit(x))) for x in (" ZH ", "eng", "fr")] == ["Chinese", "English", "fr"]
     assert one(spark, R.flatten_seeds(F.lit('{"a": ["x", {"term": "y", "z": "w"}], "b": "x"}'))) == ["x", "y"]
     assert one(spark, R.generated_texts(F.lit('{"data": ["long enough", "no"]}'))) == ["long enough"]
