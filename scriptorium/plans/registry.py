@@ -356,7 +356,13 @@ def committed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("committed").cast("long").alias("n"), texts.alias("texts"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE walk AS (SELECT conv_id, turn, 0 AS k, {_STRIPPED} AS rest, NULL::VARCHAR AS piece FROM conversations UNION ALL
+SELECT conv_id, turn, k + 1, substr(rest, n + 1), substr(rest, 1, n) FROM (SELECT *, CASE WHEN f BETWEEN 1 AND 80 THEN f
+  WHEN length(rest) > 80 THEN coalesce(nullif(length(regexp_extract(left(rest, 80), '(?s)^.*[,;:!?，。！？；：、]\s*')), 0), 80) ELSE length(rest) END AS n
+  FROM (SELECT *, length(regexp_extract(rest, '^[^.!?。！？]*[.!?。！？]\s*')) AS f FROM walk WHERE rest <> '') x) y),
+p AS (SELECT conv_id, turn, k, {_STRIP.format("piece")} AS text FROM walk WHERE piece IS NOT NULL)
+SELECT conv_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS index, text, NULL AS error FROM p WHERE text <> ''""")
 def stable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("hypothesis"), F.lit(True).alias("vad_boundary"))
     return speech.fold(rows, speech.chunker(), speech.CHUNK, "conv_id")
