@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -84,12 +84,22 @@ def _compat_fold(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC").str.casefold()
 
 
+@lru_cache(maxsize=1)
+def simplified_table() -> dict[str, str]:
+    """Simplified forms of traditional Han characters, as the ICU library that comes with Spark has them."""
+    icu = SparkSession.active()._jvm.com.ibm.icu.text.Transliterator.getInstance("Hant-Hans")
+    chars = [chr(c) for block in ((0x3400, 0x4DC0), (0x4E00, 0xA000)) for c in range(*block)]
+    return {a: b for a, b in zip(chars, icu.transliterate("\n".join(chars)).split("\n")) if a != b}
+
+
 def metric_form(c: Column, simplified: dict[str, str] | None = None, ascii_only: bool = False) -> Column:
-    """NFKC, traditional to simplified characters (by a table; none by default), case folding, and marks,
+    """NFKC, traditional to simplified characters (by ``simplified_table``, or another table), case folding, and marks,
     symbols and separators as single spaces. ``ascii_only``: the same for ASCII text without leaving the JVM."""
-    c = F.lower(c) if ascii_only else _compat_fold(c)
-    if simplified:
-        c = F.translate(c, "".join(simplified), "".join(simplified.values()))
+    if ascii_only:
+        c = F.lower(c)
+    else:
+        table = simplified_table() if simplified is None else simplified
+        c = F.translate(_compat_fold(c), "".join(table), "".join(table.values()))
     return squeeze(F.regexp_replace(c, r"[\p{P}\p{S}\p{Z}]", " "))
 
 

@@ -178,6 +178,12 @@ def first_passing(rows: DataFrame, passed: Column, n: Column, by: str = "scene",
     return out.where(F.when(F.col("kept"), F.col("_sum") <= n).otherwise(F.col("_sum") < n)).drop("_sum")
 
 
+def numbered(rows: DataFrame, key: str = "id", order: str = "ord", width: int = 65_536) -> DataFrame:
+    """Rows without an id get their place in the order (an integer, see ``files.with_order``), from 1."""
+    out = running_sum(rows.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col(order) / width), [order], F.lit(1), "_place")
+    return out.withColumn(key, F.coalesce(key, "_place")).drop("_all", "_place")
+
+
 def quota(total: int | Column, share: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(share * total).cast("int"))
 

@@ -231,6 +231,22 @@ def simulated_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simulate(spark, sf_dir, "tts_asr")
 
 
+@query("SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN -event_id ELSE row_number() OVER (ORDER BY event_id) END AS id FROM events")
+def running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return curate.numbered(table(spark, sf_dir, "events").select(k.alias("ord"), F.when(k % 3 == 0, -k).alias("id"))).select("ord", "id")
+
+
+_TRADITIONAL = ["漢語繁體中國", "頭髮 發現！", "ABC ﬁ", "后来"]
+_TRADITIONAL_WANT = {0: "汉语繁体中国", 1: "头发 发现", 2: "abc fi", 3: "后来"}
+
+
+@query(f"SELECT conv_id, turn, want AS form FROM conversations JOIN {_values(_TRADITIONAL_WANT)} ON v.kind = conv_id % 4")
+def metric_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(table(spark, sf_dir, "conversations"), "conv_id", _TRADITIONAL)
+    return rows.select("conv_id", "turn", T.metric_form(F.col("case")).alias("form"))
+
+
 # --- judging ---
 
 

@@ -25,6 +25,7 @@ def test_tokens_and_distance(spark):
     a, b = F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.array(F.lit("x"), F.lit("z"))
     assert one(spark, T.token_distance(a, b)) == 1
     assert one(spark, T.token_distance(F.array().cast("array<string>"), b)) == 2
+    assert tuple(one(spark, T.text_metrics(F.lit("漢語 Abc"), F.lit("汉语，abd"))))[:6] == (1, 2, 1, 5, 1, 3)
     m = one(spark, T.text_metrics(F.lit(""), F.lit("a")))
     assert (m.wer_errors, m.wer_units) == (1, 0)
     assert one(spark, T.sample_rate(F.lit(1), F.lit(0))) == 1.0 and one(spark, T.sample_rate(F.lit(0), F.lit(0))) == 0.0
