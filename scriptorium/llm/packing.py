@@ -215,7 +215,8 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece of every document; a null text is empty."""
+    """doc_id, piece, start, length and ids_crc32 of every piece of every document; a null text is empty, a repeated row
+    a document of its own; other columns are not read."""
 
     def run(batches):
         encode = encoder(tokenizer)

@@ -80,6 +80,16 @@ def test_ppm_against_a_plain_model(spark, docs, odd):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
     got = {r.doc_id: r for r in langid.identify(odd, fitted, "text", ("doc_id",)).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 8)] == ["und"] * 4 and got[7].lang_pred in fitted.languages
+    clash = odd.withColumn("_text", F.lit("mine")).withColumn("lang_pred", F.lit("mine")).withColumn("_0", F.lit(1))
+    rows = langid.identify(clash, fitted, "text", ("doc_id", "score", "lang_pred", "_text", "_0")).collect()
+    assert len(rows) == len(odd_rows()) and {(r.score_in, r.lang_pred_in, r._text, r._0) for r in rows} == {("clash", "mine", "mine", 1)}
+    assert len({(r.lang_pred, r.score) for r in rows if r.doc_id == 4}) == 1
+    tie = langid.PPM({"b": ["same text"], "a": ["same text"]})
+    assert {(r.lang_pred, r.score) for r in langid.identify(odd.where("doc_id = 4"), tie).collect()} == {("a", 0.5)}
+    # a text copied any number of times is one sample text, and long texts are cut, not left out
+    many = spark.createDataFrame([("copied words", "x")] * 300 + [(f"other {i}", "x") for i in range(5)] + [("long " * 9000, "y")], "text string, lang string")
+    few = langid.train(many, "text", "lang", docs_per_language=6)
+    assert few.languages == ["x", "y"]
 
 
 def test_fingerprints(spark, docs, odd):
@@ -182,7 +192,10 @@ def test_toxicity_against_plain_matching(docs):
 
 
 def test_warc_round_trip_and_faults(spark):
-    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (None, "u", "same"), (5, "u\r\nX: y", "é" * 5000), (6, "u", "x"), (6, "u", "x")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (None, "u", "same"), (5, "u\r\nX: y", "é" * 5000), (6, "u", "x"), (6, "u", "x")], "page_id long, url string, html string").withColumn("digest", F.lit("mine")).withColumn("size", F.lit("mine"))
+    long = spark.createDataFrame([(9, "u", "<p>long é</p>" * 200_000)], "page_id long, url string, html string")
+    one = warc.round_trip(long, store.new_dir(spark, "warc")).first()
+    assert (one.payload_bytes, one.record_type) == (14 * 200_000, "response")
     got = sorted(warc.round_trip(pages, store.new_dir(spark, "warc")).collect(), key=lambda r: (r.page_id is None, r.page_id))
     assert [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got] == [
         (1, 4, "revisit", 2), (2, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 10_000, "response", None), (6, 1, "response", None), (6, 1, "response", None), (None, 4, "revisit", 2),
@@ -476,6 +489,32 @@ def test_pipeline_equals_its_operators(spark):
     assert all(n >= 20 and 100 * again <= 30 * n for n, _, _, _, again in stats)
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, tmp_path):
+    import corpus_pipeline as p
+
+    sf = str(tmp_path)
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [*odd_rows(), (20, good, "en", "s", 1), (20, good + " other end", "en", "s", 1), (20, good + "!", "de", "t", 1), (None, good, "en", "s", 1), (21, " ".join(f"v{i}" for i in range(40)), None, None, None), (22, "fool " * 3 + " ".join(f"u{i}" for i in range(40)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("quality", "kept", "_score", "_stats", "_file", "node", "component_id", "sequence_id"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    labels = spark.createDataFrame([(22, 0, 1), (21, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for table in (docs, docs.limit(0)):
+        labels.write.mode("overwrite").parquet(f"{sf}/labels.parquet")
+        left = table
+        for name, stage in p.STAGES[:-1]:
+            left = store.written(stage(spark, left, sf), name)
+            assert left.columns == docs.columns and left.where("quality <> 'mine' OR node <> 'mine'").count() == 0
+        kept = sorted((str(r.doc_id), r.text) for r in left.collect())
+        texts = [t for _, t in kept]
+        if table is docs:
+            want = brute_components([(k, t) for k, (_, t) in enumerate(kept)])
+            assert len({c for _, c in want}) == len(kept)  # no near copies left
+            assert sum(t.startswith(good) for t in texts) == 1 and any(t.startswith("v0") for t in texts)  # and no text without its like
+        last = p.STAGES[-1][1](spark, left, sf).collect()
+        assert sorted(str(r.doc_id) for r in last if r.piece == 0) == [k for k, _ in kept]
+
+
 def test_oracles_agree(spark):
     import duckdb
 
