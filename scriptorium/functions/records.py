@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import blank, strip
+from .text import blank, seed_key, strip
 
 NO_OUTPUT = "ASR output is empty or unsuccessful"
 
@@ -166,6 +166,19 @@ def find_json(s: pd.Series) -> pd.Series:
     return s.map(_find)
 
 
+#: The fields of a structured seed that name it, the first one first.
+NAMES = ("name", "keyword", "term", "text", "value", "title", "entity", "phrase")
+
+
+def structured_seed_key(c: Column) -> Column:
+    """``seed_key`` of seeds that may be JSON objects: of the first naming field that has a value, else of the whole object
+    with sorted keys."""
+    fields = [F.get_json_object(c, f"$.{k}") for k in NAMES]
+    named = F.coalesce(*[F.when(~f.isin("", "0", "false", "[]", "{}"), f) for f in fields], find_json(c))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(c)), F.lit("OBJECT")), F.lit(False))
+    return seed_key(F.when(is_object, named).otherwise(c))
+
+
 def _leaves(value) -> list[str]:
     if isinstance(value, list):
         return [x for v in value for x in _leaves(v)]

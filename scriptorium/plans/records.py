@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import records as R
 from ..functions import text as T
-from ..operators import curate, evaluate, finalize, prompts
+from ..operators import curate, dedup, evaluate, finalize, prompts
 from .catalog import query, table
 
 
@@ -379,6 +379,17 @@ def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.seed_rounds(pool, 6, 2).select("scene", "have", F.col("rounds").cast("long").alias("rounds"))
 
 
+_SEEDS = [' Big  Cat ', '{"name": "big cat"}', '{"b": 1, "a": "x"}', '{"a": "x", "b": 1}', '{"name": "", "title": "Dog"}', "dog", "  ", "[1]"]
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, want FROM documents JOIN {_values({0: "big cat", 1: "big cat", 2: "object", 3: "object", 4: "dog", 5: "dog", 7: "list"})} ON v.kind = doc_id % 8)
+SELECT source AS scene, min(doc_id) AS first_id FROM k GROUP BY source, want""")
+def structured_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(table(spark, sf_dir, "documents"), "doc_id", _SEEDS)
+    seeds = rows.select(F.col("source").alias("scene"), F.lit("c").alias("category"), F.col("doc_id").alias("pos"), F.col("case").alias("seed"))
+    return dedup.dedup_seeds(seeds, structured=True).select("scene", F.col("pos").alias("first_id"))
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS w FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':' || w), w) AS n FROM w)
 SELECT d.doc_id, coalesce(string_agg(w, ', ' ORDER BY n) FILTER (n <= 30), 'Use appropriate scene-specific content.') AS seeds FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
