@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_sql, licenses
+from . import conversation_sql, licenses, pii_sql
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,4 +130,4 @@ def _licenses() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC, "op6_near_duplicates": NEAR, "op7_licenses": _licenses(), "op9_chat": CHAT, "op11_repair": conversation_sql.REPAIR, "op13_trie": conversation_sql.TRIE}
+    return {"op4_warc": WARC, "op6_near_duplicates": NEAR, "op7_licenses": _licenses(), "op9_chat": CHAT, "op11_repair": conversation_sql.REPAIR, "op12_pii": pii_sql.PII, "op13_trie": conversation_sql.TRIE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, licenses, neardup, packing, quality, repair, sentencepiece_sa, store, toxicity, trie, warc
+from . import chat, fingerprint, langid, licenses, neardup, packing, pii, quality, repair, sentencepiece_sa, store, toxicity, trie, warc
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -79,6 +79,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(rows), rows)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -86,6 +90,6 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_language_id, op2_fingerprints, op3_toxicity, op4_warc, op5_sentencepiece, op6_near_duplicates, op7_licenses, op8_quality, op9_chat, op10_packing,
-        op11_repair, op13_trie,
+        op11_repair, op12_pii, op13_trie,
     )
     return {f.__name__: f for f in found}
