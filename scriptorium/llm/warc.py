@@ -111,17 +111,31 @@ def frames(data: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME:
             raise ValueError(f"no frame at byte {at}")
-        one = held.decompressobj()
         try:
-            out = one.decompress(view[at:])
-        except zstandard.ZstdError as e:
+            end = _end(view, at)
+            one = held.decompressobj()
+            out = one.decompress(view[at:end])
+        except (zstandard.ZstdError, struct.error) as e:
             raise ValueError(f"frame at byte {at}: {e}") from e
-        if not one.eof:
+        if end > len(data) or not one.eof:
             raise ValueError(f"the frame at byte {at} is cut")
-        at = len(data) - len(one.unused_data)
+        at = end
         yield out
 
 
+def _end(view: memoryview, at: int) -> int:
+    """Where the frame at ``at`` ends, from the headers of its blocks alone, so that a record is given to the decompressor
+    without what follows it."""
+    end = at + zstandard.frame_header_size(view[at : at + 18])
+    last = False
+    while not last:
+        low, high = struct.unpack("<HB", view[end : end + 3])
+        head = low | high << 16
+        last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        end += 3 + (1 if kind == 1 else size)  # a block of type 1 is one byte, repeated
+    return end + 4 * (view[at + 4] >> 2 & 1)  # a checksum
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a record; ValueError if a header is missing or malformed, or a length or digest is wrong."""
     head, sep, rest = data.partition(b"\r\n\r\n")

@@ -6,11 +6,13 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from scriptorium.llm import chat, fingerprint, langid, licenses, neardup, packing, quality, sentencepiece_sa, store, toxicity, warc
@@ -216,6 +218,29 @@ def test_warc_round_trip_and_faults(spark):
             warc.page(*warc.parse(bad))
 
 
+def test_frames_of_a_full_archive_and_of_every_kind_of_block():
+    rng = random.Random(1)
+    words = [f"w{i} " for i in range(5000)]
+    records = [warc.record(i, "u", "".join(rng.choices(words, k=450)).encode(), "A" * 32, None, False) for i in range(500)]
+    archive, n = warc.Archive(warc.dictionary(records[:100])), 0
+    while archive.size < warc.ROLL:
+        archive.add(records[n % 500])
+        n += 1
+    assert sum(f == records[i % 500] for i, f in enumerate(warc.frames(archive.data))) == n > 90_000
+    # raw, repeated and compressed blocks, more than one a frame, without size, checksum or dictionary, a skippable frame between
+    bodies = [b"", rng.randbytes(300_000), bytes(700_000), b"text " * 90_000]
+    kinds = [{"write_checksum": c, "write_content_size": z} for c in (False, True) for z in (False, True)]
+    frames = [zstandard.ZstdCompressor(**k).compress(b) for k in kinds for b in bodies]
+    data = struct.pack("<II", 0x184D2A53, 5) + b"12345"
+    assert list(warc.frames(data.join([b"", *frames]))) == bodies * 4
+    small = warc.Archive(warc.dictionary([]))
+    small.add(records[0])
+    head = len(warc.Archive(warc.dictionary([])).data)
+    for cut in range(head + 1, len(small.data)):
+        with pytest.raises(ValueError):
+            list(warc.frames(small.data[:cut]))
+
+
 def test_sentencepiece_equals_the_library(docs, odd):
     import sentencepiece
 
