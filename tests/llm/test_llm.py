@@ -226,7 +226,7 @@ def test_frames_of_a_full_archive_and_of_every_kind_of_block():
     while archive.size < warc.ROLL:
         archive.add(records[n % 500])
         n += 1
-    assert sum(f == records[i % 500] for i, f in enumerate(warc.frames(archive.data))) == n > 90_000
+    assert sum(f == records[i % 500] for i, f in enumerate(warc.frames(archive.data))) == n > 80_000
     # raw, repeated and compressed blocks, more than one a frame, without size, checksum or dictionary, a skippable frame between
     bodies = [b"", rng.randbytes(300_000), bytes(700_000), b"text " * 90_000]
     kinds = [{"write_checksum": c, "write_content_size": z} for c in (False, True) for z in (False, True)]
