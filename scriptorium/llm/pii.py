@@ -10,7 +10,7 @@ is 0 for words that have nothing to do with c, and 1 for words that occur around
 reaches a threshold is generalised to its initial, if the words with this initial together stay under the threshold
 for the same values, and is removed if not.
 
-Only words around mentions become pairs, at most two windows a mention; counts of all words are taken once, over all
+Only words around mentions become pairs, two windows a mention; counts of all words are taken once, over all
 documents, and only if some word may exceed the threshold at all.
 """
 
@@ -97,17 +97,30 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(text, EMAIL, " "), F.lit(WORD), F.lit(0)), F.lower)
 
 
-def revealing(found: DataFrame, corpus: DataFrame, text: Column, threshold: float = 0.9, support: int = 3) -> DataFrame | None:
-    """(term, general): words that give away a value of ``found`` (a table with _spans), and whether their initial may stay; None if
-    there are none. ``corpus`` has all documents. A word must stand around the value in ``support`` different
-    windows at least, so copies of one text reveal nothing."""
-    mention = found.where(F.size("_spans") > 0).select(F.explode("_spans").alias("x"))
-    around = mention.select("x.kind", "x.value", F.xxhash64("x.left", "x.right").alias("window"), F.concat(words(F.col("x.left")), words(F.col("x.right"))).alias("w"))
-    pairs = around.select("kind", "value", "window", F.explode("w").alias("term"))
-    # counts by window first: a value or a word that most mentions have is added up before it is shuffled
-    pairs = pairs.groupBy("kind", "value", "term", "window").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("windows"))
-    pairs = written(pairs, "pairs")
-    near = pairs.where(F.col("windows") >= support)
+def _sketch(text: Column) -> Column:
+    """The least digest of a text's runs of three words: texts that share most of their runs share it."""
+
+    def runs(w: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+        return F.transform(w, lambda x, i: F.md5(F.concat_ws(" ", x, at(i + 1), at(i + 2))))
+
+    # in an array, so that the words are taken once
+    return F.coalesce(F.element_at(F.transform(F.array(words(text)), lambda w: F.array_min(runs(w))), 1), F.lit(""))
+
+
+def revealing(found: DataFrame, corpus: DataFrame, text: Column, threshold: float = 0.9, support: float = 3.0) -> DataFrame | None:
+    """(term, general): words that give away a value of ``found`` (a table with _spans and _sketch), and whether their initial may stay; None if
+    there are none. ``corpus`` has all documents.
+
+    Of one text, or of copies of it with edits, nothing is learned: a word must stand around the value in ``support`` different
+    texts, by sketch and weight (one over the sum of squared shares of its mentions), so a text with most of the mentions counts as one."""
+    mention = found.where(F.size("_spans") > 0).select("_sketch", F.explode("_spans").alias("x"))
+    around = mention.select("x.kind", "x.value", "_sketch", F.concat(words(F.col("x.left")), words(F.col("x.right"))).alias("w"))
+    pairs = around.select("kind", "value", "_sketch", F.explode("w").alias("term"))
+    # counts by sketch first: a value or a word that most mentions have is added up before it is shuffled
+    pairs = pairs.groupBy("kind", "value", "term", "_sketch").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    pairs = written(pairs.withColumn("texts", F.col("n_ct") * F.col("n_ct") / F.col("squares")), "pairs")
+    near = pairs.where(F.col("texts") >= support)
     if near.isEmpty():
         return None
     vocabulary = written(corpus.select(F.explode(words(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "vocabulary")
@@ -130,8 +143,8 @@ def revealing(found: DataFrame, corpus: DataFrame, text: Column, threshold: floa
 def _terms(rows: DataFrame, found: DataFrame, told: DataFrame, text: Column) -> DataFrame:
     """_file, _row and _terms (kind, start, end, value) of the rows with words of ``told``, outside of base spans. A value is the initial that
     may stay, or empty."""
-    has = rows.select("_file", "_row", F.explode(F.array_distinct(words(F.coalesce(text, F.lit(""))))).alias("term")).join(told, "term")
-    has = has.groupBy("_file", "_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "general"))).alias("_told"))
+    has = rows.select("_file", "_row", F.explode(words(F.coalesce(text, F.lit("")))).alias("term")).join(told, "term")
+    has = has.groupBy("_file", "_row").agg(F.map_from_entries(F.collect_set(F.struct("term", "general"))).alias("_told"))
     some = rows.withColumn("_t", F.coalesce(text, F.lit(""))).select("_file", "_row", "_t").join(has, ["_file", "_row"]).join(found.select("_file", "_row", "_spans"), ["_file", "_row"])
     some = some.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))).withColumn("_p", F.split("_t", WORD, -1))
     all_ = F.transform(F.filter(_placed(F.col("_p"), F.col("_w")), lambda x: F.map_contains_key("_told", F.lower(x["m"]))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
@@ -140,12 +153,13 @@ def _terms(rows: DataFrame, found: DataFrame, told: DataFrame, text: Column) ->
     return some.select("_file", "_row", F.transform(free, lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value(x).alias("value"))).alias("_terms"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: int = 3, width: int = 120) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: float = 3.0, width: int = 120) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` with _file and _row, a table of _file, _row, _id, _spans, _terms for each of them)."""
     rows, file, row = keyed(docs)
     said = F.col(f"`{text}`")
     rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns], file.alias("_file"), row.alias("_row"))
-    base = spans(rows.select("_file", "_row", F.col(f"`{key}`").alias("_id"), said.alias("_said")), F.col("_said"), width).drop("_said")
+    base = spans(rows.select("_file", "_row", F.col(f"`{key}`").alias("_id"), said.alias("_said")), F.col("_said"), width)
+    base = base.withColumn("_sketch", F.when(F.size("_spans") > 0, _sketch(F.col("_said")))).drop("_said")
     found = written(base, "spans")
     told = revealing(found, rows, said, threshold, support)
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
@@ -156,7 +170,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     return rows, written(found.join(terms.hint("merge"), ["_file", "_row"], "left").withColumn("_terms", F.coalesce("_terms", empty)), "found")
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: int = 3, width: int = 120) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: float = 3.0, width: int = 120) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, n_term, base_sha256 and spans (``kind:start:end`` by kind, then start) of every row.
 
     A null text is empty; empty texts have no span; keys may be null or repeat, rows are told apart by their place; equal
@@ -170,7 +184,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     )
 
 
-def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: int = 3, width: int = 120) -> DataFrame:
+def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, support: float = 3.0, width: int = 120) -> DataFrame:
     """The rows of ``docs``, all columns, with the text sanitised: base spans become ``[EMAIL]`` and the like, revealing words their initial and a
     full stop, or ``[REMOVED]``. Overlapping spans become one, named as the first. Null texts stay null."""
     rows, found = find(docs, key, text, threshold, support, width)

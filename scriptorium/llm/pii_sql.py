@@ -20,7 +20,7 @@ def _holds() -> str:
     WHEN 'card' THEN length({digits}) BETWEEN 16 AND 19 AND {luhn} ELSE length({digits}) BETWEEN 8 AND 15 END"""
 
 
-#: Threshold 0.9, three windows, 120 code points on each side.
+#: Threshold 0.9, three texts, 120 code points on each side.
 PII = rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -41,17 +41,21 @@ WITH d AS MATERIALIZED (
 ), held AS MATERIALIZED (
   SELECT doc_id, k, kind, value, start, stop, CASE WHEN length(l) > 120 THEN regexp_replace(right(l, 120), '^[\p{{L}}\p{{N}}]+', '') ELSE l END AS l,
     CASE WHEN length(r) > 120 THEN regexp_replace(left(r, 120), '[\p{{L}}\p{{N}}]+$', '') ELSE r END AS r FROM base WHERE {_holds()}
+), listed AS (
+  SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(t, '{_EMAIL}', ' ', 'g'), '{_WORD}'), lambda x: lower(x)) AS w FROM d WHERE doc_id IN (SELECT doc_id FROM held)
+), sketches AS (  -- the least digest of runs of three words
+  SELECT doc_id, coalesce(list_min(list_transform(range(1, len(w) + 1), lambda i: md5(w[i] || ' ' || coalesce(w[i + 1], '') || ' ' || coalesce(w[i + 2], '')))), '') AS sketch FROM listed
 ), around AS (
-  SELECT kind, value, l, r, lower(unnest(regexp_extract_all(regexp_replace(l, '{_EMAIL}', ' ', 'g'), '{_WORD}') || regexp_extract_all(regexp_replace(r, '{_EMAIL}', ' ', 'g'), '{_WORD}'))) AS term FROM held
-), pairs AS MATERIALIZED (
-  SELECT kind, value, term, left(term, 1) AS initial, count(*) AS n_ct, count(DISTINCT l || chr(0) || r) AS windows FROM around GROUP BY kind, value, term
+  SELECT kind, value, sketch, lower(unnest(regexp_extract_all(regexp_replace(l, '{_EMAIL}', ' ', 'g'), '{_WORD}') || regexp_extract_all(regexp_replace(r, '{_EMAIL}', ' ', 'g'), '{_WORD}'))) AS term FROM held JOIN sketches USING (doc_id)
+), pairs AS MATERIALIZED (  -- texts: sketches by weight
+  SELECT kind, value, term, left(term, 1) AS initial, sum(n) AS n_ct, sum(n) * sum(n) / sum(n * n)::DOUBLE AS texts FROM (SELECT kind, value, term, sketch, count(*) AS n FROM around GROUP BY ALL) GROUP BY kind, value, term
 ), vocabulary AS MATERIALIZED (
   SELECT term, left(term, 1) AS initial, count(*) AS n_t FROM (SELECT lower(unnest(regexp_extract_all(regexp_replace(t, '{_EMAIL}', ' ', 'g'), '{_WORD}'))) AS term FROM d) GROUP BY term
 ), counted AS (
   SELECT p.term, n_ct, n_t, n_c, n_cg, n_g, CAST((SELECT sum(n_t) FROM vocabulary) AS DOUBLE) AS n
   FROM pairs p JOIN vocabulary v ON v.term = p.term JOIN (SELECT kind, value, sum(n_ct) AS n_c FROM pairs GROUP BY ALL) c ON c.kind = p.kind AND c.value = p.value
   JOIN (SELECT kind, value, initial, sum(n_ct) AS n_cg FROM pairs GROUP BY ALL) g ON g.kind = p.kind AND g.value = p.value AND g.initial = p.initial
-  JOIN (SELECT initial, sum(n_t) AS n_g FROM vocabulary GROUP BY initial) i ON i.initial = p.initial WHERE windows >= 3
+  JOIN (SELECT initial, sum(n_t) AS n_g FROM vocabulary GROUP BY initial) i ON i.initial = p.initial WHERE texts >= 3
 ), told AS (
   SELECT DISTINCT term FROM counted WHERE log2(least(n_ct, n_t) * n / (n_c * n_t)) >= 0.9 * log2(n / n_c)
 ), placed AS (

@@ -43,7 +43,8 @@ def plain(rows, threshold=0.9, support=3, width=120):
     n_t, windows, near = Counter(), {}, Counter()
     for _, text in rows:
         n_t.update(words(text or ""))
-        found = base_spans(text or "")
+        found, own = base_spans(text or ""), [*words(text or ""), "", ""]
+        sketch = min((hashlib.md5(" ".join(x).encode()).hexdigest() for x in zip(own, own[1:], own[2:])), default="")
         for kind in FORMS:
             # neighbours of a kind cut windows, cards that fail and have 16 digits too
             every = [m.span() for m in regex.finditer(FORMS[kind], text or "") if kind != "card" or len(regex.sub("[^0-9]", "", m[0])) >= 16]
@@ -57,7 +58,7 @@ def plain(rows, threshold=0.9, support=3, width=120):
                 right = regex.sub(r"[\p{L}\p{N}]+$", "", after[:width]) if len(after) > width else after
                 for w in words(left) + words(right):
                     near[kind, value, w] += 1
-                    windows.setdefault((kind, value, w), set()).add((left, right))
+                    windows.setdefault((kind, value, w), Counter())[sketch] += 1
     total, n_c, n_cg, n_g, told = sum(n_t.values()), Counter(), Counter(), Counter(), {}
     for (kind, value, w), n in near.items():
         n_c[kind, value] += n
@@ -69,7 +70,7 @@ def plain(rows, threshold=0.9, support=3, width=120):
         return math.log2(min(both, alone) * total / (c * alone)) >= threshold * math.log2(total / c)
 
     for (kind, value, w), n in near.items():
-        if len(windows[kind, value, w]) >= support and tells(n, n_c[kind, value], n_t[w]):
+        if n * n / sum(x * x for x in windows[kind, value, w].values()) >= support and tells(n, n_c[kind, value], n_t[w]):
             told[w] = told.get(w, True) and not tells(n_cg[kind, value, w[0]], n_c[kind, value], n_g[w[0]])
     out = []
     for doc, text in rows:
@@ -85,7 +86,7 @@ def corpus():
     said = lambda n: " ".join(rng.choice(common) for _ in range(n))
     rows = [(i, f"{said(9)} Zorblatt {said(2)} Mail: z.b@firm.example.org, {said(30)}") for i in range(6)]
     rows += [(10 + i, f"{said(5)} call Quixley on +44 (020) 555-1000 {said(8)} or quixley!") for i in range(8)]
-    rows += [(20 + i, "Copies of onetext name Hapax at 10.0.0.7 always") for i in range(7)]  # one window
+    rows += [(20 + i, f"Copies {i // 6} of onetext name Hapax at 10.0.0.7 always {i // 5}") for i in range(7)]  # copies with edits
     rows += [(30 + i, said(200)) for i in range(60)]
     rows += [(100, "Zorblatt was seen elsewhere; ZORBLATT."), (101, "zorblatt@firm.example.org is an address")]
     odd = [
@@ -119,7 +120,7 @@ def test_sanitised_texts(planted):
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[100] == "Z. was seen elsewhere; Z.."
     assert got[101] == "[EMAIL] is an address" and got[0].count("[EMAIL]") == 1 and "Zorblatt" not in got[0]
-    assert got[20] == "Copies of onetext name Hapax at [IP] always" and got[200] is None and got[201] == ""
+    assert got[20] == "Copies 0 of onetext name Hapax at [IP] always 0" and got[200] is None and got[201] == ""
     assert got[30] == dict(rows)[30]
     assert out.count() == len(rows)
 
