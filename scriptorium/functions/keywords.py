@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import first_full, strip
@@ -74,6 +74,12 @@ def check(words: Column, source: Column, oral: Column, refined: Column) -> Colum
     return F.when(F.size(own) == 0, said(True, "no keywords", none)).when(F.size(common) > 0, said(False, "common terms", common)).when(F.size(bare) > 0, said(False, "no evidence", bare)).otherwise(said(True, "passed", none))
 
 
+def traceable(rows: DataFrame) -> DataFrame:
+    """The rows (input, oral_text, output with refined_text and keyword_list) whose keywords pass ``check``."""
+    found = check(F.col("output.keyword_list"), F.col("input"), F.col("oral_text"), F.col("output.refined_text"))
+    return rows.where(found["accepted"])
+
+
 def spoken_numbers(text: Column) -> Column:
     """The patterns of unwritten numbers that a text matches."""
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(p)) for p in SPOKEN_NUMBERS]), lambda p: p.isNotNull())

@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .text import blank, seed_key, strip
 
@@ -114,12 +114,6 @@ def judge_identity(model: Column, url: Column, prompt: Column, temperature: Colu
     return F.when(is_default, model).otherwise(F.concat(model, F.lit("@"), F.left(F.sha2(settings, 256), F.lit(16))))
 
 
-def question_payload(questions: Column) -> Column:
-    """Questions as JSON, with the position of each option."""
-    options = lambda q: F.transform(q["options"], lambda o, i: F.struct(i.alias("option_index"), o["text"].alias("text")))
-    return F.to_json(F.transform(questions, lambda q: F.struct(q["id"].alias("question_id"), q["category"].alias("category"), q["question"].alias("question"), q["evidence"].alias("evidence"), options(q).alias("options"))))
-
-
 def best_score(options: Column) -> Column:
     return F.array_max(F.transform(options, lambda o: o["score"]))
 
@@ -170,13 +164,20 @@ def find_json(s: pd.Series) -> pd.Series:
 NAMES = ("name", "keyword", "term", "text", "value", "title", "entity", "phrase")
 
 
+def filled(value: Column) -> Column:
+    """Whether a JSON value (a variant) counts as one: not null, false, zero or empty."""
+    plain, kind = F.to_json(value), F.schema_of_variant(value)
+    zero = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(value, "$", "double") == 0)
+    return F.coalesce(~((kind == "VOID") | plain.isin("false", '""', "[]", "{}") | zero), F.lit(False))
+
+
 def structured_seed_key(c: Column) -> Column:
-    """``seed_key`` of seeds that may be JSON objects: of the first naming field that has a value, else of the whole object
+    """``seed_key`` of seeds that may be JSON objects: of the first naming field that has a value (see ``filled``), else of the whole object
     with sorted keys."""
-    fields = [F.get_json_object(c, f"$.{k}") for k in NAMES]
-    named = F.coalesce(*[F.when(~f.isin("", "0", "false", "[]", "{}"), f) for f in fields], find_json(c))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(c)), F.lit("OBJECT")), F.lit(False))
-    return seed_key(F.when(is_object, named).otherwise(c))
+    doc = F.try_parse_json(c)
+    fields = [F.when(filled(F.try_variant_get(doc, f"$.{k}", "variant")), F.get_json_object(c, f"$.{k}")) for k in NAMES]
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
+    return seed_key(F.when(is_object, F.coalesce(*fields, find_json(c))).otherwise(c))
 
 
 def _leaves(value) -> list[str]:
@@ -194,8 +195,52 @@ def flatten_seeds(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [] if x is None else list(dict.fromkeys(_leaves(json.loads(x)))))
 
 
-def generated_texts(response: Column, least: int = 4) -> Column:
-    """Texts of a generation response: the array itself, or the one in a known wrapper field; short ones dropped."""
-    found = find_json(response)
-    wrapped = F.coalesce(*[F.from_json(F.get_json_object(found, f"$.{k}"), "array<string>") for k in ("data", "results", "sentences", "items", "instructions")])
-    return F.filter(F.coalesce(F.from_json(found, "array<string>"), wrapped, F.array().cast("array<string>")), lambda t: F.length(strip(t)) >= least)
+#: Fields that may wrap the results of a generation.
+WRAPPERS = ("data", "results", "sentences", "items", "instructions")
+
+
+def _texts(value) -> list[str] | None:
+    return [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in value] if isinstance(value, list) else None
+
+
+def _result(text: str | None, wrapped: bool) -> dict | None:
+    """The object that an answer holds; of a list, and (``wrapped``) of a list in a wrapper, the first one."""
+    found = _find(text)
+    value = json.loads(found) if found is not None else None
+    if wrapped and isinstance(value, dict):
+        value = next((value[k] for k in WRAPPERS if isinstance(value.get(k), list)), value)
+    if wrapped and isinstance(value, list):
+        value = value[0] if value else None
+    return value if isinstance(value, dict) else None
+
+
+def _long_enough(value, least: int) -> str | None:
+    return value.strip() if isinstance(value, str) and len(value.strip()) >= least else None
+
+
+def _fields(text: str, *lists: str) -> StructType:
+    return StructType([StructField(text, StringType()), *[StructField(x, ArrayType(StringType())) for x in lists]])
+
+
+@F.pandas_udf(_fields("clean_text", "domain_keywords", "itn_types"))
+def clean_result(s: pd.Series) -> pd.DataFrame:
+    """clean_text, domain_keywords and itn_types of a clean generation's answer, a JSON object, the first of a list or of
+    a wrapped list. All null without one, or if its text has under four characters; missing lists are empty."""
+    out = []
+    for x in s:
+        value = _result(x, True)
+        text = _long_enough(value.get("clean_text"), 4) if value else None
+        out.append((text, *((_texts(value.get(k)) or [] for k in ("domain_keywords", "itn_types")) if text else (None, None))))
+    return pd.DataFrame(out, columns=["clean_text", "domain_keywords", "itn_types"])
+
+
+@F.pandas_udf(_fields("oral_text", "selected_seeds", "speech_phenomena"))
+def oral_result(s: pd.Series) -> pd.DataFrame:
+    """oral_text, selected_seeds and speech_phenomena of an oral generation's answer, a JSON object. All null without one, or
+    if its text has under four characters; lists that are missing, or no lists, are null."""
+    out = []
+    for x in s:
+        value = _result(x, False)
+        text = _long_enough(value.get("oral_text"), 4) if value else None
+        out.append((text, *(_texts(value.get(k)) if text else None for k in ("selected_seeds", "speech_phenomena"))))
+    return pd.DataFrame(out, columns=["oral_text", "selected_seeds", "speech_phenomena"])

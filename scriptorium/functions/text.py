@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -84,6 +85,16 @@ def _compat_fold(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC").str.casefold()
 
 
+@F.pandas_udf(StringType())
+def _compat(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
+
+
+@F.pandas_udf(StringType())
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
 @lru_cache(maxsize=1)
 def simplified_table() -> dict[str, str]:
     """Simplified forms of traditional Han characters, as the ICU library that comes with Spark has them."""
@@ -92,14 +103,49 @@ def simplified_table() -> dict[str, str]:
     return {a: b for a, b in zip(chars, icu.transliterate("\n".join(chars)).split("\n")) if a != b}
 
 
-def metric_form(c: Column, simplified: dict[str, str] | None = None, ascii_only: bool = False) -> Column:
-    """NFKC, traditional to simplified characters (by ``simplified_table``, or another table), case folding, and marks,
-    symbols and separators as single spaces. ``ascii_only``: the same for ASCII text without leaving the JVM."""
+def longest_match(c: Column, phrases: dict[str, str], chars: dict[str, str] | None = None) -> Column:
+    """The text with its phrases replaced, the leftmost first, of those at one place the longest; other characters by
+    ``chars``. The phrases become an automaton, once a task, so their number costs no time."""
+    chars = chars or {}
+    if not phrases:
+        return F.translate(c, "".join(chars), "".join(chars.values())) if chars else c
+    table, single = dict(phrases), str.maketrans(chars)
+    if "" in table:
+        raise ValueError("a phrase must not be empty")
+
+    @F.pandas_udf(StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for k, v in table.items():
+            found.add_word(k, (len(k), v))
+        found.make_automaton()
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            out, at = [], 0
+            for end, (size, new) in found.iter_long(text):
+                out += [text[at : end + 1 - size].translate(single), new]
+                at = end + 1
+            return "".join(out) + text[at:].translate(single)
+
+        for s in batches:
+            yield s.map(one)
+
+    return run(c)
+
+
+def metric_form(c: Column, simplified: dict[str, str] | None = None, ascii_only: bool = False, phrases: dict[str, str] | None = None) -> Column:
+    """NFKC, traditional to simplified characters (by ``simplified_table``, or another table; words in ``phrases`` by theirs, the
+    longest at each place), case folding, and marks, symbols and separators as single spaces. ``ascii_only``: the same for ASCII
+    text without leaving the JVM."""
     if ascii_only:
         c = F.lower(c)
     else:
         table = simplified_table() if simplified is None else simplified
-        c = F.translate(_compat_fold(c), "".join(table), "".join(table.values()))
+        c = _casefold(longest_match(_compat(c), phrases, table)) if phrases else F.translate(_compat_fold(c), "".join(table), "".join(table.values()))
     return squeeze(F.regexp_replace(c, r"[\p{P}\p{S}\p{Z}]", " "))
 
 
@@ -150,11 +196,6 @@ def length_bucket(c: Column) -> Column:
     return F.when(n <= 20, "short").when(n <= 50, "medium").when(n <= 100, "long").otherwise("very_long")
 
 
-def language_name(c: Column, known: dict[str, str] | None = None, default: str = "Chinese") -> Column:
-    known = known or {"en": "English", "zh": "Chinese"}
-    return reduce(lambda acc, kv: F.when(F.lower(c) == kv[0], kv[1]).otherwise(acc), known.items(), F.lit(default))
-
-
 def service_language(c: Column) -> Column:
     """The name of a language that speech services expect; other languages as they are."""
     low = F.lower(strip(c))
@@ -167,8 +208,14 @@ def endpoint_url(c: Column, suffix: str = "/chat/completions") -> Column:
     return F.when(F.endswith(base, F.lit(suffix)), base).otherwise(F.concat(base, F.lit(suffix)))
 
 
+#: What stands for a secret, and how much of a text is told.
+REDACTED, TOLD = "[REDACTED]", 500
+
+
 def redact(c: Column, secret: Column) -> Column:
-    return F.when(F.length(secret) > 0, F.replace(c, secret, F.lit("***"))).otherwise(c)
+    """The beginning of a text, without the secret; an empty or missing secret hides nothing."""
+    hidden = F.when(F.length(secret) > 0, F.replace(c, secret, F.lit(REDACTED))).otherwise(c)
+    return F.left(hidden, F.lit(TOLD))
 
 
 _OPTION = r"(.+?){0}*[（(]{0}*(-?[0-9]+){0}*[）)]".format(WS.removeprefix("(?U)"))

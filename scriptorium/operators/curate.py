@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import keywords as K
 from ..functions.text import first_full, length_bucket, simulate_recognition, strip
@@ -54,6 +55,23 @@ def _own(rows: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
 
 
+#: Where a record's keywords may stand beside ``output.keyword_list``, the first that has any counts.
+KEYWORD_FIELDS = ("keyword_list", "review_targets", "domain_keywords", "error_keywords")
+
+
+def _of_output(rows: DataFrame, name: str, kind: str) -> Column:
+    held = "output" in rows.columns and isinstance(rows.schema["output"].dataType, StructType) and name in rows.schema["output"].dataType.fieldNames()
+    return F.col("output")[name] if held else F.lit(None).cast(kind)
+
+
+def keywords(rows: DataFrame) -> Column:
+    """A record's own keywords, of the first field that has any; fields of other types or that are missing have none."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    texts = lambda kind: isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType)
+    own = [F.col(f"`{k}`") for k in KEYWORD_FIELDS if texts(kinds.get(k))]
+    return K.first_words(_of_output(rows, "keyword_list", "array<string>"), *own)
+
+
 def _of_meta(rows: DataFrame, name: str) -> Column:
     held = "meta" in rows.columns and name in rows.schema["meta"].dataType.fieldNames()
     return F.col("meta")[name] if held else F.lit(None).cast(META[name])
@@ -62,8 +80,8 @@ def _of_meta(rows: DataFrame, name: str) -> Column:
 def assemble(rows: DataFrame, from_simulation: bool = True) -> DataFrame:
     """Training records (id, scene, input, oral_text, output, meta, reason) of simulated or clean records.
 
-    Expects id, scene, oral_text, clean_text and, where there are, language, input, refined_text, keyword_list,
-    speech_phenomena, itn_types and meta (a struct). Of simulated records, meta keeps what it has and gets what it
+    Expects id, scene, oral_text, clean_text and, where there are, language, input, output (with refined_text and
+    keyword_list), refined_text, other keyword fields (see ``keywords``), speech_phenomena, itn_types and meta (a struct). Of simulated records, meta keeps what it has and gets what it
     lacks; of clean ones, scene, language, phenomena and types are set, and the rest of meta stays. reason tells
     why a record is left out, and is null for records to keep."""
     none = F.array().cast("array<string>")
@@ -71,7 +89,7 @@ def assemble(rows: DataFrame, from_simulation: bool = True) -> DataFrame:
     own = language(F.col("scene"), _own(rows, "language", "string"), _of_meta(rows, "language"))
     if from_simulation:
         source = F.coalesce(_own(rows, "input", "string"), F.lit(""))
-        target, said = first_full(_own(rows, "refined_text", "string"), clean), first_full(oral, source)
+        target, said = first_full(_of_output(rows, "refined_text", "string"), _own(rows, "refined_text", "string"), clean), first_full(oral, source)
         made = {"scene": F.col("scene"), "language": own, "speech_phenomena": none, "itn_types": none, "is_fragment": F.lit(False), "keyword_mode": F.lit(KEYWORD_MODE)}
         meta = _meta(rows, {}, made)
     else:
@@ -79,7 +97,7 @@ def assemble(rows: DataFrame, from_simulation: bool = True) -> DataFrame:
         lists = {k: F.coalesce(_own(rows, k, "array<string>"), none) for k in ("speech_phenomena", "itn_types")}
         kept = {"is_fragment": F.lit(False), "asr_mode": F.lit("clean_fallback"), "keyword_mode": F.lit(KEYWORD_MODE)}
         meta = _meta(rows, {"scene": F.col("scene"), "language": own} | lists, kept)
-    words = K.review_targets(_own(rows, "keyword_list", "array<string>"), said, target)
+    words = K.review_targets(keywords(rows), said, target)
     return rows.select(
         "id", "scene", source.alias("input"), said.alias("oral_text"), F.struct(target.alias("refined_text"), words.alias("keyword_list")).alias("output"),
         meta.alias("meta"), skip_reason(source, target, F.col("scene")).alias("reason"),
@@ -91,7 +109,7 @@ MODES = ("text_sim", "llm_sim", "tts_asr")
 
 def simulate(rows: DataFrame, mode: str = "text_sim", strength: str = "medium", share: float = 0.2, seed: int = 42, call=None, fallback: bool = True, tts: str | None = None, stt: str | None = None) -> DataFrame:
     """Recognition-like records (id, scene, input, oral_text, clean_text, output, meta) of (id, scene, oral_text, clean_text)
-    and, where there are, language, speech_phenomena, itn_types, keyword_list and meta. Rows without one text are left
+    and, where there are, language, speech_phenomena, itn_types, fields of keywords and meta. Rows without one text are left
     out.
 
     Clean passthrough rows have the clean text on both sides. Of the others, ``text_sim`` degrades every oral text;
@@ -120,7 +138,7 @@ def simulate(rows: DataFrame, mode: str = "text_sim", strength: str = "medium",
     rest = degraded if mode == "text_sim" else F.col("oral_text")
     source = F.when(F.col("_pass"), F.col("clean_text")).when(failed, instead).when(F.col("_sent"), F.col("said")).otherwise(rest)
     target = F.when(F.col("_sent") & F.col("wanted").isNotNull(), F.col("wanted")).otherwise(F.col("clean_text"))
-    words = K.review_targets(_own(rows, "keyword_list", "array<string>"), F.col("oral_text"), target)
+    words = K.review_targets(keywords(rows), F.col("oral_text"), target)
     name = lambda x: F.lit(x if mode == "tts_asr" else None).cast("string")
     meta = _meta(base, {
         "scene": F.col("scene"), "language": first_full(_own(rows, "language", "string"), F.when(F.startswith("scene", F.lit("english_")), "en").otherwise("zh")), **lists,
@@ -140,7 +158,20 @@ def passthrough(phenomena: Column, exact: bool = False) -> Column:
 def precheck(source: Column, refined: Column) -> Column:
     """Why a pair is rejected before any model sees it; null if it isn't."""
     n, m = F.length(source), F.length(refined)
-    return F.when((F.coalesce(source, F.lit("")) == "") | (F.coalesce(refined, F.lit("")) == ""), "empty").when((m > n * 1.8) & (m - n > 30), "abnormal expansion").when(F.length(strip(source)) <= 2, "too short")
+    empty = (F.coalesce(source, F.lit("")) == "") | (F.coalesce(refined, F.lit("")) == "")
+    grown = F.concat(F.lit("abnormal expansion: input="), n.cast("string"), F.lit(" refined="), m.cast("string"))
+    short = F.concat(F.lit("input is too short to contain substantive content: "), quoted(source))
+    # The reasons, and the limits of growth and length.
+    return F.when(empty, "input or refined_text is empty").when((m > n * 1.8) & (m - n > 30), grown).when(F.length(strip(source)) <= 2, short)
+
+
+def quoted(text: Column) -> Column:
+    """The text in quotes as Python writes it; control signs other than line ends and tabs stay as they are."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for sign, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def verdict(response: Column) -> Column:
@@ -228,12 +259,22 @@ def seeded(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+# Names of correction structures and of oral levels.
+CORRECTIONS = ("none", "single", "rollback", "multiple")
+LEVELS = ("low", "moderate", "high")
+
+
 def controls(key: Column, scene: Column, seed: int = 42) -> Column:
     """What an oral text should contain: passthrough for 8 in 100, else one correction and one oral level."""
-    pick = lambda salt, names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.conv(F.left(F.md5(F.concat_ws(":", F.lit(salt + str(seed)), key.cast("string"))), F.lit(8)), 16, 10).cast("long"), F.lit(len(names))) + 1).cast("int"))
-    return F.when(draw(key, 0.08, seed), F.struct(F.lit("passthrough").alias("correction"), F.lit("none").alias("level"), F.lit(False).alias("explain"))).otherwise(
-        F.struct(pick("c", ("none", "self", "multi", "explanation")).alias("correction"), pick("l", ("light", "medium", "heavy")).alias("level"), (scene == "explanation").alias("explain"))
-    )
+
+    def pick(salt: str, names: tuple[str, ...]) -> Column:
+        digits = F.left(F.md5(F.concat_ws(":", F.lit(salt + str(seed)), key.cast("string"))), F.lit(8))
+        place = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(len(names))) + 1
+        return F.element_at(F.array(*map(F.lit, names)), place.cast("int"))
+
+    none = F.struct(F.lit("passthrough").alias("correction"), F.lit("passthrough").alias("level"), F.lit(False).alias("explain"))
+    drawn = F.struct(pick("c", CORRECTIONS).alias("correction"), pick("l", LEVELS).alias("level"), (scene == "explanation").alias("explain"))
+    return F.when(draw(key, 0.08, seed), none).otherwise(drawn)
 
 
 def seed_blocks(seeds: DataFrame, count: int, block: int = 5, seed: int = 42, by: str = "scene") -> DataFrame:
@@ -278,17 +319,27 @@ def strata(scene: Column, refined: Column) -> list[Column]:
     return [scene, length_bucket(refined)]
 
 
-def seed_hint(words: Column, per: int = 5, width: int = 20) -> Column:
-    """A short list of names not to repeat."""
-    return F.array_join(F.transform(F.slice(words, 1, per), lambda w: F.left(w, F.lit(width))), ", ")
+#: What names a structured seed in a hint.
+HINT_FIELDS = ("name", "artist")
+
+
+def seed_name(seed: Column, width: int = 20) -> Column:
+    """How a hint names a seed: a structured one by its name or else its artist, whole; another by its beginning."""
+    own = [F.get_json_object(seed, f"$.{k}") for k in HINT_FIELDS]
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(seed)), F.lit("OBJECT")), F.lit(False))
+    return F.when(is_object, F.coalesce(*own, F.left(seed, F.lit(width)))).otherwise(F.left(seed, F.lit(width)))
 
 
-def exclusion_hint(seeds: DataFrame, by: str = "scene", most: int = 30) -> DataFrame:
-    """(by, hint): a line with the first names of each of the first ``most`` categories that have any. Expects by,
-    category, place (of the category) and words."""
-    line = F.struct("place", F.concat("category", F.lit(": "), seed_hint(F.col("words")), F.lit("...")).alias("line"))
-    lines = F.slice(F.array_sort(F.collect_list(line)), 1, most)
-    return seeds.where(F.size("words") > 0).groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("hint"))
+def exclusion_hint(seeds: DataFrame, by: str = "scene", category: str = "category", order: str = "ord", seed: str = "seed", per: int = 5, most: int = 30) -> DataFrame:
+    """(by, hint): for each of the first ``most`` categories that have any seed, a line with the names of its first
+    ``per``, not to repeat. ``order`` is an integer; categories come in the order of their first seed, then by name. Only the names of the first seeds are
+    gathered."""
+    named = seeds.where(F.col(seed).isNotNull()).select(F.col(by).alias("_by"), F.col(category).alias("_c"), F.struct(by, category).alias("_g"), F.col(order).alias("_o"), seed_name(F.col(seed)).alias("_name"))
+    few = first_n(named, F.lit(per), "_g", "_o")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_name"))), lambda x: x["_name"])
+    lines = few.groupBy("_by", "_c").agg(F.min("_o").alias("_o"), F.concat(F.col("_c"), F.lit(": "), F.array_join(one, ", "), F.lit("...")).alias("line"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct("_o", "_c", "line"))), 1, most)
+    return lines.groupBy(F.col("_by").alias(by)).agg(F.array_join(F.transform(top, lambda x: x["line"]), "\n").alias("hint"))
 
 
 def seed_list(words: Column, key: Column, most: int = 30, seed: int = 42, default: str = "Use appropriate scene-specific content.") -> Column:

@@ -63,7 +63,8 @@ def completed(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
-    out = rows.join(done, key, "left_anti")
+    """The rows that are not done, in their order the first ``limit``; evaluation fails if a key repeats among all rows."""
+    out = unique(rows, key).join(done, key, "left_anti")
     return out.orderBy(order).limit(limit) if limit else out
 
 
@@ -165,3 +166,36 @@ def error_rates(measured: DataFrame, *by: str) -> DataFrame:
     for k in ("wer", "cer", "mer"):
         found = found.withColumn(k, F.coalesce(F.try_divide(F.col(f"{k}_errors"), F.col(f"{k}_units")), F.lit(0.0)))
     return found
+
+
+def summary_document(samples: DataFrame, results: DataFrame, measured: DataFrame, config: dict, outputs: int | None = None) -> dict:
+    """The summary of a run: run, overall, by_category, by_scene, asr_metrics and config.
+
+    ``samples``: a row for each question of each matched sample, with sample_id, question_id and signature; ``results``: result rows
+    with the columns of ``judge_rows`` and ord, the last of each question with the question's signature counts; ``measured``: a row
+    for each matched sample, with m (``text_metrics``) and latency_ms; ``outputs``: how many outputs there were, with or without a rubric.
+    The driver gets a row for each category and scene."""
+    held = with_results(samples, results.withColumnRenamed("evaluation_signature", "signature")).persist()
+    try:
+        asked = held.agg(F.count_distinct("sample_id").alias("n")).first().n
+        done, current = finished(held).count(), held.where(F.col("status").isNotNull())
+        counts, scores = run_counts(current).first(), summary(current).collect()
+        rates = error_rates(measured).first()
+    finally:
+        held.unpersist()
+    score = lambda r: {"question_count": r.n, "score": r.score, "max_score": r.max_score, "normalized_score": r.normalized}
+    by = lambda kind: {r.value: score(r) for r in scores if r.kind == kind}
+    rates = rates.asDict() if rates else {}
+    n = rates.get("n", 0)
+    units = {x: y for k in ("wer", "cer", "mer") for x, y in ((k, rates.get(k, 0.0)), (f"{k}_errors", rates.get(f"{k}_errors", 0)), (f"{k}_reference_units", rates.get(f"{k}_units", 0)))}
+    run = {
+        "total_sample_count": asked, "completed_sample_count": done, "failed_question_count": counts.failed_questions, "asr_retry_exhausted_sample_count": counts.exhausted_samples,
+        "asr_retry_exhausted_question_count": counts.exhausted_questions,
+    }
+    if outputs is not None:
+        run |= {"input_asr_sample_count": outputs, "out_of_benchmark_asr_sample_count": outputs - asked}
+    asr = {
+        "sample_count": n, "text_metric_sample_count": n, "latency_sample_count": n - rates.get("missing_latency", 0), "missing_latency_sample_count": rates.get("missing_latency", 0),
+        "average_latency_ms": rates.get("mean_latency_ms", 0.0), **units,
+    }
+    return {"run": run, "overall": score(next(r for r in scores if r.kind == "overall")), "by_category": by("category"), "by_scene": by("scene"), "asr_metrics": asr, "config": config}

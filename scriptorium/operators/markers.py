@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# The marks around an answer, in the order in which they go.
 _AROUND = (re.compile(r"\A<\|im_start\|>assistant\s*"), re.compile(r"<\|im_end\|>\s*\Z"), re.compile(r"\A(?i:assistant)\s*[:：]?\s*"), re.compile(r"</s>\s*\Z"))
 
 

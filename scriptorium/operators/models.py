@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 Refiner = Callable[[list[str]], list[str]]
 
@@ -104,7 +107,7 @@ def checked_answers(answers: list[tuple[str, int]], questions: list) -> list[tup
     """The answers (question id, option index), in the order of the questions, if each question has just one, in range."""
     sizes, found = {q["id"]: len(q["options"]) for q in questions}, {}
     for name, index in answers:
-        if name not in sizes or name in found:
+        if not isinstance(name, str) or name not in sizes or name in found:
             raise JudgeError(f"{'repeated' if name in found else 'unknown'} question {name!r}")
         if isinstance(index, bool) or not isinstance(index, int) or not 0 <= index < sizes[name]:
             raise JudgeError(f"option {index!r} of question {name!r}")
@@ -114,6 +117,50 @@ def checked_answers(answers: list[tuple[str, int]], questions: list) -> list[tup
     return [(q, found[q]) for q in sizes]
 
 
+def read_answers(text: str, questions: list) -> list[tuple[str, int]]:
+    """The checked answers of a judge's text: a JSON object, in a code fence or in prose, with a list ``answers`` of objects
+    with id and option_index. Raises ``JudgeError`` if it has none or they don't fit the questions."""
+    body = text.strip()
+    if body.startswith("```") and body.endswith("```"):
+        body = "\n".join(body.splitlines()[1:-1]).strip()
+    first, last = body.find("{"), body.rfind("}")
+    if first < 0 or last <= first:
+        raise JudgeError("no JSON object")
+    try:
+        found = json.loads(body[first : last + 1])
+    except ValueError as e:
+        raise JudgeError(f"no valid JSON: {e}") from e
+    answers = found.get("answers") if isinstance(found, dict) else None
+    if not isinstance(answers, list):
+        raise JudgeError("no answers array")
+    if not all(isinstance(a, dict) for a in answers):
+        raise JudgeError("an answer is no object")
+    return checked_answers([(a.get("id"), a.get("option_index")) for a in answers], questions)
+
+
+@udtf(returnType=StructType([StructField("question_id", StringType()), StructField("option_index", IntegerType()), StructField("error", StringType())]))
+class JudgeAnswers:
+    """A table function of a judge's text and its questions (id, options): a row for each question, in their order; or one with the error alone."""
+
+    def eval(self, text, questions):
+        try:
+            for name, index in read_answers(text or "", [q.asDict() for q in questions or []]):
+                yield name, index, None
+        except JudgeError as e:
+            yield None, None, str(e)
+
+
+def answers_of(rows: DataFrame, text: str = "response", questions: str = "questions") -> DataFrame:
+    """The rows with question_id, option_index and error: a lateral join with ``JudgeAnswers``."""
+    spark, view = rows.sparkSession, f"judged_{uuid.uuid4().hex}"
+    spark.udtf.register("judge_answers", JudgeAnswers)
+    rows.createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT r.*, a.* FROM {view} r, LATERAL judge_answers(r.`{text}`, r.`{questions}`) a")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 def judge(samples: DataFrame, ask: Callable[[str, list], list[tuple[str, int]]], attempts: int = 3, workers: int = 4, wait: Callable[[int], float] = lambda k: 2.0 ** (k - 1)) -> DataFrame:
     """(sample_id, question_id, option_index, error): a row for each question of (sample_id, output, questions). ``ask``
     gets a sample's output and questions and returns (question id, option index) pairs; answers that don't fit are asked
@@ -136,23 +183,6 @@ def judge(samples: DataFrame, ask: Callable[[str, list], list[tuple[str, int]]],
     return samples.select("sample_id", "output", "questions").mapInPandas(run, f"sample_id {samples.schema['sample_id'].dataType.simpleString()}, question_id string, option_index int, error string")
 
 
-def simulated(rows: DataFrame, call: Callable[[DataFrame], DataFrame] | None, fallback: bool = True) -> DataFrame:
-    """Inputs of a speech back end (``call`` adds input, null where it failed), or the text simulation where it
-    failed, marked asr_fallback_text_sim."""
-    from ..functions.text import simulate_recognition
-
-    text = simulate_recognition(F.col("oral_text"))
-    made = call(rows) if call else rows.withColumn("input", F.lit(None).cast("string"))
-    failed = F.col("input").isNull()
-    out = made.withColumn("asr_fallback_text_sim", failed & F.lit(fallback))
-    return out.withColumn("input", F.coalesce("input", text)) if fallback else out.where(~failed)
-
-
-def consistent(response):
-    """Verdict on meaning: false only if the answer says so; anything unreadable passes."""
-    return F.coalesce(F.get_json_object(response, "$.consistent") != "false", F.lit(True))
-
-
 # --- plug-ins: each takes a callable, and has a stand-in that needs no service ---
 
 
@@ -172,12 +202,14 @@ def echo() -> Callable[[str, int], str]:
     return lambda prompt, max_tokens: prompt
 
 
-def speech_round_trip(speak: Callable[[str, str], bytes], hear: Callable[[bytes, str], str], cache: DataFrame | None = None, settings: tuple[str, ...] = (), attempts: int = 3):
+def speech_round_trip(speak: Callable[[str, str], bytes], hear: Callable[[bytes, str], str], cache: DataFrame | None = None, settings: tuple[str, ...] = (), attempts: int = 3, new: str | None = None):
     """A ``call`` for ``curate.simulate``: texts are spoken and recognised again. ``cache`` (key, value) holds what was
-    heard before, under the digest of settings, language and text; only new texts are spoken, each once. Failures give
-    a null."""
+    heard before, under the digest of settings, language and text; only new texts are spoken, each once, and written to ``new`` (a
+    path in a shared folder, by default one below it), which a later run may take for its cache. Failures give a null and
+    are not cached."""
     from ..functions.text import service_language
     from ..sources.files import cached
+    from ..sources.shared import folder
 
     def one(text: str, language: str) -> str | None:
         try:
@@ -194,12 +226,12 @@ def speech_round_trip(speak: Callable[[str, str], bytes], hear: Callable[[bytes,
 
     def call(rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
-        known = cache if cache is not None else spark.createDataFrame([], "key string, value string")
+        known = (cache if cache is not None else spark.createDataFrame([], "key string, value string")).where("value IS NOT NULL")
         language = F.when(F.startswith("scene", F.lit("english_")), "en").otherwise("zh")
         if "language" in rows.columns:
             language = F.coalesce("language", language)
         named = rows.withColumn("spoken", service_language(language)).withColumn("settings", F.lit("\n".join(settings)))
-        heard, _ = cached(named, known, ["settings", "spoken", "oral_text"], compute)
+        heard, _ = cached(named, known, ["settings", "spoken", "oral_text"], compute, new or f"{folder(spark)}/heard-{uuid.uuid4().hex}")
         return heard.withColumn("said", F.col("value")).withColumn("wanted", F.lit(None).cast("string")).drop("spoken", "settings", "key", "value")
 
     return call

@@ -36,14 +36,15 @@ def han_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.normalize_cjk(F.col("case")).alias("text"))
 
 
-_CHAT = ["<|im_start|>assistant\nhi<|im_end|>", "Assistant: hi", "assistant：你好 </s>", "  plain  ", "<|im_start|>assistant\nassistant hello<|im_end|>\n"]
-_CHAT_WANT = {0: "hi", 1: "hi", 2: "你好", 3: "plain", 4: "hello"}
+_OWN = r"regexp_replace(text, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g')"
+_AROUND = [("<|im_start|>assistant\n", "<|im_end|>"), ("Assistant: ", ""), ("assistant：", " </s>"), ("  ", "  "), ("<|im_start|>assistant\nassistant ", "<|im_end|>\n")]
 
 
-@query(f"SELECT conv_id, turn, want AS text FROM conversations JOIN {_values(_CHAT_WANT)} ON v.kind = conv_id % 5")
+@query(f"SELECT conv_id, turn, {_OWN} AS text FROM conversations")
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dealt(table(spark, sf_dir, "conversations"), "conv_id", _CHAT)
-    return rows.select("conv_id", "turn", T.clean_response(F.col("case")).alias("text"))
+    """Each turn between the markers of a chat model, of one kind or another."""
+    rows = _dealt(_dealt(table(spark, sf_dir, "conversations"), "conv_id", [b for _, b in _AROUND]).withColumnRenamed("case", "after"), "conv_id", [a for a, _ in _AROUND])
+    return rows.select("conv_id", "turn", T.clean_response(F.concat("case", "text", "after")).alias("text"))
 
 
 _OPTIONS = ["a(1)，b(0)", "很好（2）,一般（1）,差（-1）", "a(1) rest", "x", "only ( 3 )", "a, b(1)"]
@@ -57,27 +58,31 @@ def option_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.array_join(shown, ";").alias("options"))
 
 
-_JSON = ['{"b": 1, "a": [2]}', '```json\n{"a": 1}\n```', 'x [1] y {"a": 1}', 'see [1, 2] and {"a": 1} then prose', 'just {"a": {"b": 2}} prose', "no json", '["x"] trailing [1, 2', "``` \n[3]"]
-_JSON_WANT = {0: '{"a": [2], "b": 1}', 1: '{"a": 1}', 2: '{"a": 1}', 3: "[1, 2]", 4: '{"a": {"b": 2}}', 5: None, 6: '["x"]', 7: "[3]"}
+_JSON = [("", ""), ("```json\n", "\n```"), ("x [1] y ", ""), ("see ", " then prose"), ("just ", " prose"), ("[1, 2", "")]
 
 
-@query(f"SELECT doc_id, want AS found FROM documents JOIN {_values(_JSON_WANT)} ON v.kind = doc_id % 8")
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE '{"a": 2, "text": ' || to_json(text)::VARCHAR || '}' END AS found FROM documents""")
 def json_in_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dealt(table(spark, sf_dir, "documents"), "doc_id", _JSON)
-    return rows.select("doc_id", R.find_json(F.col("case")).alias("found"))
+    """The JSON of an answer that holds the whole text, alone, in a fence or in prose."""
+    rows = _dealt(_dealt(table(spark, sf_dir, "documents"), "doc_id", [b for _, b in _JSON]).withColumnRenamed("case", "after"), "doc_id", [a for a, _ in _JSON])
+    body = F.when(F.col("text").isNotNull(), F.concat(F.lit('{"text": '), R.json_text(F.col("text")), F.lit(', "a": 2}')))
+    return rows.select("doc_id", R.find_json(F.concat("case", body, "after")).alias("found"))
 
 
-_VERDICTS = [
-    '{"pass": true, "reason": "fine"}', '{"pass": false, "detail": {"pass": true}, "reason": "no"}', "{}", '{"pass": "false"}', '{"pass": 0}', '{"pass": null}', '{"pass": 1}', "True.", " false, as it adds",
-    "maybe", "[true]", '{"pass": true, "reason": cut', '{"pass": ""}', '{"pass": []}',
-]
-_VERDICT_WANT = {0: "true fine", 1: "false no", 2: "true ", 3: "true ", 4: "false ", 5: "false ", 6: "true ", 7: "true True.", 8: "false  false, as it adds", 9: "false unparseable QC response",
-                 10: "false unparseable QC response", 11: 'true {"pass": true, "reason": cut', 12: "false ", 13: "false "}
+_VERDICTS = ['{"pass": true, ', '{"pass": false, "detail": {"pass": true}, ', "{", '{"pass": "false", ', '{"pass": 0, ', '{"pass": null, ', '{"pass": 1, ', '{"pass": "", ', '{"pass": [], ']
+_VERDICT_SAID = {0: "true ", 1: "false ", 2: "true ", 3: "true ", 4: "false ", 5: "false ", 6: "true ", 7: "false ", 8: "false "}
+_PLAIN = ["True.", " false, as it adds", "maybe", "[true]", '{"pass": true, "reason": cut']
+_PLAIN_SAID = {9: "true ", 10: "false ", 11: None, 12: None, 13: "true "}
 
 
-@query(f"SELECT doc_id, want AS verdict FROM documents JOIN {_values(_VERDICT_WANT)} ON v.kind = doc_id % 14")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 14 < 9 THEN want || coalesce(text, '') WHEN want IS NULL THEN 'false unparseable QC response' ELSE want || left({{1}}, 100) END AS verdict
+FROM (SELECT doc_id, text, want, plain || coalesce(text, '') AS said FROM documents JOIN {_values(_VERDICT_SAID | _PLAIN_SAID)} ON v.kind = doc_id % 14 LEFT JOIN {_values(dict(enumerate(_PLAIN, 9))).replace("v(kind, want)", "p(number, plain)")} ON p.number = doc_id % 14)""".replace("{1}", "said"))
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dealt(table(spark, sf_dir, "documents"), "doc_id", _VERDICTS).withColumn("v", curate.verdict(F.col("case")))
+    """Answers with the whole text as their reason, or behind what they say."""
+    own = F.coalesce("text", F.lit(""))
+    rows = _dealt(table(spark, sf_dir, "documents"), "doc_id", [*_VERDICTS, *_PLAIN])
+    said = F.when(F.col("kind") < len(_VERDICTS), F.concat("case", F.lit('"reason": '), R.json_text(own), F.lit("}"))).otherwise(F.concat("case", own))
+    rows = rows.withColumn("v", curate.verdict(said))
     return rows.select("doc_id", F.concat_ws(" ", F.col("v.passed").cast("string"), F.col("v.reason")).alias("verdict"))
 
 
@@ -324,15 +329,16 @@ def _digits(salt: str, key: str) -> str:
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, lang, {_digits('42', 'doc_id')} < floor(0.08::DOUBLE * 4294967296) AS clean, ['none', 'self', 'multi', 'explanation'][{_digits('c42', 'doc_id')} % 4 + 1] AS fix, ['light', 'medium', 'heavy'][{_digits('l42', 'doc_id')} % 3 + 1] AS level,
+WITH c AS (SELECT doc_id, text, lang, {_digits('42', 'doc_id')} < floor(0.08::DOUBLE * 4294967296) AS clean, ['none', 'single', 'rollback', 'multiple'][{_digits('c42', 'doc_id')} % 4 + 1] AS fix, ['low', 'moderate', 'high'][{_digits('l42', 'doc_id')} % 3 + 1] AS level,
 CASE lang WHEN 'en' THEN 'english_daily' WHEN 'de' THEN 'explanation' ELSE 'meeting' END AS scene FROM documents)
-SELECT doc_id AS id, 'Scene ' || scene || ' {{in}} ' || CASE lang WHEN 'en' THEN 'English' ELSE 'Chinese' END || ': ["a \\"b\\"", "' || doc_id || '"] ' || CASE WHEN clean THEN 'passthrough' ELSE fix END || '/' || CASE WHEN clean THEN 'passthrough' ELSE level END
-|| '/' || CASE WHEN NOT clean AND scene = 'explanation' THEN 'explanation' ELSE 'None' END AS prompt,
+SELECT doc_id AS id, 'Scene ' || scene || ' {{in}} ' || CASE lang WHEN 'en' THEN 'English' ELSE 'Chinese' END || ', ' || CASE scene WHEN 'meeting' THEN 'at work' ELSE 'a realistic voice interaction' END || ': ["a \\"b\\"", ' || coalesce(to_json(text)::VARCHAR, 'null') || '] ' || CASE WHEN clean THEN 'P' ELSE 'C ' || fix END || '/' || CASE WHEN clean THEN 'P' ELSE 'L ' || level END
+|| '/' || CASE WHEN NOT clean AND scene = 'explanation' THEN 'X' ELSE 'None' END AS prompt,
 CASE WHEN clean THEN 'clean' ELSE 'correction:' || fix || ',oral:' || level || CASE WHEN scene = 'explanation' THEN ',explanation' ELSE '' END END AS phenomena FROM c""")
 def oral_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scene = F.when(F.col("lang") == "en", "english_daily").when(F.col("lang") == "de", "explanation").otherwise("meeting")
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), scene.alias("scene"), F.array(F.lit('a "b"'), F.col("doc_id").cast("string")).alias("seeds"))
-    rows = prompts.oral_prompts(items, "Scene {scene} {{in}} {language}: {seeds} {correction}/{oral_level}/{additional}")
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), scene.alias("scene"), F.array(F.lit('a "b"'), F.col("text")).alias("seeds"))
+    texts = {"passthrough": "P", "explanation": "X"} | {f"correction:{x}": f"C {x}" for x in curate.CORRECTIONS} | {f"oral:{x}": f"L {x}" for x in curate.LEVELS}
+    rows = prompts.oral_prompts(items, "Scene {scene} {{in}} {language}, {context}: {seeds} {correction}/{oral_level}/{additional}", contexts={"meeting": "at work"}, texts=texts)
     return rows.select("id", "prompt", F.array_join("speech_phenomena", ",").alias("phenomena"))
 
 
@@ -369,8 +375,7 @@ def quality_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("source").alias("scene"), F.col("doc_id").alias("ord"), F.concat(F.lit("input: "), "text").alias("input"), F.struct(F.col("text").alias("refined_text")).alias("output"), F.lit(None).cast("struct<scene:string>").alias("meta"),
     )
     _, rejected = finalize.finalize(rows, 60, response)
-    reason = F.when(F.col("qc_reason") == "empty", "input or refined_text is empty").otherwise(F.col("qc_reason"))
-    return rejected.select(F.col("id").alias("doc_id"), reason.alias("qc_reason"))
+    return rejected.select(F.col("id").alias("doc_id"), "qc_reason")
 
 
 @query("""SELECT source AS scene, count(DISTINCT lang) AS have, greatest(0, ceil((6 - count(DISTINCT lang)) / 2.0))::BIGINT AS rounds FROM documents GROUP BY source""")
@@ -398,12 +403,11 @@ def seed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", curate.seed_list(words, F.col("doc_id")).alias("seeds"))
 
 
-@query("""WITH w AS (SELECT source AS scene, lang AS category, list(left(text, 20) ORDER BY doc_id)[1:5] AS w FROM documents WHERE text IS NOT NULL GROUP BY ALL)
-SELECT scene, string_agg(category || ': ' || array_to_string(w, ', ') || '...', chr(10) ORDER BY category) AS hint FROM w GROUP BY scene""")
+@query("""WITH w AS (SELECT source AS scene, lang AS category, min(doc_id) AS first_id, list(left(text, 20) ORDER BY doc_id)[1:5] AS w FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT scene, string_agg(category || ': ' || array_to_string(w, ', ') || '...', chr(10) ORDER BY first_id) AS hint FROM w WHERE category IS NOT NULL GROUP BY scene""")
 def exclusion_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
-    seeds = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(F.col("source").alias("scene"), F.col("lang").alias("category")).agg(words.alias("words")).withColumn("place", F.col("category"))
-    return curate.exclusion_hint(seeds)
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("scene"), F.col("lang").alias("category"), F.col("doc_id").alias("ord"), F.col("text").alias("seed"))
+    return curate.exclusion_hint(docs)
 
 
 def _similar(a: Column, b: Column) -> Column:

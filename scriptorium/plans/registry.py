@@ -14,11 +14,11 @@ from ..functions import text as T
 from ..operators import curate, dedup, evaluate, models
 from ..sources import files
 from ..streaming import speech
-from .catalog import QUERIES, SQL, query, table
+from .catalog import QUERIES, SQL, place, query, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import records, runs  # noqa: F401 - their queries join the catalogue
+    from . import jobs, records, runs  # noqa: F401 - their queries join the catalogue
 
     return dict(QUERIES)
 
@@ -77,8 +77,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_PAIRS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(source, '') = '' OR coalesce(refined, '') = '' THEN 'empty'
-WHEN length(refined) > length(source) * 1.8 AND length(refined) - length(source) > 30 THEN 'abnormal expansion' WHEN length(trim(source)) <= 2 THEN 'too short' ELSE 'pass' END AS reason FROM pairs) GROUP BY reason""")
+WITH {_PAIRS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(source, '') = '' OR coalesce(refined, '') = '' THEN 'input or refined_text is empty'
+WHEN length(refined) > length(source) * 1.8 AND length(refined) - length(source) > 30 THEN 'abnormal expansion: input=' || length(source) || ' refined=' || length(refined) WHEN length(trim(source)) <= 2 THEN 'input is too short to contain substantive content: ''' || source || '''' ELSE 'pass' END AS reason FROM pairs) GROUP BY reason""")
 def quality_prechecks(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.coalesce(curate.precheck(F.col("source"), F.col("refined")), F.lit("pass"))
     return _pairs(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -438,7 +438,7 @@ def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("x").alias("kind"))
     size = F.length("text")
     cache = rows.where(size % 2 == 0).select(files.content_key(F.col("kind"), F.col("text")).alias("key"), F.concat(F.lit("held "), size.cast("string")).alias("value")).distinct()
-    found, _ = files.cached(rows, cache, ["kind", "text"], lambda new: new.withColumn("value", F.concat(F.lit("made "), size.cast("string"))))
+    found, _ = files.cached(rows, cache, ["kind", "text"], lambda new: new.withColumn("value", F.concat(F.lit("made "), size.cast("string"))), place(spark, "cache"))
     return found.select("conv_id", "turn", "value")
 
 

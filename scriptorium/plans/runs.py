@@ -3,27 +3,21 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curate, models
-from ..sources import admin, files
-from ..sources.shared import folder
+from ..sources import admin, audio, files
 from ..streaming import live, speech
-from .catalog import query, table
-
-
-def _place(spark: SparkSession, what: str) -> str:
-    return f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+from .catalog import place, query, table
 
 
 @query("SELECT doc_id, text, lang AS scene FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '+' || text, lang FROM documents WHERE doc_id % 2 = 1")
 def scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as a file for each scene, in two ways, appended to, and read by scene."""
-    at, docs = _place(spark, "scenes"), table(spark, sf_dir, "documents")
+    at, docs = place(spark, "scenes"), table(spark, sf_dir, "documents")
     files.write_jsonl(docs.where("doc_id % 2 = 0").select("doc_id", "text", "lang"), f"{at}/all")
     files.write_jsonl(docs.where("doc_id % 2 = 1").select("doc_id", F.concat(F.lit("+"), "text").alias("text"), "lang"), f"{at}/all", append=True)
     rows = files.read_jsonl(spark, f"{at}/all", "doc_id long, text string, lang string")
@@ -38,7 +32,7 @@ def scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'good' AS kind, doc_id AS number FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT 'bad', 2 * row_number() OVER (ORDER BY doc_id) FROM documents WHERE doc_id % 10 = 3""")
 def strict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a file: objects, and, on every second line of another, what is no object, with its number."""
-    at, docs = _place(spark, "lines"), table(spark, sf_dir, "documents")
+    at, docs = place(spark, "lines"), table(spark, sf_dir, "documents")
     docs.where("doc_id % 10 <> 3").select(F.to_json(F.struct("doc_id")).alias("value")).write.text(f"{at}/good")
     docs.where("doc_id % 10 = 3").repartition(1).select(F.concat(F.lit("\n"), F.lit("[1]")).alias("value")).write.text(f"{at}/bad")
     good, none = files.check_jsonl(spark, f"{at}/good", "doc_id long")
@@ -50,7 +44,7 @@ def strict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, text, item_id % 3 AS score FROM benchmark")
 def rubric_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rubric of one JSON document, written as an array and wrapped."""
-    at = _place(spark, "rubric")
+    at = place(spark, "rubric")
     rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.array(F.struct((F.col("item_id") % 3).alias("score"))).alias("qa"))
     files.write_array(rows, f"{at}/items.json")
     files.write_json(spark, {"items": files.read_json(spark, f"{at}/items.json")}, f"{at}/rubric.json")
@@ -61,7 +55,7 @@ def rubric_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, quality = 1 AS kept FROM labels")
 def split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at, labels = _place(spark, "split"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    at, labels = place(spark, "split"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     files.write_split(labels, F.col("quality") == 1, f"{at}/kept", f"{at}/rejects")
     parts = [files.read_many(spark, [f"{at}/{n}", f"{at}/nowhere"], "doc_id long, quality int").withColumn("kept", F.lit(n == "kept")) for n in ("kept", "rejects") if files.exists(spark, f"{at}/{n}")]
     return parts[0].unionByName(parts[-1]).select("doc_id", "kept").distinct()
@@ -70,7 +64,7 @@ def split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def repeated_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches, one of them sent twice."""
-    at, rows = _place(spark, "appends"), table(spark, sf_dir, "events").select("event_id", "event_type")
+    at, rows = place(spark, "appends"), table(spark, sf_dir, "events").select("event_id", "event_type")
     for k in (0, 1, 1, 2):
         admin.append_batch(rows.where(F.col("event_id") % 3 == k), at, k)
     return spark.read.schema("event_id long, event_type string, batch int").json(at).select("event_id", "event_type")
@@ -79,7 +73,7 @@ def repeated_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'clean.jsonl' AS name UNION ALL SELECT 'seeds'")
 def reset_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reset leaves of a run's folder."""
-    at = _place(spark, "run")
+    at = place(spark, "run")
     for name in ("clean.jsonl", "asr_sim.jsonl", "seeds/pool.json", "final/train.jsonl"):
         files.write_json(spark, {"rows": 1}, f"{at}/{name}")
     if len(admin.reset(spark, at, dry_run=True)) != 2 or len(files.children(spark, at)) != 4:
@@ -97,7 +91,7 @@ def _wave(seconds: list[float], rate: int) -> bytes:
 @query("""WITH v AS (SELECT vec_id, len(embedding) AS n FROM embeddings) SELECT vec_id, ceil(n * 16000 / 8000 / 512.0)::BIGINT + 31 AS windows FROM v""")
 def wave_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as waves of 8 kHz, written, read and cut to windows of 16 kHz."""
-    at = _place(spark, "waves")
+    at = place(spark, "waves")
 
     def run(batches):
         system, base = files.shared_system(at)
@@ -110,7 +104,7 @@ def wave_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long").count()
     name = F.regexp_extract("session", r"(\d+)\.wav$", 1).cast("long")
-    return files.read_wav(spark, at).groupBy(name.alias("vec_id")).agg(F.count(F.lit(1)).alias("windows"))
+    return audio.read_wav(spark, at).groupBy(name.alias("vec_id")).agg(F.count(F.lit(1)).alias("windows"))
 
 
 # --- streams ---
@@ -146,7 +140,7 @@ def model_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over a folder that grows between them, each in micro-batches of one file."""
-    at, rows = _place(spark, "stream"), table(spark, sf_dir, "events").select("event_id", "event_type")
+    at, rows = place(spark, "stream"), table(spark, sf_dir, "events").select("event_id", "event_type")
     source = lambda: live.read_new(spark, f"{at}/in", "event_id long, event_type string", files=1)
     for k in (0, 1):
         files.write_jsonl(rows.where(F.col("event_id") % 2 == k).repartition(2), f"{at}/in", append=True)

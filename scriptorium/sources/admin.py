@@ -36,16 +36,46 @@ def load_env(spark: SparkSession, path: str, env: MutableMapping[str, str] | Non
 
 def append_batch(rows: DataFrame, folder: str, batch: int | str | None = None) -> None:
     """Append rows as JSON lines for good: they are written beside the folder's files and moved in when complete. A batch
-    of the same name replaces what it wrote before, so a repeated one (``foreachBatch``) adds nothing."""
+    of the same name replaces what it wrote before, so a repeated one (``foreachBatch``) adds nothing.
+
+    What is replaced is moved aside first and deleted last; a run that died between is set right by the next call, or by
+    ``recover``. Readers that must see a batch at every moment use ``results.ResultStore``."""
     spark = rows.sparkSession
     name = uuid.uuid4().hex if batch is None else str(batch)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    temp, target = hadoop.Path(f"{folder}/_new-{name}"), hadoop.Path(f"{folder}/batch={name}")
+    temp, target, old = (hadoop.Path(f"{folder}/{x}{name}") for x in ("_new-", "batch=", "_old-"))
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, folder)
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(temp.toString())
-    system.delete(target, True)
-    if not system.rename(temp, target):
-        raise OSError(f"cannot move {temp} to {target}")
+    if system.exists(target):
+        _moved(system, target, old)
+    _moved(system, temp, target)
+    system.delete(old, True)
+
+
+def _moved(system, source, target) -> None:
+    if not system.rename(source, target):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def recover(spark: SparkSession, folder: str) -> list[str]:
+    """Set right what an append that died has left: a batch moved aside without a new one comes back, others go. Returns
+    the names of the batches that came back."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    back = []
+    for status in system.listStatus(root) if system.exists(root) else []:
+        old = status.getPath()
+        if old.getName().startswith("_old-"):
+            name = old.getName().removeprefix("_old-")
+            target = hadoop.Path(f"{folder}/batch={name}")
+            if system.exists(target):
+                system.delete(old, True)
+            else:
+                _moved(system, old, target)
+                back.append(name)
+    return sorted(back)
 
 
 def reset(spark: SparkSession, folder: str, keep: tuple[str, ...] = ("clean.jsonl", "seeds"), dry_run: bool = False) -> list[str]:

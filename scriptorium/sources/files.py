@@ -1,24 +1,18 @@
-"""Sources and sinks: JSON lines, rubric documents, partitioned folders, WAV, caches and sinks."""
+"""Sources and sinks: JSON lines, rubric documents, partitioned folders, caches and sinks."""
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
 import warnings
-import wave
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-RATE, WINDOW = 16_000, 512
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
@@ -47,13 +41,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def check_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations): the rows of lines that hold an object, and (file, line, value) of those that don't; line counts
-    from 1. Each file is one task, as line numbers need; blank lines count but are skipped."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
-    lines = files.select("file", F.posexplode("l").alias("line", "value")).withColumn("line", F.col("line") + 1).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
+    from 1. Lines end as in ``spark.read.text``; blank ones count but are skipped.
+
+    Files are read in the ranges that Spark deals to its tasks. Only violations get a number: their place in their range,
+    and behind the lines of the ranges before, which a first pass has counted (a row for each range)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), "value")
+    full = lines.where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
     text = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
-    parsed = lines.select("file", "line", "value", F.from_json("value", text).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
+    parsed = full.select("file", "range", "at", "value", F.from_json("value", text).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
     wrong = F.col("bad") | ~F.startswith(F.ltrim("value"), F.lit("{"))
-    return parsed.where(~wrong).select("r.*"), parsed.where(wrong).select("file", "line", "value")
+    ranges = lines.groupBy("file", "range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("range")) - F.col("n")
+    ranges = ranges.select("file", "range", "first", before.alias("before"))
+    faults = parsed.where(wrong).join(ranges, ["file", "range"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+    return parsed.where(~wrong).select("r.*"), faults
 
 
 def read_rubric(spark: SparkSession, path: str, item: str) -> DataFrame:
@@ -152,37 +153,15 @@ def content_key(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields]), 256)
 
 
-def cached(rows: DataFrame, cache: DataFrame, fields: list[str], compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def cached(rows: DataFrame, cache: DataFrame, fields: list[str], compute: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
     """(rows with value, new cache rows): values by content key, computed only for keys that the cache (key, value)
-    lacks. ``compute`` gets one row (key and fields) a key and returns key and value."""
+    lacks. ``compute`` gets one row (key and fields) a key and returns key and value; what it returns is written to
+    ``path`` first, a shared folder, so it is called once, however often the rows are read."""
     keyed = rows.withColumn("key", content_key(*map(F.col, fields)))
-    new = compute(keyed.select("key", *fields).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"))
-    return keyed.join(cache.select("key", "value").unionByName(new.select("key", "value")), "key", "left"), new
-
-
-def _windows(content: bytes) -> np.ndarray:
-    with wave.open(io.BytesIO(content)) as w:
-        width, rate, channels = w.getsampwidth(), w.getframerate(), w.getnchannels()
-        raw = w.readframes(w.getnframes())
-    kind, scale, zero = {1: (np.uint8, 128.0, 128), 2: (np.int16, 32768.0, 0), 4: (np.int32, 2147483648.0, 0)}[width]
-    x = ((np.frombuffer(raw, kind).astype(np.float32) - zero) / scale).reshape(-1, channels).mean(1)
-    if rate != RATE and len(x):
-        n = max(1, round(len(x) * RATE / rate))
-        x = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
-    x = np.pad(x, (0, -len(x) % WINDOW))
-    return np.concatenate((x, np.zeros(round(RATE / WINDOW) * WINDOW))).astype(np.float32).reshape(-1, WINDOW)
-
-
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """Windows (session, seq, window) of mono 16 kHz samples; the last one padded, then a second of silence."""
-
-    def run(frames):
-        for pdf in frames:
-            for name, content in zip(pdf.path, pdf.content):
-                w = _windows(content)
-                yield pd.DataFrame({"session": name, "seq": range(len(w)), "window": list(w)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "session string, seq long, window array<float>")
+    new = compute(keyed.select("key", *fields).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")).select("key", "value")
+    new.write.mode("overwrite").parquet(path)
+    new = rows.sparkSession.read.schema(new.schema).parquet(path)
+    return keyed.join(cache.select("key", "value").unionByName(new), "key", "left"), new
 
 
 def read_json(spark: SparkSession, path: str):

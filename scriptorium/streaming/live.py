@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from .speech import Machine, chunker, energy_vad, sliding
 
@@ -78,12 +81,42 @@ def read_new(spark: SparkSession, folder: str, schema: str, files: int = 16, for
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(format).load(folder)
 
 
+class _Counter(StreamingQueryListener):
+    """Adds up the rows of all micro-batches of the queries of one name."""
+
+    def __init__(self, name: str):
+        self.name, self.rows, self.over = name, 0, threading.Event()
+        self.run = None
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.name:
+            self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self.over.set()
+
+
 def run_available(stream: DataFrame, sink: str, checkpoint: str, format: str = "json", mode: str = "append") -> int:
     """Work off all that has come since the last call with this checkpoint, and stop; rows reach the sink exactly once,
-    also if a call was cut off. Returns how many rows came in."""
-    query = stream.writeStream.format(format).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(sink)
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    also if a call was cut off. Returns how many rows came in, over all micro-batches."""
+    counter = _Counter(uuid.uuid4().hex)
+    manager = stream.sparkSession.streams
+    manager.addListener(counter)
+    try:
+        query = stream.writeStream.queryName(counter.name).format(format).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(sink)
+        query.awaitTermination()
+        counter.over.wait(60)  # events come in order, the end after the last batch
+        return counter.rows
+    finally:
+        manager.removeListener(counter)
 
 
 def tone(spark: SparkSession, rows_per_second: int = 31, hertz: float = 440.0) -> DataFrame:

@@ -156,16 +156,59 @@ def rms(window: Column) -> Column:
     return F.sqrt(F.aggregate(window, F.lit(0.0), lambda s, x: s + x.cast("double") * x) / F.size(window)) + 1e-9
 
 
-def activity(rows: DataFrame, loud: Column, key: str, order: str, on_after: int, off_after: int) -> DataFrame:
-    """Adds in_speech: switched on by ``on_after`` loud rows in a run, off by ``off_after`` quiet ones."""
+def activity(rows: DataFrame, loud: Column, key: str, order: str, on_after: int, off_after: int, width: int | None = None) -> DataFrame:
+    """Adds in_speech: switched on by ``on_after`` loud rows in a run, off by ``off_after`` quiet ones; null is quiet.
+
+    A session is worked off by one task, or, with ``width``, by one for each range of ``width`` of an integer order (see
+    ``_spread``)."""
+    rows = rows.withColumn("_loud", F.coalesce(loud, F.lit(False)))
+    if width:
+        return _spread(rows, key, order, on_after, off_after, width).drop("_loud")
     w = W.partitionBy(key).orderBy(order)
-    rows = rows.withColumn("_loud", loud)
     rows = rows.withColumn("_turn", F.sum(F.when(F.lag("_loud").over(w) == F.col("_loud"), 0).otherwise(1)).over(w))
     run = F.row_number().over(W.partitionBy(key, "_turn").orderBy(order))
-    rows = rows.withColumn("_event", F.when(F.col("_loud") & (run >= on_after), True).when(~F.col("_loud") & (run >= off_after), False))
+    rows = rows.withColumn("_event", _switch(run, on_after, off_after))
     return rows.withColumn("in_speech", F.coalesce(F.last("_event", ignorenulls=True).over(w), F.lit(False))).drop("_loud", "_turn", "_event")
 
 
+def _switch(run: Column, on_after: int, off_after: int) -> Column:
+    return F.when(F.col("_loud") & (run >= on_after), True).when(~F.col("_loud") & (run >= off_after), False)
+
+
+def _spread(rows: DataFrame, key: str, order: str, on_after: int, off_after: int, width: int) -> DataFrame:
+    """``activity`` of sessions cut into chunks: a parallel prefix over what a chunk does to the state.
+
+    The state is how long the last run is and what was switched last. A chunk maps it by its last run, whether it is one
+    run as a whole (then the length grows), and its last switch; the maps of a session's chunks, a row each, are composed
+    in order, and every chunk starts from the state that reaches it."""
+    here, chunk = W.partitionBy(key, "_b"), [key, "_b"]
+    rows = rows.withColumn("_b", F.floor(F.col(order) / width))
+    o = here.orderBy(order)
+    rows = rows.withColumn("_turn", F.sum(F.when(F.lag("_loud").over(o) == F.col("_loud"), 0).otherwise(1)).over(o))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(key, "_b", "_turn").orderBy(order)).cast("long"))
+    all_ = W.partitionBy(key).orderBy("_b")
+    maps = rows.groupBy(*chunk).agg(F.max_by(F.struct("_loud", "_n"), order).alias("_last"), F.max("_turn").alias("_turns"))
+    maps = maps.withColumn("_was", F.lag("_last._loud").over(all_))
+    # a chunk of one run that goes on adds to the run before; any other one begins anew
+    maps = maps.withColumn("_from", F.sum(F.when((F.col("_turns") == 1) & (F.col("_was") == F.col("_last._loud")), 0).otherwise(1)).over(all_))
+    maps = maps.withColumn("_run", F.sum("_last._n").over(W.partitionBy(key, "_from").orderBy("_b")))
+    maps = maps.select(*chunk, "_was", F.coalesce(F.lag("_run").over(all_), F.lit(0)).alias("_carry"))
+    rows = _with(rows, maps, chunk, ["_was", "_carry"])
+    run = F.col("_n") + F.when((F.col("_turn") == 1) & (F.col("_loud") == F.col("_was")), F.col("_carry")).otherwise(0)
+    rows = rows.withColumn("_event", _switch(run, on_after, off_after)).drop("_was", "_carry")
+    last = rows.groupBy(*chunk).agg(F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col(order))).alias("_last"))
+    last = last.select(*chunk, F.last("_last", ignorenulls=True).over(all_.rowsBetween(W.unboundedPreceding, -1)).alias("_on"))
+    rows = _with(rows, last, chunk, ["_on"])
+    own = F.last("_event", ignorenulls=True).over(o)
+    return rows.withColumn("in_speech", F.coalesce(own, "_on", F.lit(False))).drop("_b", "_turn", "_n", "_event", "_on")
+
+
+def _with(rows: DataFrame, more: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The rows with columns of the row of ``more`` that has their keys, null keys too."""
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    return rows.alias("r").join(more.alias("m"), on, "left").select("r.*", *[F.col(f"m.{n}") for n in names])
+
+
 def preroll(rows: DataFrame, key: str, order: str, size: int = 22) -> DataFrame:
     """Rows where speech begins, with the ``order`` values of up to ``size`` rows before."""
     w = W.partitionBy(key).orderBy(order)

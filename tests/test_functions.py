@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import keywords as K
@@ -83,4 +85,39 @@ def test_records(spark):
     assert one(spark, same) == "m@" + hashlib.sha256(settings.encode()).hexdigest()[:16]
     assert [one(spark, T.service_language(F.lit(x))) for x in (" ZH ", "eng", "fr")] == ["Chinese", "English", "fr"]
     assert one(spark, R.flatten_seeds(F.lit('{"a": ["x", {"term": "y", "z": "w"}], "b": "x"}'))) == ["x", "y"]
-    assert one(spark, R.generated_texts(F.lit('{"data": ["long enough", "no"]}'))) == ["long enough"]
+    clean = lambda text: tuple(one(spark, R.clean_result(F.lit(text))))
+    body = {"clean_text": " hello world ", "domain_keywords": ["a", 1], "itn_types": "none"}
+    for wrapped in (body, [body], {"data": [body, {}]}, {"results": "x", "items": [body]}):
+        assert clean(json.dumps(wrapped)) == ("hello world", ["a", "1"], [])
+    for wrong in ("none", "[]", '{"data": []}', '{"clean_text": "abc"}', '{"clean_text": 5}', '["hello world"]', None):
+        assert clean(wrong) == (None, None, None)
+    oral = tuple(one(spark, R.oral_result(F.lit('So: {"oral_text": "um hello", "speech_phenomena": "x", "selected_seeds": ["s"]}'))))
+    assert oral == ("um hello", ["s"], None)
+    keys = {'{"name": "0", "title": "Dog"}': "0", '{"name": 0.0, "title": "Dog"}': "dog", '{"name": "false"}': "false", '{"name": false, "text": "T"}': "t", '{"name": [], "value": 7}': "7", "x  Y": "x y", '{"name": null, "term": "Cat"}': "cat"}
+    for seed, want in keys.items():
+        assert one(spark, R.structured_seed_key(F.lit(seed))) == want, seed
+    assert one(spark, T.redact(F.lit("key sk-1 " + "x" * 600), F.lit("sk-1"))) == "key [REDACTED] " + "x" * 485
+    assert one(spark, T.redact(F.lit("plain"), F.lit(""))) == "plain" and one(spark, T.redact(F.lit("plain"), F.lit(None).cast("string"))) == "plain"
+
+
+def test_phrases_before_characters(spark):
+    rng, chars = random.Random(2), {"a": "1", "b": "2"}
+    phrases = {"ab": "X", "abc": "Y", "bcd": "Z", "ca": "W", "dd": ""}
+    texts = ["".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+
+    def plain(t):
+        out, at = "", 0
+        while at < len(t):
+            k = max((p for p in phrases if t.startswith(p, at)), key=len, default=None)
+            out, at = (out + phrases[k], at + len(k)) if k else (out + chars.get(t[at], t[at]), at + 1)
+        return out
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(T.longest_match(F.col("t"), phrases, chars)).collect()] == [plain(t) for t in texts]
+    same = rows.select(T.longest_match(F.col("t"), {}, chars).alias("a"), F.translate("t", "ab", "12").alias("b")).collect()
+    assert all(r.a == r.b for r in same)
+    assert one(spark, T.longest_match(F.lit(None).cast("string"), phrases)) is None
+    with pytest.raises(ValueError):
+        T.longest_match(F.lit("x"), {"": "y"})
+    # a character whose reading hangs on its neighbours
+    assert one(spark, T.metric_form(F.lit("頭髮，乾隆"), phrases={"乾隆": "乾隆"})) == "头发 乾隆"

@@ -47,7 +47,7 @@ def test_first_passing(spark):
 
 
 def test_precheck_and_verdict(spark):
-    cases = [("x" * 10, "y" * 41, "abnormal expansion"), ("x" * 10, "y" * 40, None), ("x" * 100, "y" * 150, None), ("", "y", "empty"), ("ab", "ab", "too short")]
+    cases = [("x" * 10, "y" * 41, "abnormal expansion: input=10 refined=41"), ("x" * 10, "y" * 40, None), ("x" * 100, "y" * 150, None), ("", "y", "input or refined_text is empty"), ("ab", "ab", "input is too short to contain substantive content: 'ab'"), ("'\n", "ab", "input is too short to contain substantive content: \"'\\n\"")]
     rows = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
     assert [r.x for r in rows.select(curate.precheck(F.col("a"), F.col("b")).alias("x")).collect()] == [c[2] for c in cases]
     said = ['{"pass": false}', "{}", "True.", "false", "maybe", '{"pass": "false"}', '{"pass": false, "detail": {"pass": true}}', None]
@@ -143,12 +143,13 @@ def test_finalize(spark):
 
 
 def test_seed_helpers(spark):
-    seeds = spark.createDataFrame([("s", "b", 2, ["x" * 30, "y"]), ("s", "a", 1, [f"w{i}" for i in range(9)]), ("s", "c", 3, [])], "scene string, category string, place int, words array<string>")
-    assert curate.exclusion_hint(seeds).first().hint == "a: w0, w1, w2, w3, w4...\nb: " + "x" * 20 + ", y..."
+    rows = [("s", "b", 50, "x" * 30), ("s", "b", 51, "y"), ("s", "b", 52, '{"artist": "' + "z" * 30 + '"}'), *[("s", "a", 10 + i, f"w{i}") for i in range(9)], ("s", "c", 70, None)]
+    seeds = spark.createDataFrame(rows, "scene string, category string, ord long, seed string")
+    assert curate.exclusion_hint(seeds).first().hint == "a: w0, w1, w2, w3, w4...\nb: " + "x" * 20 + ", y, " + "z" * 30 + "..."
     assert curate.exclusion_hint(seeds, most=1).first().hint == "a: w0, w1, w2, w3, w4..."
     words = spark.range(1).select(curate.seed_list(F.array(*[F.lit(f"w{i % 40}") for i in range(80)]), F.col("id")).alias("x")).first().x
     assert len(set(words.split(", "))) == 30
-    assert [(r.have, r.rounds) for r in curate.seed_rounds(seeds.select("scene"), 1000, 200).collect()] == [(3, 5)]
+    assert [(r.have, r.rounds) for r in curate.seed_rounds(seeds.select("scene").limit(3), 1000, 200).collect()] == [(3, 5)]
 
 
 def test_prompts(spark):

@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.sources import admin, files
+from scriptorium.sources import admin, audio, files
 from scriptorium.streaming import live
 
 
@@ -63,9 +63,9 @@ def test_split_cache_and_order(spark, tmp_path):
     files.write_split(rows, F.lit(True), str(tmp_path / "k2"), str(tmp_path / "r2"))
     assert not files.exists(spark, str(tmp_path / "r2"))
     cache = spark.createDataFrame([], "key string, value string")
-    found, new = files.cached(rows, cache, ["t"], lambda x: x.withColumn("value", F.concat(F.lit("v"), "t")))
+    found, new = files.cached(rows, cache, ["t"], lambda x: x.withColumn("value", F.concat(F.lit("v"), "t")), str(tmp_path / "new"))
     assert {r.value for r in found.collect()} == {"v0", "v1", "v2"} and new.count() == 3
-    again, none = files.cached(rows, new.select("key", "value"), ["t"], lambda x: x.withColumn("value", F.lit("never")))
+    again, none = files.cached(rows, new.select("key", "value"), ["t"], lambda x: x.withColumn("value", F.lit("never")), str(tmp_path / "none"))
     assert none.count() == 0 and "never" not in {r.value for r in again.collect()}
     assert files.with_order(rows).select("ord").distinct().count() == 10
 
@@ -75,7 +75,7 @@ def test_wave_windows(spark, tmp_path):
     stereo = b"".join(struct.pack("<hh", round(32767 * x), 0) for x in samples)
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(stereo), b"WAVE", b"fmt ", 16, 1, 2, 16000, 64000, 4, 16, b"data", len(stereo))
     (tmp_path / "a.wav").write_bytes(head + stereo)
-    rows = files.read_wav(spark, str(tmp_path / "a.wav")).orderBy("seq").collect()
+    rows = audio.read_wav(spark, str(tmp_path / "a.wav")).orderBy("seq").collect()
     assert len(rows) == 2 + 31 and all(len(r.window) == 512 for r in rows)
     assert abs(rows[0].window[0] - 0.25) < 1e-3 and rows[1].window[487] > 0.2 and rows[1].window[488] == 0 == rows[-1].window[0]
 
