@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import records as R
 from ..functions import text as T
-from ..operators import curate, evaluate, finalize, generators, models, prompts, waves
+from ..operators import curate, dedup, evaluate, finalize, generators, models, prompts, waves
 from ..sources import audio, files, results
 from ..streaming import live, speech, stateful
-from .catalog import place, query, table
+from .catalog import SQL, place, query, table
 from .registry import _PAIRS, _REFINED, _RUNS, _STRIP, _WINDOWS, _ascii, _pairs
 
 
@@ -222,6 +222,16 @@ def latest_kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+@query(SQL["near_dedup_greedy"])
+def dedup_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, when four batches come one after the other and meet what has been retained before."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    cuts = docs.agg(F.percentile_approx("id", F.array(F.lit(0.1), F.lit(0.4), F.lit(0.7))).alias("q")).first().q
+    held = dedup.Retained(spark, place(spark, "retained"))
+    kept = [held.add(docs.where(part), k) for k, part in enumerate((F.col("id") <= cuts[0], F.col("id").between(cuts[0] + 1, cuts[1]), F.col("id").between(cuts[1] + 1, cuts[2]), F.col("id") > cuts[2]))]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3]).select(F.col("id").alias("doc_id"))
+
+
 # --- summaries ---
 
 _SUMMARY = rf"""{_PAIRS}, q AS (SELECT conv_id || ':' || turn AS sample_id, CASE WHEN conv_id % 3 = 0 THEN 'filter' ELSE 'content' END AS category, CASE WHEN conv_id % 2 = 0 THEN 'meeting' ELSE 'daily_chat' END AS scene,

@@ -27,6 +27,32 @@ def test_near_dedup_equals_sequential_pass(spark):
         assert sorted(r.id for r in dedup.near_dedup(rows.repartition(n), "id", "t").collect()) == kept
 
 
+def test_batches_meet_what_is_retained(spark, tmp_path):
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abc ") for _ in range(30)) for _ in range(12)]
+    texts = ["", None, "  "] + [rng.choice(base)[: rng.randint(23, 30)] + rng.choice(["", "x", "yz"]) for _ in range(90)] + ["", " "]
+    kept = []
+    for i, t in enumerate(texts):
+        if not t or not any(texts[k] and len(grams(t) & grams(texts[k])) / len(grams(t) | grams(texts[k])) >= 0.75 for k in kept):
+            kept.append(i)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    held, got = dedup.Retained(spark, str(tmp_path / "r")), []
+    for k, (a, b) in enumerate(((0, 5), (5, 6), (6, 40), (40, 60), (60, 60), (60, len(texts)))):
+        part = rows.where(F.col("id").between(a, b - 1))
+        if k == 3:  # a batch that dies before its commit is sent again
+
+            def die(name):
+                if name == "pointer":
+                    raise RuntimeError
+
+            with pytest.raises(RuntimeError):
+                dedup.Retained(spark, str(tmp_path / "r"), step=die).add(part, k)
+        found = sorted(r.id for r in held.add(part, k).collect())
+        assert found == sorted(r.id for r in held.add(part, k).collect())
+        got += found
+    assert sorted(got) == kept
+
+
 def test_greedy_on_a_path(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     assert [r.id for r in dedup.greedy(edges).collect()] == [2]
