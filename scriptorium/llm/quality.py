@@ -1,10 +1,11 @@
 """Quality rules with weak supervision.
 
-Rules read a text's statistics and vote keep (1), reject (2) or abstain (0). A two-class model with
-conditionally independent votes, fitted by expectation-maximisation without labels, gives each rule's
-accuracy in each class; a text's verdict is its posterior probability of good quality.
+Rules read a text's statistics and give it a grade from 1 (sound) to 5 (poor), or abstain (0). A two-class model with
+conditionally independent votes, fitted by expectation-maximisation without labels, gives how often each rule gives each
+grade to good and to bad texts; a text's verdict is its posterior probability of good quality. No rule rejects a
+text by itself, and no grade has a fixed weight.
 
-The model needs only how often each vote pattern occurs: at most 3 ** rules counts, over all documents.
+The model needs only how often each vote pattern occurs: at most 6 ** rules counts, over all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ from .blocks import SPACE, Hasher, per_doc, ranges, spans, text_bytes, tidy, win
 from .store import written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bare", "n_lines", "n_kinds", "n_shout")
-RULES = ("symbols", "repeats", "capitals", "word_length", "kinds", "shouts")
+#: The rules, with the values of their trait from which on the grade is 2, 3, 4 and 5. Most good texts have grades over 1 somewhere.
+RULES = {
+    "symbols": (0.005, 0.02, 0.1, 0.3), "repeats": (0.005, 0.05, 0.15, 0.25), "lines": (0.02, 0.15, 0.3, 0.6), "capitals": (0.04, 0.1, 0.25, 0.4),
+    "word_length": (0.15, 0.3, 0.5, 0.9), "kinds": (0.04, 0.08, 0.15, 0.3), "shouts": (0.001, 0.01, 0.05, 0.1),
+}
+GRADES = 5
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -70,32 +76,27 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
-    """One column a rule: 0 abstain, 1 keep, 2 reject. Texts under 20 words get only abstentions.
+    """One column a rule: 0 abstain, else the grade. Texts under 20 words get only abstentions; rules on lines and capitals
+    abstain on texts with one line and with under 20 ASCII letters.
 
     The model takes rules to be independent given the quality, so traits that go together share a rule: signs and
-    words of signs alone, repeated words and repeated lines. The variety of words is the logarithm of the distinct
-    ones over that of all, which hardly depends on a text's length."""
+    words of signs alone. The length of words counts by its distance from five and a half characters, as a logarithm; the variety of
+    words is the logarithm of the distinct ones over that of all, which hardly depends on a text's length."""
     words = np.maximum(1, s["n_words"])
 
     def share(part, whole):
         return part / np.maximum(1, whole)
 
-    def vote(keep, reject):
-        return np.where(reject, 2, np.where(keep, 1, 0))
-
-    long = s["word_chars"] / words
-    signs, bare = share(s["n_symbols"], words), share(s["n_bare"], words)
-    again, lines = share(s["n_repeat_words"], words), share(s["n_dup_lines"], s["n_lines"])
-    upper, shout = share(s["n_upper"], s["n_upper"] + s["n_lower"]), share(s["n_shout"], words)
-    kinds = np.log(np.maximum(1, s["n_kinds"])) / np.log(np.maximum(2, words))
-    out = np.stack([
-        vote((signs <= 0.02) & (bare <= 0.02), (signs >= 0.2) | (bare >= 0.1)),
-        vote((again <= 0.02) & (lines <= 0.1), (again >= 0.3) | (lines >= 0.6)),
-        vote(upper <= 0.15, upper >= 0.4),
-        vote((long >= 3) & (long <= 10), (long < 2) | (long > 14)),
-        vote(kinds >= 0.75, kinds <= 0.6),
-        vote(shout <= 0.01, shout >= 0.1),
-    ], axis=1)
+    letters = s["n_upper"] + s["n_lower"]
+    traits = {
+        "symbols": np.maximum(share(s["n_symbols"], words), share(s["n_bare"], words)), "repeats": share(s["n_repeat_words"], words), "lines": share(s["n_dup_lines"], s["n_lines"]),
+        "capitals": share(s["n_upper"], letters), "word_length": np.abs(np.log(np.maximum(0.1, s["word_chars"] / words) / 5.5)),
+        "kinds": 1 - np.log(np.maximum(1, s["n_kinds"])) / np.log(np.maximum(2, words)), "shouts": share(s["n_shout"], words),
+    }
+    out = np.stack([np.searchsorted(RULES[k], traits[k], side="right") + 1 for k in RULES], axis=1)
+    names = list(RULES)
+    out[s["n_lines"] < 2, names.index("lines")] = 0
+    out[letters < 20, names.index("capitals")] = 0
     out[s["n_words"] < 20] = 0
     return out
 
@@ -104,25 +105,36 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, precision: float = 2 / 3) -> dict:
-    """EM over distinct vote patterns. Starts from suspicion of every text that some rule rejects.
+def rising(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The rising sequence nearest to ``share`` by weighted squares: neighbours that fall are pooled."""
+    pools: list[list[float]] = []
+    for x, w in zip(share, weight):
+        pools.append([x, w, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (x1, w1, n1), (x2, w2, n2) = pools[-2:]
+            pools[-2:] = [[(x1 * w1 + x2 * w2) / max(w1 + w2, 1e-12), w1 + w2, n1 + n2]]
+    return np.concatenate([np.full(n, x) for x, _, n in pools])
 
-    As usual in weak supervision, a rule's votes are taken to be better than chance, without which the classes have
-    no meaning and one class may end up empty: of the texts that a rule rejects, at least the share ``precision`` is
-    taken to be bad. Vote frequencies are smoothed by a tenth of a count and rounded, so that results don't hang on
-    summation order."""
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> dict:
+    """EM over distinct vote patterns. Starts from the mean grade of each, so no rule and no grade decides.
+
+    The classes get their meaning from the order of grades alone: of the texts with a higher grade of a rule no smaller share is
+    bad, whatever else they are, so grades that say otherwise are pooled (isotonic regression). Vote frequencies are smoothed by a tenth of
+    a count and posteriors rounded, so that results don't hang on summation order."""
     patterns, counts = np.asarray(patterns, int).reshape(-1, len(RULES)), np.asarray(counts, float)
-    good = np.where((patterns == 2).any(1), 0.1, 0.9)
-    prior, table = 0.9, np.full((2, len(RULES), 3), 1 / 3)
+    voted = np.maximum(1, (patterns > 0).sum(1))
+    good = 1 - np.clip((patterns.sum(1) / voted - 1) / (GRADES - 1), 0.02, 0.98)
+    prior, table = 0.5, np.full((2, len(RULES), GRADES + 1), 1 / (GRADES + 1))
     for _ in range(rounds if len(patterns) else 0):
-        mass = np.array([counts @ (1 - good), counts @ good])
-        said = np.array([[w @ (patterns == v) for v in range(3)] for w in (counts * (1 - good), counts * good)])
-        moved = np.maximum(0, said[1, 2] - (1 - precision) * said[:, 2].sum(0))
-        said[0, 2] += moved
-        said[1, 2] -= moved
-        for c in (0, 1):
-            table[c] = ((said[c] + 0.1) / (said[c].sum(0) + 0.3)).T
-        prior = (mass[1] + 0.5) / (counts.sum() + 1)
+        for j in range(len(RULES)):
+            bad, sound = (np.bincount(patterns[:, j], w, GRADES + 1) for w in (counts * (1 - good), counts * good))
+            seen = bad[1:] + sound[1:]
+            share = rising(bad[1:] / np.maximum(seen, 1e-12), seen)
+            bad[1:], sound[1:] = seen * share, seen * (1 - share)
+            for c, n in ((0, bad), (1, sound)):
+                table[c, j] = (n + 0.1) / (n.sum() + 0.1 * (GRADES + 1))
+        prior = (counts @ good + 0.5) / (counts.sum() + 1)
         new = posterior(patterns, {"prior": prior, "table": table})
         if np.abs(new - good).max() < 1e-9:
             break
@@ -132,17 +144,15 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, precision:
 
 def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
     """Probability of good quality of each pattern; an abstention is no evidence."""
-    logs = np.log(model["table"])
-    said = patterns[:, :, None] == np.arange(3)
-    said = said & (np.arange(3) > 0)
-    bad, good = ((said * logs[c]).sum((1, 2)) for c in (0, 1))
+    logs = np.where(np.arange(GRADES + 1) > 0, np.log(model["table"]), 0)
+    bad, good = (sum((logs[c, j][patterns[:, j]] for j in range(len(RULES))), np.zeros(len(patterns))) for c in (0, 1))
     return np.round(1 / (1 + np.exp(np.clip(bad - good + np.log1p(-model["prior"]) - np.log(model["prior"]), -50, 50))), 6)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` as _0, _1 and so on, whatever their names, plus _stats, a struct of the statistics and the
     vote pattern (base 3)."""
-    scale = 3 ** np.arange(len(RULES))
+    scale = (GRADES + 1) ** np.arange(len(RULES))
 
     def run(batches):
         for b in batches:
@@ -162,7 +172,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds _failed, _quality (posterior) and _kept to the rows of ``measure``, which should be a written
-    table as it is read twice. The driver gets at most 3 ** len(RULES) = 729 pattern counts.
+    table as it is read twice. The driver gets at most 6 ** 7 = 279,936 pattern counts, and sends as many posteriors.
 
     Null and empty texts have no words and fail; repeated rows and ties get equal verdicts; long texts are read
     whole."""
@@ -170,7 +180,7 @@ def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     failed = base_failed(F.col("_stats.n_words"), F.col("_stats.n_repeat_words"))
     counted = sorted((r[0], r[1]) for r in measured.where(~failed).groupBy("_stats.pattern").count().collect())
     codes = np.array([c for c, _ in counted], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(len(RULES)) % 3
+    patterns = codes[:, None] // (GRADES + 1) ** np.arange(len(RULES)) % (GRADES + 1)
     model = fit(patterns, np.array([n for _, n in counted], float))
     probs = posterior(patterns.reshape(-1, len(RULES)), model)
     table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, probs)], "_pattern long, _known double")

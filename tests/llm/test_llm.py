@@ -373,23 +373,31 @@ def brute_statistics(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
 
-def brute_em(rows, rounds=200, precision=2 / 3):
-    """EM over single texts, in plain Python."""
-    n, k = len(rows), len(quality.RULES)
-    good, model = [0.1 if 2 in r else 0.9 for r in rows], None
+def brute_rising(share, weight):
+    """The best rising sequence by the min-max formula."""
+    n = len(share)
+    mean = lambda a, b: sum(share[i] * weight[i] for i in range(a, b + 1)) / max(1e-12, sum(weight[a : b + 1]))
+    return [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+
+
+def brute_em(rows, rounds=500):
+    """The quality model, row by row."""
+    n, k = len(rows), len(rows[0])
+    good = [1 - min(0.98, max(0.02, (sum(r) / max(1, sum(v > 0 for v in r)) - 1) / 4)) for r in rows]
     for _ in range(rounds):
-        table = [[[0.0] * 3 for _ in range(k)] for _ in range(2)]
+        table = [[[0.0] * 6 for _ in range(k)] for _ in range(2)]
         for r, g in zip(rows, good):
             for j, v in enumerate(r):
                 table[0][j][v] += 1 - g
                 table[1][j][v] += g
         for j in range(k):
-            over = max(0.0, table[1][j][2] - (1 - precision) * (table[0][j][2] + table[1][j][2]))
-            table[0][j][2] += over
-            table[1][j][2] -= over
+            seen = [table[0][j][v] + table[1][j][v] for v in range(1, 6)]
+            share = brute_rising([table[0][j][v] / max(1e-12, seen[v - 1]) for v in range(1, 6)], seen)
+            for v in range(1, 6):
+                table[0][j][v], table[1][j][v] = seen[v - 1] * share[v - 1], seen[v - 1] * (1 - share[v - 1])
             for c in range(2):
                 total = sum(table[c][j])
-                table[c][j] = [(x + 0.1) / (total + 0.3) for x in table[c][j]]
+                table[c][j] = [(x + 0.1) / (total + 0.6) for x in table[c][j]]
         prior = (sum(good) + 0.5) / (n + 1)
         new = []
         for r in rows:
@@ -406,12 +414,20 @@ def brute_em(rows, rounds=200, precision=2 / 3):
 
 def test_quality_model_against_brute_force():
     rng = random.Random(6)
-    rows = [tuple(rng.choices((0, 1, 2), (2, 9, 1))[0] for _ in quality.RULES) if rng.random() < 0.3 else (1,) * len(quality.RULES) for _ in range(300)]
-    kinds = sorted(Counter(rows).items())
-    patterns = np.array([p for p, _ in kinds])
-    model = quality.fit(patterns, np.array([c for _, c in kinds], float))
-    found = dict(zip([p for p, _ in kinds], quality.posterior(patterns, model)))
-    assert all(abs(found[r] - g) < 1e-4 for r, g in zip(rows, brute_em(rows)))
+    for bad_share in (0.3, 0.05):
+        rows = []
+        for _ in range(300):
+            odds = (1, 1, 2, 3, 5, 8) if rng.random() < bad_share else (1, 9, 4, 2, 1, 0.2)
+            rows.append(tuple(rng.choices(range(6), odds)[0] for _ in quality.RULES))
+        kinds = sorted(Counter(rows).items())
+        patterns = np.array([p for p, _ in kinds])
+        model = quality.fit(patterns, np.array([c for _, c in kinds], float))
+        found = dict(zip([p for p, _ in kinds], quality.posterior(patterns, model)))
+        assert all(abs(found[r] - g) < 1e-4 for r, g in zip(rows, brute_em(rows)))
+        # a worse grade is never evidence of better quality
+        ratio = np.log(model["table"][0]) - np.log(model["table"][1])
+        counts = np.array([[sum(c for p, c in kinds if p[j] == v) for v in range(1, 6)] for j in range(len(quality.RULES))])
+        assert all((np.diff(ratio[j, 1:][counts[j] > 5]) > -0.5).all() for j in range(len(quality.RULES)))
 
 
 def test_quality(spark, docs, odd):
