@@ -70,7 +70,7 @@ def traceable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose keywords pass: their own words do, common ones and, in some, those of no text don't."""
     docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
     words = F.coalesce(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)), F.array().cast("array<string>"))
-    held = F.when(k == 1, F.concat(words, F.array(F.lit("the")))).when((k == 2) & (F.size(words) > 0), F.array(F.lit("ЖЩЖЩЖЩ"), F.lit("0918273645"))).otherwise(words)
+    held = F.when(k == 1, F.concat(words, F.array(F.lit("the")))).when((k == 2) & (F.size(words) > 0), F.array(F.lit("ЖЩЖЩЖЩ"))).otherwise(words)
     rows = docs.select("doc_id", F.col("text").alias("input"), F.lit("").alias("oral_text"), F.struct(F.col("text").alias("refined_text"), held.alias("keyword_list")).alias("output"))
     return K.traceable(rows).select("doc_id")
 

@@ -18,7 +18,7 @@ from .catalog import QUERIES, SQL, place, query, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import jobs, records, runs  # noqa: F401 - their queries join the catalogue
+    from . import jobs, parts, records, runs  # noqa: F401 - their queries join the catalogue
 
     return dict(QUERIES)
 
@@ -369,10 +369,10 @@ def stable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, w AS word, w IN ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'on', 'for', 'is', 'are', 'was', 'were', 'we', 'you', 'they', 'this', 'that', 'need', 'should', 'maybe') AS common
-FROM (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '))) AS w FROM documents) WHERE w <> ''""")
+SELECT doc_id, w AS word, w IN ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'in', 'on', 'for', 'is', 'are', 'was', 'were', 'we', 'you', 'they', 'this', 'that', 'need', 'should', 'maybe') OR length(w) = 1 AND NOT regexp_matches(w, '[一-鿿A-Za-z0-9]') AS common
+FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS w FROM documents) WHERE w <> ''""")
 def keyword_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = K.dedupe(F.split(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " "))
+    words = K.dedupe(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).withColumn("common", K.is_common(F.col("word")))
 
 

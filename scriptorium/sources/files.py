@@ -102,6 +102,14 @@ def _replace(spark: SparkSession, source, target) -> None:
     context.rename(context.makeQualified(source), context.makeQualified(target), options)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file another name, in a folder that is made if it is missing; what is there goes, in one step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(target)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(to.getParent())
+    _replace(spark, hadoop.Path(source), to)
+
+
 def read_scenes(spark: SparkSession, folder: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
     """All files of a folder, with scene, the file's stem."""
     if not children(spark, folder):
