@@ -67,10 +67,25 @@ def _grams(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 class PPM:
-    """The frozen model: for each order a table of (context, byte) with its cost in every language, and one
-    of contexts with their escape costs. At most ``languages * sample bytes * (order + 1)`` entries."""
+    """The frozen model of all languages, in groups of ``together``: a language's costs hang on its own texts alone, so groups
+    change no result, and the tables grow with the languages, not with their square."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = 4):
+    def __init__(self, texts: dict[str, list[str]], order: int = 4, together: int = 8):
+        self.order, self.languages = order, sorted(texts)
+        self.groups = [_Group({n: texts[n] for n in self.languages[i : i + together]}, order) for i in range(0, len(self.languages), together)]
+
+    def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Code length of each document in each language, in 1/4096 bits."""
+        if not self.groups:
+            return np.zeros((len(off) - 1, 0), np.int64)
+        return np.concatenate([g.bits(data, off) for g in self.groups], axis=1)
+
+
+class _Group:
+    """For each order a table of (context, byte) with its cost in every language of the group, and one of contexts with their escape
+    costs. At most ``languages * sample bytes * (order + 1)`` entries."""
+
+    def __init__(self, texts: dict[str, list[str]], order: int):
         self.order, self.languages = order, sorted(texts)
         n = len(self.languages)
         self.costs: list[tuple[_Table, np.ndarray]] = []
@@ -101,7 +116,7 @@ class PPM:
             self.escapes.append((_Table(contexts), escape.astype(np.int32)))
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Code length of each document in each language, in 1/4096 bits."""
+        """Code length of each document in each language of the group."""
         n = len(self.languages)
         out = np.zeros((len(off) - 1, n), np.int64)
         if not len(data) or not n:
@@ -134,20 +149,24 @@ def held_out(doc_id: str, parts: int, remainder: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts == remainder
 
 
-def train(docs: DataFrame, text: str, lang: str, docs_per_language: int = 240, max_chars: int = 12_000, order: int = 4, languages: int = 64) -> PPM:
-    """Fit on a bounded sample: of each of the ``languages`` most frequent languages the ``docs_per_language`` different
-    texts with the smallest hashes, cut to ``max_chars`` characters. Alike at any partitioning, however often a text is
-    repeated. Null texts and languages are left out."""
+def train(docs: DataFrame, text: str, lang: str, docs_per_language: int = 240, max_chars: int = 12_000, order: int = 4, sample_chars: int = 12_000_000) -> PPM:
+    """Fit on a bounded sample: of each language the ``docs_per_language`` different texts with the smallest hashes, cut to
+    ``max_chars`` characters, as many of them as an even share of ``sample_chars`` for all languages takes, one at least. Alike at
+    any partitioning, however often a text is repeated; every language is learned. Null texts and languages are left out. The driver
+    gets a row for each language."""
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("l"), F.left(F.col(f"`{text}`"), F.lit(max_chars)).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
-    kinds = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("kinds")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    kinds = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("kinds")).collect()
     if not kinds:
         return PPM({}, order)
-    share = F.create_map(*[F.lit(x) for r in kinds for x in (r.l, min(1.0, 4 * docs_per_language / max(1, r.kinds)) * 1e6)])
-    picked = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")]).distinct()
-    first = picked.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("i") <= docs_per_language)
+    most = max(1, min(docs_per_language, sample_chars // len(kinds)))
+    shares = docs.sparkSession.createDataFrame([(r.l, min(1.0, 4 * most / max(1, r.kinds)) * 1e6) for r in kinds], "l string, _share double")
+    picked = rows.join(F.broadcast(shares), "l").where(F.pmod("h", F.lit(1_000_000)) < F.col("_share")).select("l", "t", "h").distinct()
+    order_ = Window.partitionBy("l").orderBy("h", "t")
+    before = F.sum(F.length("t").cast("long")).over(order_.rowsBetween(Window.unboundedPreceding, -1))
+    first = picked.withColumn("i", F.row_number().over(order_)).where(F.col("i") <= most).withColumn("before", F.coalesce(before, F.lit(0)))
     texts: dict[str, list[str]] = {}
-    for r in first.select("l", "t").collect():
+    for r in first.where(F.col("before") < sample_chars // len(kinds)).select("l", "t").collect():
         texts.setdefault(r.l, []).append(r.t)
     return PPM({k: sorted(v) for k, v in texts.items()}, order)
 

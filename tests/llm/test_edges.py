@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, fingerprint, licenses, quality, sentencepiece_sa, store, toxicity, warc
+from scriptorium.llm import chat, fingerprint, langid, licenses, quality, sentencepiece_sa, store, toxicity, warc
 from scriptorium.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -193,3 +193,20 @@ def test_a_record_that_is_cut_raises():
     archive.add(warc.record(1, "u", b"data", warc.sha1(b"data"), None, False))
     with pytest.raises(ValueError, match="cut|frame"):
         list(warc.frames(archive.data[:-1]))
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(12)] for k in range(90)}
+    texts = {n: [" ".join(rng.choices(w, k=40)) for _ in range(4)] for n, w in words.items()}
+    whole, parted = (langid.PPM(texts, 3, together=n) for n in (90, 8))
+    data = "".join(rng.choice(t) for t in list(texts.values())[:20]).encode()
+    off = np.array([0, 100, 100, len(data)])
+    assert (whole.bits(np.frombuffer(data, np.uint8), off) == parted.bits(np.frombuffer(data, np.uint8), off)).all()
+    rows = [(i, t, n) for i, (n, ts) in enumerate(texts.items()) for t in ts]
+    df = spark.createDataFrame([*rows, (1, None, "l000"), (2, "x", None)], "doc_id long, text string, lang string")
+    model = langid.train(df, "text", "lang", sample_chars=90 * 250)
+    assert model.languages == sorted(texts)
+    held = spark.createDataFrame([(n, " ".join(rng.choices(w, k=30))) for n, w in words.items()], "n string, text string")
+    got = langid.identify(held, model, "text", ("n",)).collect()
+    assert sum(r.n == r.lang_pred for r in got) == 90
