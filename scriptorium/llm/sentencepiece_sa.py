@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import tidy
+
 MARK = "▁"
 #: Words whose ids a worker remembers, and pairs of pieces whose stability it remembers.
 REMEMBERED, PAIRS = 800_000, 1_000_000
@@ -298,24 +300,31 @@ def model(path: str) -> Model:
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and lossless (the decoded text is the
-    text) of each row; a null or empty text has no pieces."""
+    text) of each row; a null or empty text has no pieces.
+
+    Equal texts, and so repeated rows, get equal pieces; of two merges of equal score the left one goes first; texts are read
+    whole, however long; keys may be null; other columns, whatever their names, are not read."""
 
     def run(batches):
-        held = model(path)
+        held, was = model(path), gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the many small objects would be scanned again and again
-        for b in batches:
-            keys, texts = b.columns
-            for i in range(0, len(b), 2000):
-                part = [t or "" for t in texts[i : i + 2000].to_pylist()]
-                ids = held.encode(part)
-                back = [held.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys[i : i + 2000], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(part, back)], pa.bool_()),
-                    ],
-                    names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
-                )
+        try:
+            for b in batches:
+                keys, texts = b.columns
+                for i in range(0, len(b), 2000):
+                    part = [t or "" for t in texts[i : i + 2000].to_pylist()]
+                    ids = held.encode(part)
+                    back = [held.decode(x) for x in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            keys[i : i + 2000], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(part, back)], pa.bool_()),
+                        ],
+                        names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"],
+                    )
+        finally:  # the worker lives on
+            if was:
+                gc.enable()
 
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    return src.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return src.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")

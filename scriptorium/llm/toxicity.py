@@ -176,7 +176,8 @@ def fit(rows: list[tuple[str, int]], kept: dict[str, float]) -> Lexicon:
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 2500, max_chars: int = 12_000, size: int = 2000) -> Lexicon:
     """Fit on a bounded sample of labelled rows without repeats: at most ``per_class`` texts of each class, those with the
-    smallest hashes, each cut to ``max_chars`` characters. Null texts and labels are left out."""
+    smallest hashes, each cut to ``max_chars`` characters. The lexicon has at most ``size`` entries, those that explain most
+    texts first. Null texts and labels are left out."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.left(text, F.lit(max_chars)).alias("t"), (F.col(label) > 0).cast("int").alias("y"))
     rows = rows.distinct().withColumn("h", F.xxhash64("t"))
     sample = sorted((r.t, r.y) for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "t").limit(per_class).collect())
