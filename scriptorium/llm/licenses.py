@@ -113,18 +113,30 @@ DIGESTS: dict[str, tuple[str, ...]] = {
 }
 #: What follows "copyright" in the wording of licences, where a wrapped line may begin with it.
 WORDING = ("holders", "holder", "owners", "owner", "notices", "notice", "license", "licenses", "licence", "law", "laws", "statement", "interest", "and", "or", "in", "on", "to", "is")
-#: Steps (pattern, replacement) from text to canonical text; plain enough to mean the same in Java and RE2.
+#: Steps from text to canonical text: marks without one of which a text stays as it is, and (pattern, replacement) in turn; plain
+#: enough to mean the same in Java and RE2.
 STEPS = (
-    (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*$", " "),
-    # lines of a holder without a year; wording is tied by a sign that goes away below; (c) alone also numbers items
-    *((rf"copyright[ \t]+{w}\b", f"copyright_{w}") for w in WORDING),
-    (r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©)|copyright[ \t]*:?[ \t]+[\p{L}\p{N}<\[{\"']|©|\(c\)[ \t]*copyright[ \t])[^\n]*", " "),
-    (r"(?m)^[^\p{L}\p{N}\n]*\(c\)[ \t]+[^\n]*\b(inc|llc|ltd|corp|corporation|gmbh|foundation|affiliates|contributors|authors)\b[^\p{L}\p{N}\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|zlib|bsd)( [23]-clause)? licen[cs]e[^a-z0-9\n]*$", " "),
-    (r"https?://", "http "),
-    (r"[^\p{L}\p{N}]+", " "),
-)
+    (("copyright", "(c)", "©"), (
+        (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*[0-9][0-9][0-9][0-9][^\n]*$", " "),
+        # lines of a holder without a year; wording is tied by a sign that goes away below; (c) alone also numbers items
+        (rf"copyright[ \t]+({'|'.join(WORDING)})\b", "copyright_$1"),
+        (r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©)|copyright[ \t]*:?[ \t]+[\p{L}\p{N}<\[{\"']|©|\(c\)[ \t]*copyright[ \t])[^\n]*", " "),
+        (r"(?m)^[^\p{L}\p{N}\n]*\(c\)[ \t]+[^\n]*\b(inc|llc|ltd|corp|corporation|gmbh|foundation|affiliates|contributors|authors)\b[^\p{L}\p{N}\n]*$", " "),
+    )),
+    (("all rights reserved",), ((r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", " "),)),
+    (("license", "licence"), ((r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|zlib|bsd)( [23]-clause)? licen[cs]e[^a-z0-9\n]*$", " "),)),
+    (("http",), ((r"https?://", "http "),)),
+    (("",), ((r"[^\p{L}\p{N}]+", " "),)),
+)
+
+
+def _step(text: Column, marks: tuple[str, ...], patterns: tuple[tuple[str, str], ...]) -> Column:
+    done = lambda t: reduce(lambda x, s: F.regexp_replace(x, *s), patterns, t)
+    if marks == ("",):
+        return done(text)
+    has = lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(m)) for m in marks])
+    # in an array, so that the text before is computed once
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(has(t), done(t)).otherwise(t)), 1)
 
 
 def canonical(text: Column) -> Column:
@@ -132,7 +144,7 @@ def canonical(text: Column) -> Column:
     all engines agree."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     text = F.translate(F.coalesce(text, F.lit("")), upper, lower)
-    text = reduce(lambda t, s: F.regexp_replace(t, *s), STEPS, text)
+    text = reduce(lambda t, s: _step(t, *s), STEPS, text)
     # each word between blanks of its own, so neighbours don't share one
     text = F.concat(F.lit(" "), F.replace(F.trim(text), F.lit(" "), F.lit("  ")), F.lit(" "))
     text = reduce(lambda t, s: F.replace(t, *(F.lit(f" {x.replace(' ', '  ')} ") for x in s)), SPELLINGS, text)
@@ -161,8 +173,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: dict[s
     table = F.broadcast(known_digests(docs.sparkSession, known))
     names = F.create_map(*[F.lit(x) for name, t in sorted(known.items()) if "\n" not in t for x in (_plain(t), name)])
     # a line is worth its canonical form only if it has a licence's words at all
-    lines = F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
+    said, word = F.coalesce(F.col(f"`{text}`"), F.lit("")), "(?i)licen[cs]e"
+    lines = F.filter(F.split(said, "\n"), lambda x: x.rlike(word))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: names[canonical(x)]), lambda x: x.isNotNull())))
+    found = F.when(said.rlike(word), found).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(f"`{key}`").alias(key), digest(F.col(f"`{text}`")).alias("digest"), found.alias("notices"))
     return out.join(table, "digest", "left").select(key, "digest", "license", F.array_join("notices", ",").alias("notices"))
 
