@@ -43,6 +43,13 @@ def violations(rows: DataFrame, **required: Column) -> DataFrame:
     return rows.withColumn("violations", bad).where(F.size("violations") > 0)
 
 
+def parted(rows: DataFrame, **required: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, invalid rows with violations) by required text columns; every row is in one of them."""
+    bad = violations(rows, **required)
+    ok = ~F.greatest(*[blank(c) for c in required.values()], F.lit(False))
+    return rows.where(ok), bad
+
+
 def question_violations(questions: DataFrame) -> DataFrame:
     """Questions (sample_id, id, category, options) with an unknown category, no options, or a repeated id."""
     n = questions.groupBy("sample_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("category").alias("category"), F.min(F.size("options")).alias("options"))

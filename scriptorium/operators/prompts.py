@@ -115,6 +115,11 @@ def prompt_of(document: dict, key: str, fallback: str = "zh") -> dict[str, str]:
     return {"system": pick("system_prompts"), "user": pick("user_template")}
 
 
+def listed(document: dict, part: str = "system_prompts") -> list[str]:
+    """The scenes or languages that a part of a document has prompts for; names that begin with ``_`` are notes."""
+    return [k for k in document.get(part, {}) if not k.startswith("_")]
+
+
 def by_language(document: dict, language: Column, fallback: str = "zh", **fields: Column) -> Column:
     """A struct (system, user) of each row's prompt, by the language of the row; the template's fields are filled in."""
     names = sorted({*document.get("system_prompts", {}), *document.get("user_template", {})})

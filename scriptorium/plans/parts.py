@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
-from ..operators import curate, evaluate, models
+from ..operators import curate, evaluate, models, rubric
 from ..sources import admin, files
 from ..streaming import speech
 from .catalog import place, query, table
@@ -63,6 +63,41 @@ def rubric_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.question_violations(rows.drop("k").unionByName(rows.where("k = 0").drop("k")))
 
 
+@query("""SELECT item_id, CASE WHEN item_id % 8 < 4 THEN 'q' || i END AS question_id, CASE WHEN item_id % 8 < 4 THEN text END AS question,
+CASE item_id % 8 WHEN 0 THEN 'good=2;bad=-1' WHEN 1 THEN '很好=2;一般=1' WHEN 2 THEN 'a, b=1' WHEN 3 THEN 'x=3;y=0' END AS options,
+CASE item_id % 8 WHEN 4 THEN 'no evidence' WHEN 5 THEN 'a question twice' WHEN 6 THEN 'options that can''t be read' WHEN 7 THEN 'unknown category other' END AS violation
+FROM benchmark, range(2) r(i) WHERE item_id % 8 < 4 OR i = 0""")
+def rubric_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rubrics whose questions are the items' texts, with options in four forms; half of the samples have a fault."""
+    k = F.col("item_id") % 8
+    pair = lambda text, score: F.struct(F.lit(text).alias("text"), F.lit(score).alias("score"))
+    forms = F.when(k == 0, F.to_json(F.array(pair("good", 2), pair("bad", -1)))).when(k == 1, R.json_text(F.lit("很好（2），一般(1)"))).when(k == 2, F.lit('["a, b(1)"]'))
+    forms = forms.when(k == 6, R.json_text(F.lit("x(1) rest"))).otherwise(F.lit('["x (3)", {"text": "y", "score": 0}]'))
+
+    def one(i: int):
+        name = F.when((k == 5) | F.lit(i == 0), "q0").otherwise(f"q{i}")
+        fields = [("id", R.json_text(name)), ("category", R.json_text(F.when(k == 7, "other").otherwise("content"))), ("question", R.json_text(F.col("text"))), ("evidence", R.json_text(F.when(k == 4, " ").otherwise("e"))), ("options", forms)]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), c) for n, c in fields]), F.lit("}"))
+
+    head = F.concat(F.lit('{"source_record_id": "'), F.col("item_id").cast("string"), F.lit('", "audio": "a", "scene": "s", "oral": "o", "clean": "c", "qa": ['))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(head, one(0), F.lit(", "), one(1), F.lit("]}")).alias("value"))
+    shown = F.array_join(F.transform("options", lambda o: F.concat(o["text"], F.lit("="), o["score"].cast("string"))), ";")
+    return rubric.questions(rows).select("item_id", "question_id", "question", shown.alias("options"), "violation")
+
+
+@query("SELECT (SELECT count(*) FROM conversations WHERE turn % 4 = 3) AS valid, (SELECT count(*) FROM conversations WHERE turn % 4 <> 3) AS invalid, count(*) AS ready, count(*) FILTER (turn % 2 = 0) AS failed, (SELECT count(*) FROM conversations) - count(*) AS outside FROM conversations WHERE turn % 3 <> 0")
+def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run tells: turns with and without what they need, and samples that are ready, failed or outside."""
+    k, name = F.col("turn"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = table(spark, sf_dir, "conversations").withColumn("role", F.when(k % 4 == 0, None).otherwise(F.col("role"))).withColumn("text", F.when((k % 4 == 1) | (k % 4 == 2), "\n").otherwise(F.col("text")))
+    good, bad = evaluate.parted(rows, role=F.col("role"), text=F.col("text"))
+    outputs = table(spark, sf_dir, "conversations").select(name.alias("k"), F.when(k % 2 != 0, F.col("text")).alias("text"), F.lit("no audio").alias("error"))
+    sheet = table(spark, sf_dir, "conversations").select(name.alias("k"), F.when(k % 3 == 0, "failed").otherwise("success").alias("status"), F.array(F.lit(1)).alias("qa"))
+    ready = rubric.readiness(evaluate.match(outputs, sheet, "k"), outputs)
+    parts = good.agg(F.count(F.lit(1)).alias("valid")).join(bad.agg(F.count(F.lit(1)).alias("invalid")))
+    return parts.join(ready)
+
+
 @query(f"""SELECT doc_id, {_STRIP.format("text")} <> '' AS ok, CASE WHEN coalesce({_STRIP.format("text")}, '') = '' THEN 'input_error: blank text' WHEN length(text) % 5 = 0 THEN 'ValueError: a refiner must return one text for each input' END AS error,
 CASE WHEN coalesce({_STRIP.format("text")}, '') = '' OR length(text) % 5 = 0 THEN NULL ELSE {_STRIP.format("text")} END AS clean_text FROM documents""".replace(" <> '' AS ok", " <> '' AND length(text) % 5 <> 0 AS ok"))
 def refiner_contract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions import keywords as K
-from scriptorium.operators import curate, evaluate, finalize, generators, models, prompts, waves
-from scriptorium.plans import jobs
+from scriptorium.operators import curate, evaluate, finalize, generators, models, prompts, rubric, waves
 from scriptorium.sources import admin, audio, files, results
 from scriptorium.streaming import live, speech, stateful
 
@@ -512,3 +510,20 @@ def test_a_clock_timer_flushes_a_silent_session(spark, tmp_path):
     finally:
         query.stop()
     assert [(r.seq, r.start_index, r.settled) for r in got] == [(0, 0, []), (1, 0, []), (2, 2, ["a b"])]
+
+
+def test_rubrics_are_read_whole_or_not_at_all(spark):
+    question = {"id": "q", "category": "content", "question": "?", "evidence": "e", "options": [{"text": "a", "score": 1}, "b（-2）"]}
+    sample = {"source_record_id": "s", "audio": "a", "scene": "x", "oral": "o", "clean": "c", "qa": [question]}
+    assert rubric.read_sample(json.dumps(sample))[1][0]["options"] == [("a", 1), ("b", -2)]
+    assert rubric.read_options(" 很好 （ 2 ） , 一般(1)，c, d ( 0 )") == [("很好", 2), ("一般", 1), ("c, d", 0)]
+    for options in ("", "a", "a(1) b", [], None, ["a"], [{"text": " ", "score": 1}], [{"text": "a", "score": "1"}], [5], {"text": "a"}):
+        with pytest.raises(rubric.RubricError):
+            rubric.read_options(options)
+    faults = [sample | {"qa": []}, sample | {"oral": " "}, sample | {"qa": [question, question]}, sample | {"qa": [question | {"category": "x"}]}, sample | {"qa": ["q"]}, sample | {"source_record_id": 5}, [sample], "x"]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate([sample, *faults])] + [(99, None), (98, "{")], "i int, value string")
+    got = {r.i: (r.sample_id, r.question_id, r.violation) for r in rubric.questions(rows).collect()}
+    assert got.pop(0) == ("s", "q", None) and len(got) == 10 and all(a is None and b is None and c for a, b, c in got.values())
+    assert prompts.listed({"system_prompts": {"zh": "a", "_note": "b", "en": "c"}}) == ["zh", "en"]
+    good, bad = evaluate.parted(spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "i int, t string"), t=F.col("t"))
+    assert [r.i for r in good.collect()] == [1] and sorted((r.i, r.violations) for r in bad.collect()) == [(2, ["t"]), (3, ["t"])]
