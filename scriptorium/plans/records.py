@@ -113,20 +113,20 @@ def keyword_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 7.0 WHEN 1 THEN 8.0 WHEN 2 THEN 9.0 WHEN 3 THEN 3.0 WHEN 4 THEN 4.0 END::DOUBLE AS latency,
-CASE event_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'formal' END AS text, CASE event_id % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'formal error' ELSE 'ASR output is empty or unsuccessful' END AS error FROM events""")
+CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN trim(props) END AS text, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN event_type ELSE 'ASR output is empty or unsuccessful' END AS error FROM events""")
 def recognition_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of recognition records by their precedence: each kind of record has the field that should count, and
     later ones."""
     k, k3 = F.col("event_id") % 6, F.col("event_id") % 3
     at = lambda *kinds: lambda x: F.when(k.isin(*kinds), F.lit(x).cast("double"))
     output = F.struct(
-        F.when(k3 == 0, " clean ").otherwise("unused").alias("clean_text"), (k3 == 0).alias("ok"), F.when(k3 == 0, "own").alias("error"),
+        F.when(k3 == 0, F.concat(F.lit(" "), "event_type", F.lit("\n"))).otherwise("unused").alias("clean_text"), (k3 == 0).alias("ok"), F.when(k3 == 0, F.col("props")).alias("error"),
         at(0)(7).alias("total_latency_ms"), at(0, 1, 2, 3)(1).alias("stt_latency_ms"), F.when(k == 4, -1.0).otherwise(2.0).alias("llm_latency_ms"),
     )
     plain = F.when(k == 5, float("nan")).otherwise(4.0)
     return table(spark, sf_dir, "events").select(
         "event_id", R.latency(output, at(0, 1)(8), at(0, 1, 2)(9), plain).alias("latency"),
-        R.recognized_text(output, F.when(k3 == 1, "formal").otherwise(" "), F.lit("ok")).alias("text"), R.recognition_error(output, F.when(k3 == 1, "formal error").otherwise(" ")).alias("error"),
+        R.recognized_text(output, F.when(k3 == 1, F.col("props")).otherwise(" "), F.lit("ok")).alias("text"), R.recognition_error(output, F.when(k3 == 1, F.col("event_type")).otherwise(" ")).alias("error"),
     )
 
 
@@ -387,14 +387,14 @@ def seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.seed_rounds(pool, 6, 2).select("scene", "have", F.col("rounds").cast("long").alias("rounds"))
 
 
-_SEEDS = [' Big  Cat ', '{"name": "big cat"}', '{"b": 1, "a": "x"}', '{"a": "x", "b": 1}', '{"name": "", "title": "Dog"}', "dog", "  ", "[1]"]
-
-
-@query(f"""WITH k AS (SELECT doc_id, source, want FROM documents JOIN {_values({0: "big cat", 1: "big cat", 2: "object", 3: "object", 4: "dog", 5: "dog", 7: "list"})} ON v.kind = doc_id % 8)
-SELECT source AS scene, min(doc_id) AS first_id FROM k GROUP BY source, want""")
+@query(r"""WITH k AS (SELECT doc_id, source, lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))) AS key FROM documents)
+SELECT source AS scene, min(doc_id) AS first_id FROM k WHERE key <> '' GROUP BY source, key""")
 def structured_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dealt(table(spark, sf_dir, "documents"), "doc_id", _SEEDS)
-    seeds = rows.select(F.col("source").alias("scene"), F.lit("c").alias("category"), F.col("doc_id").alias("pos"), F.col("case").alias("seed"))
+    """Whole texts as seeds: plain, or in an object, under its first naming field or under a later one behind values that don't count."""
+    k, own = F.col("doc_id") % 4, R.json_text(F.col("text"))
+    held = F.when(k == 1, F.concat(F.lit('{"name": '), own, F.lit("}"))).when(k == 2, F.concat(F.lit('{"name": "", "keyword": 0, "title": '), own, F.lit(', "phrase": "unused"}')))
+    held = held.when(k == 3, F.concat(F.lit('{"other": 1, "term": null, "value": '), own, F.lit("}"))).otherwise(F.col("text"))
+    seeds = table(spark, sf_dir, "documents").where("coalesce(text, '') <> ''").select(F.col("source").alias("scene"), F.lit("c").alias("category"), F.col("doc_id").alias("pos"), held.alias("seed"))
     return dedup.dedup_seeds(seeds, structured=True).select("scene", F.col("pos").alias("first_id"))
 
 

@@ -12,6 +12,8 @@ from ..operators import curate, models
 from ..sources import admin, audio, files
 from ..streaming import live, speech
 from .catalog import place, query, table
+from .records import _MARKS
+from .registry import _STRIP
 
 
 @query("SELECT doc_id, text, lang AS scene FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '+' || text, lang FROM documents WHERE doc_id % 2 = 1")
@@ -159,22 +161,19 @@ def local_refiner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.refine_batches(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", load).select("conv_id", "turn", "clean_text")
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN trim(regexp_replace('Text ' || doc_id || ' : x', '[\\s]+', ' ', 'g')) ELSE CASE WHEN lang = 'en' THEN 'English' ELSE 'Chinese' END || ' heard text ' || doc_id || ' (x)' END AS input, doc_id % 4 = 0 AS fell_back FROM documents""")
+@query(f"""SELECT doc_id AS id, CASE WHEN length(text) % 4 = 0 THEN {_MARKS.format('text')} ELSE {_STRIP.format("CASE WHEN lang = 'en' THEN 'English' ELSE 'Chinese' END || ' heard ' || text")} END AS input, length(text) % 4 = 0 AS fell_back FROM documents WHERE coalesce(text, '') <> ''""")
 def speech_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts spoken and heard again by a stand-in that fails for every fourth."""
+    """Whole texts spoken and heard again by a stand-in that fails for those whose length is a multiple of four."""
 
     def speak(text: str, language: str) -> bytes:
-        if int(text.split()[1]) % 4 == 0:
+        if len(text) % 4 == 0:
             raise ValueError("no voice")
         return f"{language} heard {text}".encode()
 
     scene = F.when(F.col("lang") == "en", "english_daily").otherwise("meeting")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), scene.alias("scene"), F.concat(F.lit("text "), F.col("doc_id").cast("string"), F.lit(" (x)")).alias("oral_text"), F.lit("clean").alias("clean_text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), scene.alias("scene"), F.col("text").alias("oral_text"), F.lit("clean").alias("clean_text"))
     call = models.speech_round_trip(speak, lambda sound, language: sound.decode(), settings=("stub",), attempts=1)
-    out = curate.simulate(rows, "tts_asr", call=call)
-    shown = F.when(F.col("meta.asr_fallback_text_sim"), F.concat(F.lit("Text "), F.col("id").cast("string"), F.lit(" : x"))).otherwise(F.col("input"))
-    same = F.when(F.col("meta.asr_fallback_text_sim") & (F.col("input") != F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(" x"))), "wrong").otherwise(shown)
-    return out.select("id", same.alias("input"), F.col("meta.asr_fallback_text_sim").alias("fell_back"))
+    return curate.simulate(rows, "tts_asr", call=call).select("id", "input", F.col("meta.asr_fallback_text_sim").alias("fell_back"))
 
 
 @query("""SELECT source AS scene, 'words' AS category, lower(lang) AS seed FROM documents GROUP BY ALL UNION ALL SELECT source, 'words', 'new ' || source FROM documents GROUP BY source""")
