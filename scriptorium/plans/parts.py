@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
-from ..operators import curate, evaluate, models, rubric
+from ..operators import curate, evaluate, generators, models, rubric
 from ..sources import admin, files
 from ..streaming import speech
 from .catalog import place, query, table
@@ -203,3 +203,34 @@ def environment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = admin.load_env(spark, f"{at}/lines/{part}", env)
     rows = [(int(k[1:]), k, v) for k, v in new.items()]
     return spark.createDataFrame(rows, "item_id long, name string, value string")
+
+
+@query("""SELECT doc_id, left(replace('HTTP 401 key ' || source || ': ' || text, source, '[REDACTED]'), 500) AS told FROM documents WHERE source <> ''""")
+def redacted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that hold the whole text and, as a key, its source, which must not be told."""
+    rows = table(spark, sf_dir, "documents").where("source <> ''")
+    return rows.select("doc_id", T.redact(F.concat(F.lit("HTTP 401 key "), "source", F.lit(": "), "text"), F.col("source")).alias("told"))
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN '{"t": ' || to_json(text)::VARCHAR || '}' END AS body FROM documents""")
+def braced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object in an answer that has it in a fence, in prose or alone."""
+    body = F.concat(F.lit('{"t": '), R.json_text(F.col("text")), F.lit("}"))
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here: "), body, F.lit(" - done."))).otherwise(body)
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), R.braced(said)).alias("body"))
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_STRIP.format("text")} AS t FROM conversations)
+SELECT conv_id, turn, t AS oral_text, CASE WHEN turn % 3 = 1 THEN 'seed a' ELSE 'seed a,seed b' END AS seeds, CASE WHEN turn % 5 = 0 THEN 'clean' WHEN turn % 3 = 1 THEN 'told' ELSE 'sampled' END AS phenomena FROM t WHERE turn % 3 < 2 AND length(t) >= 4""")
+def oral_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oral records by a stand-in that answers with the turn's text, with all fields, with the text alone, or with nothing of use."""
+    k = F.col("turn")
+    seeds = F.array(F.lit("seed a"), F.lit("seed b"))
+    head = F.concat(F.lit('{"oral_text": '), R.json_text(F.concat(F.lit(" "), "text", F.lit("\n"))))
+    told = F.when(k % 3 == 0, F.concat(head, F.lit("}"))).when(k % 3 == 1, F.concat(F.lit("Sure: "), head, F.lit(', "speech_phenomena": ["told"], "selected_seeds": ["seed a"]}'))).otherwise("no object")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("id"), F.lit("meeting").alias("scene"), seeds.alias("seeds"), told.alias("prompt"), F.when(k % 5 == 0, F.array(F.lit("clean"))).otherwise(F.array(F.lit("sampled"))).alias("speech_phenomena"),
+    )
+    out = generators.oral_records(rows, lambda prompt: prompt, attempts=1)
+    return out.select("id.conv_id", "id.turn", "oral_text", F.array_join("selected_seeds", ",").alias("seeds"), F.array_join("speech_phenomena", ",").alias("phenomena"))
