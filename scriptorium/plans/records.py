@@ -130,9 +130,10 @@ def recognition_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.page') AS page, CASE WHEN event_id % 2 = 0 THEN 'deep' END AS inner_text FROM events""")
+@query("""SELECT event_id, json_extract_string(props, '$.page') AS page, CASE WHEN event_id % 2 = 0 THEN event_type END AS inner_text FROM events""")
 def dotted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.when(F.col("event_id") % 2 == 0, F.lit('{"a": {"b": "deep"}}')).otherwise(F.lit('{"a": ["b"]}'))
+    own = R.json_text(F.col("event_type"))
+    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"b": '), own, F.lit("}}"))).otherwise(F.concat(F.lit('{"a": ['), own, F.lit("]}")))
     return table(spark, sf_dir, "events").select("event_id", R.text_at(F.col("props"), "page").alias("page"), R.text_at(doc, "a", "b").alias("inner_text"))
 
 

@@ -72,16 +72,21 @@ def repeated_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, event_type string, batch int").json(at).select("event_id", "event_type")
 
 
-@query("SELECT 'clean.jsonl' AS name UNION ALL SELECT 'seeds'")
+@query("SELECT doc_id, 'clean.jsonl' AS name FROM documents UNION ALL SELECT doc_id, 'seeds' FROM documents WHERE doc_id % 3 = 0")
 def reset_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reset leaves of a run's folder."""
-    at = place(spark, "run")
-    for name in ("clean.jsonl", "asr_sim.jsonl", "seeds/pool.json", "final/train.jsonl"):
-        files.write_json(spark, {"rows": 1}, f"{at}/{name}")
+    """The rows of what a reset leaves of a run's folder: clean records and seeds, not simulated and final ones."""
+    at, docs = place(spark, "run"), table(spark, sf_dir, "documents").select("doc_id")
+    for name in ("clean.jsonl", "asr_sim.jsonl", "final/train.jsonl"):
+        files.write_jsonl(docs, f"{at}/{name}")
+    files.write_jsonl(docs.where("doc_id % 3 = 0"), f"{at}/seeds/pool.jsonl")
     if len(admin.reset(spark, at, dry_run=True)) != 2 or len(files.children(spark, at)) != 4:
         raise AssertionError("a dry run deletes nothing")
     admin.reset(spark, at)
-    return spark.createDataFrame([(x,) for x in files.children(spark, at)], "name string")
+    left = {"clean.jsonl": "clean.jsonl", "seeds": "seeds/pool.jsonl", "asr_sim.jsonl": "asr_sim.jsonl", "final": "final/train.jsonl"}
+    out = spark.createDataFrame([], "doc_id long, name string")
+    for name in files.children(spark, at):
+        out = out.unionByName(files.read_jsonl(spark, f"{at}/{left[name]}", "doc_id long").withColumn("name", F.lit(name)))
+    return out
 
 
 def _wave(seconds: list[float], rate: int) -> bytes:
