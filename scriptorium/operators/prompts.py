@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.records import json_object, json_text
+from ..functions.records import json_text
 from ..sources.files import read_json
 from .curate import DEFAULT_SHARE, SCENES, controls
 
