@@ -145,11 +145,12 @@ def edited(text: str, following: str) -> str:
 
 
 def _places(key: pa.Array, order: pa.Array) -> np.ndarray:
-    """Keys and hashes as 16 bytes that compare as pairs of integers do; a null key is the least."""
-    k = np.asarray(key.fill_null(0)).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    k = np.where(np.asarray(key.is_null()), np.uint64(0), k)
-    h = np.asarray(order).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    return np.stack((k.astype(">u8"), h.astype(">u8")), axis=1).reshape(-1).view("S16")
+    """Keys and hashes as 17 bytes that compare as pairs of integers do; a null key is the least."""
+    top = np.uint64(1 << 63)
+    k, h = (np.asarray(x.fill_null(0)).astype(np.int64).view(np.uint64) ^ top for x in (key, order))
+    null = np.asarray(key.is_null())
+    both = np.stack((np.where(null, np.uint64(0), k), h), axis=1).astype(">u8")  # stack() would give native bytes
+    return np.concatenate((~null[:, None], both.view(np.uint8)), axis=1, dtype=np.uint8, casting="unsafe").view("S17").reshape(-1)
 
 
 def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1024, most_buckets: int = 100_000, sample: int = 20) -> DataFrame:
@@ -157,7 +158,7 @@ def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1024,
 
     Returns _bucket, _head (0, or 1 for a copy of the row that follows the bucket), key and text, sorted in
     each partition. Buckets are ranges; where to cut is read from a sample of the rows' places, at most about
-    ``sample * most_buckets`` of 16 bytes, and changes no result. The last row is followed by the first one. Rows
+    ``sample * most_buckets`` of 17 bytes, and changes no result. The last row is followed by the first one. Rows
     with the same key follow each other by a hash of their texts, then by text, and may fill many buckets."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
@@ -166,7 +167,7 @@ def with_next(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1024,
     n = max(1, min(most_buckets, -(-total // rows_per_bucket)))
     share = min(1.0, sample * n / max(1, total))
     picked = places.where(F.pmod(F.xxhash64("_k", "_h"), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow() if n > 1 else None
-    bounds = np.zeros(0, "S16")
+    bounds = np.zeros(0, "S17")
     if picked is not None and len(picked):
         found = np.sort(_places(*(picked.column(c).combine_chunks() for c in ("_k", "_h"))))
         bounds = np.unique(found[np.linspace(0, len(found) - 1, n + 1).astype(int)[1:-1]])

@@ -210,3 +210,14 @@ def test_many_languages_are_all_learned(spark):
     held = spark.createDataFrame([(n, " ".join(rng.choices(w, k=30))) for n, w in words.items()], "n string, text string")
     got = langid.identify(held, model, "text", ("n",)).collect()
     assert sum(r.n == r.lang_pred for r in got) == 90
+
+
+def test_fingerprints_of_many_buckets(spark):
+    """Places compare as their integers do, so texts follow each other over the ends of buckets."""
+    rows = {(-1) ** i * (i * 7919) ** (1 + i % 2): f"{i} " * (i % 9) for i in range(3000)} | {-(1 << 63): "least", None: "no key"}
+    order = sorted(rows, key=lambda k: (k is not None, k or 0), reverse=True)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for k, after in zip(order, order[1:] + order[:1]):
+        new = fingerprint.edited(rows[k], rows[after])
+        assert (got[k].n_chars, got[k].edited_sha256) == (len(rows[k]), hashlib.sha256(new.encode()).hexdigest())
