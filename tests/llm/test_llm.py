@@ -570,3 +570,13 @@ def test_oracles_agree(spark):
         want = con.sql(sql)
         assert sorted(want.columns) == columns, name
         assert sorted(map(repr, want.select(*columns).fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect()), name
+
+
+def test_ids_of_units_are_those_of_the_whole_text():
+    """Letters of late Unicode versions, composed forms and marks of turns inside words, many in a block."""
+    encode = packing.Encoder(tokenizer_path("word_bpe_49k.json"))
+    texts = [t for c in (*range(0x80, 0x2100), *range(0xA700, 0xA800), *range(0x10D40, 0x10D90)) for t in (f"ab{chr(c)}cd", f"1{chr(c)}2!{chr(c)}?", f"it{chr(c)}'s")]
+    texts += ["J̌ H̱x", "é<|ENDOFTEXT|>", "é<|endoftext|>'LL", "a\x85b\xa0c d", "İ'RE ŉ\x1cx"]
+    for i in range(0, len(texts), 256):
+        part = texts[i : i + 256]
+        assert encode.many(part) == [encode._whole(t) for t in part]
