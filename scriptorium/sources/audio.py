@@ -130,7 +130,8 @@ def _dealt(spans: list[tuple], size: int) -> list[Ranges]:
             held.append((path, tuple(wave), first, first + n))
             first, room = first + n, room - n
             if not room:
-                out, held, room = [*out, Ranges(held)], [], size
+                out.append(Ranges(held))
+                held, room = [], size
     return [*out, Ranges(held)] if held or not out else out
 
 

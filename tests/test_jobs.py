@@ -527,3 +527,11 @@ def test_rubrics_are_read_whole_or_not_at_all(spark):
     assert prompts.listed({"system_prompts": {"zh": "a", "_note": "b", "en": "c"}}) == ["zh", "en"]
     good, bad = evaluate.parted(spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "i int, t string"), t=F.col("t"))
     assert [r.i for r in good.collect()] == [1] and sorted((r.i, r.violations) for r in bad.collect()) == [(2, ["t"]), (3, ["t"])]
+
+
+def test_padding_goes_before_samples_become_rows(spark):
+    """Windows behind a wave's end are dropped as windows: the join with the lengths is below the explode."""
+    from scriptorium.plans.jobs import wave_samples
+
+    plan = wave_samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Join")
