@@ -288,3 +288,19 @@ def test_tone_is_a_stream(spark):
 def test_local_refiner_strips_markers():
     refine = models.local_refiner(models.echo, "<|im_start|>assistant\n{text}</s>")()
     assert refine([" hi ", "{text}"]) == ["hi", "{text}"]
+
+
+def test_similar_sets_are_compared_without_a_shuffle_of_pairs(spark, tmp_path):
+    """Grams with and without a bit of their own, folded maps of many widths: the pairs of plain sets; no pair is shuffled with its sets."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh 日本") for _ in range(k)) for k in (5, 40, 200, 700, 2000)]
+    texts = list(dict.fromkeys(b[: len(b) - rng.randint(0, len(b) // 3)] + rng.choice("xyz") for b in base for _ in range(12)))
+    rows = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id long, digest string, text string")
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(grams(texts[i]) & grams(texts[j])) / len(grams(texts[i]) | grams(texts[j])) >= 0.75}
+    for order in ([], dedup.gram_order(rows)[:100]):
+        sets = dedup.gram_sets(rows, order)
+        at = str(tmp_path / str(len(order)))
+        sets.write.parquet(at)
+        sets = spark.read.schema(sets.schema).parquet(at)
+        found = dedup.similar_to(sets, dedup._files(sets), 0.75, len(order), True)
+        assert {(r.a, r.b) for r in found.collect()} == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
