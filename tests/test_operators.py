@@ -304,3 +304,34 @@ def test_similar_sets_are_compared_without_a_shuffle_of_pairs(spark, tmp_path):
         sets = spark.read.schema(sets.schema).parquet(at)
         found = dedup.similar_to(sets, dedup._files(sets), 0.75, len(order), True)
         assert {(r.a, r.b) for r in found.collect()} == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_give_few_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = "".join(rng.choice(letters) for _ in range(80))
+    texts = [base[:k] + letters[i % 26] + base[k:] for i, k in enumerate(rng.randint(0, 80) for _ in range(60))]
+    texts = list(dict.fromkeys(texts + ["".join(rng.choice("ab ") for _ in range(rng.randint(5, 12))).strip() for _ in range(60)]))
+    near = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.75
+    for most in (1, 3):
+        monkeypatch.setattr(dedup, "MOST", most)
+        rows = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "id long, digest string, text string")
+        sets = dedup.gram_sets(rows, dedup.gram_order(rows))
+        sets.write.parquet(str(tmp_path / f"sets{most}"))
+        sets = spark.read.parquet(str(tmp_path / f"sets{most}"))
+        pairs = sorted((r.b, r.a) for r in dedup.similar_to(sets, dedup._files(sets), 0.75, dedup.RANKED, True).collect())
+        assert pairs == [(j, i) for j, b in enumerate(texts) for i in [i for i in range(j) if near(texts[i], b)][: most + 1]]
+        kept = []
+        for i, t in enumerate(texts):
+            if not any(near(texts[k], t) for k in kept):
+                kept.append(i)
+        held = dedup.Retained(spark, str(tmp_path / f"r{most}"))
+        assert sorted(r.id for r in held.add(rows.select("id", "text"), 0).collect()) == kept
+        assert sorted(p.name for p in (tmp_path / f"r{most}").iterdir() if not p.name.startswith(".")) == ["order.json", "retained"]
+    # keys of another kind, of different lengths
+    named = spark.createDataFrame([(f"{'x' * (i % 3)}{i}", t) for i, t in enumerate(texts)], "id string, t string")
+    by, kept = {f"{'x' * (i % 3)}{i}": t for i, t in enumerate(texts)}, []
+    for i in sorted(by):
+        if not any(near(by[k], by[i]) for k in kept):
+            kept.append(i)
+    assert sorted(r.id for r in dedup.near_dedup(named, "id", "t").collect()) == kept
