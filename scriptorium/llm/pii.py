@@ -10,8 +10,8 @@ is 0 for words that have nothing to do with c, and 1 for words that occur around
 reaches a threshold is generalised to its initial, if the words with this initial together stay under the threshold
 for the same values, and is removed if not.
 
-Only words around mentions become pairs, two windows a mention; counts of all words are taken once, over all
-documents, and only if some word may exceed the threshold at all.
+Only words around mentions become pairs, two windows a mention; words are counted once, over all documents, and only if
+some word may exceed the threshold at all: each of these words by itself, all others by their initial.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _CHUNK = 256
+#: Words that are sent to each task at most; if more may reveal something, all words are counted by themselves.
+SENT = 1 << 18
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -123,13 +125,17 @@ def revealing(found: DataFrame, corpus: DataFrame, text: Column, threshold: floa
     near = pairs.where(F.col("texts") >= support)
     if near.isEmpty():
         return None
-    vocabulary = written(corpus.select(F.explode(words(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "vocabulary")
-    total = vocabulary.agg(F.sum("n_t")).first()[0]
     initial = F.left("term", F.lit(1))
+    said = corpus.select(F.explode(words(F.coalesce(text, F.lit("")))).alias("term")).select("term", initial.alias("initial"))
+    asked = near.select("term").distinct()
+    if asked.count() <= SENT:
+        said = said.join(F.broadcast(asked.withColumn("_asked", F.lit(True))), "term", "left").select(F.when(F.col("_asked"), F.col("term")).alias("term"), "initial")
+    vocabulary = written(said.groupBy("term", "initial").agg(F.count(F.lit(1)).alias("n_t")), "vocabulary")
+    total = vocabulary.agg(F.sum("n_t")).first()[0]
     values = pairs.groupBy("kind", "value").agg(F.sum("n_ct").alias("n_c"))
     wide = pairs.groupBy("kind", "value", initial.alias("initial")).agg(F.sum("n_ct").alias("n_cg"))
-    initials = vocabulary.groupBy(initial.alias("initial")).agg(F.sum("n_t").alias("n_g"))
-    df = near.join(values, ["kind", "value"]).join(vocabulary, "term").withColumn("initial", initial).join(wide, ["kind", "value", "initial"]).join(initials, "initial")
+    initials = vocabulary.groupBy("initial").agg(F.sum("n_t").alias("n_g"))
+    df = near.join(values, ["kind", "value"]).join(vocabulary.where(F.col("term").isNotNull()).drop("initial"), "term").withColumn("initial", initial).join(wide, ["kind", "value", "initial"]).join(initials, "initial")
 
     def tells(both: str, alone: str) -> Column:
         pmi = F.log2(F.least(both, alone) * F.lit(float(total)) / (F.col("n_c") * F.col(alone)))

@@ -135,3 +135,21 @@ def test_positions_of_random_texts(spark):
     rows = [(i, "".join(rng.choice("a.b@-_ 1234+()é,") for _ in range(rng.randint(0, 60)))) for i in range(3000)]
     got = {r.doc_id: r.base_sha256 for r in pii.report(spark.createDataFrame(rows, DOCS), support=10**6).collect()}
     assert got == {i: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in base_spans(t)).encode()).hexdigest() for i, t in rows}
+
+
+def test_words_that_are_not_asked_for_are_counted_by_initial(planted, monkeypatch):
+    rows, df = planted
+    rare = [(900, " ".join(f"{a}rare{i}" for i in range(500) for a in "zb"))]
+    df = df.select("doc_id", "text").unionByName(df.sparkSession.createDataFrame(rare, DOCS))
+    sizes, held = {}, pii.written
+
+    def counted(t, what):
+        out = held(t, what)
+        sizes[what] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "written", counted)
+    found = sorted((str(r.doc_id), r.spans, r.base_sha256, r.n_term) for r in pii.report(df).collect())
+    assert found == plain(rows + rare)[0] and sizes["vocabulary"] < 100
+    monkeypatch.setattr(pii, "SENT", 0)
+    assert sorted((str(r.doc_id), r.spans, r.base_sha256, r.n_term) for r in pii.report(df).collect()) == found and sizes["vocabulary"] > 1000
